@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from terravane.llm import chat_format, quality_rules, url_rules
+from terravane.llm import chat_format, pii, quality_rules, secret_scan, url_rules
 
 QUERIES = {
     "op1_chat_formatting": chat_format.op1_chat_formatting,
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op8_url_filters": url_rules.op8_url_filters,
+    "op9_pii": pii.op9_pii,
+    "op10_secret_scans": secret_scan.op10_secret_scans,
 }
 
 ORACLES = {
