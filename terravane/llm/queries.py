@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from terravane.llm import chat_format, pii, quality_rules, secret_scan, url_rules
+from terravane.llm import chat_format, decontaminate, pii, quality_rules, secret_scan, url_rules
 
 QUERIES = {
     "op1_chat_formatting": chat_format.op1_chat_formatting,
+    "op2_decontamination": decontaminate.op2_decontamination,
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op8_url_filters": url_rules.op8_url_filters,
     "op9_pii": pii.op9_pii,
@@ -14,6 +15,7 @@ QUERIES = {
 
 ORACLES = {
     "op1_chat_formatting": chat_format.OP1_SQL,
+    "op2_decontamination": decontaminate.OP2_SQL,
     "op6_quality_rules": quality_rules.OP6_SQL,
     "op8_url_filters": url_rules.OP8_SQL,
 }
