@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from terravane.llm import chat_format, decontaminate, pii, quality_rules, secret_scan, url_rules
+from terravane.llm import chat_format, decontaminate, language_id, mixing, pii, quality_rules, secret_scan, url_rules
 
 QUERIES = {
     "op1_chat_formatting": chat_format.op1_chat_formatting,
     "op2_decontamination": decontaminate.op2_decontamination,
+    "op4_mixing": mixing.op4_mixing,
+    "op5_language_id": language_id.op5_language_id,
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op8_url_filters": url_rules.op8_url_filters,
     "op9_pii": pii.op9_pii,
