@@ -1 +1 @@
-
+"""Vector-geometry operators, DataFrame in and DataFrame out."""
