@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from terravane.llm import chat_format, decontaminate, language_id, mixing, pii, quality_rules, secret_scan, url_rules
+from terravane.llm import chat_format, decontaminate, language_id, mixing, near_dedup, pii, quality_rules, secret_scan, url_rules
 
 QUERIES = {
     "op1_chat_formatting": chat_format.op1_chat_formatting,
     "op2_decontamination": decontaminate.op2_decontamination,
+    "op3_near_dedup": near_dedup.op3_near_dedup,
     "op4_mixing": mixing.op4_mixing,
     "op5_language_id": language_id.op5_language_id,
     "op6_quality_rules": quality_rules.op6_quality_rules,
@@ -18,6 +19,7 @@ QUERIES = {
 ORACLES = {
     "op1_chat_formatting": chat_format.OP1_SQL,
     "op2_decontamination": decontaminate.OP2_SQL,
+    "op3_near_dedup": near_dedup.OP3_SQL,
     "op6_quality_rules": quality_rules.OP6_SQL,
     "op8_url_filters": url_rules.OP8_SQL,
 }
