@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from terravane.llm import chat_format, decontaminate, language_id, mixing, near_dedup, pii, quality_rules, secret_scan, url_rules
+from terravane.llm import chat_format, decontaminate, language_id, lm_score, mixing, near_dedup, pii, quality_rules, secret_scan, url_rules
 
 QUERIES = {
     "op1_chat_formatting": chat_format.op1_chat_formatting,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_mixing": mixing.op4_mixing,
     "op5_language_id": language_id.op5_language_id,
     "op6_quality_rules": quality_rules.op6_quality_rules,
+    "op7_lm_scoring": lm_score.op7_lm_scoring,
     "op8_url_filters": url_rules.op8_url_filters,
     "op9_pii": pii.op9_pii,
     "op10_secret_scans": secret_scan.op10_secret_scans,
