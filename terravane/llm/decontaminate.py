@@ -273,8 +273,9 @@ def find_contamination(
 
 def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The documents without any verbatim match, with their own columns."""
-    found = find_contamination(docs.select(F.struct(*docs.columns).alias("__row"), "text"), items, **options)
-    return found.where(~F.col("contaminated")).select("__row.*")
+    ready, back = tokens.set_aside(docs, [f.name for f in _ADDED] + ["n_hit", "contaminated"])
+    found = find_contamination(ready, items, **options)
+    return found.where(~F.col("contaminated")).select(*ready.columns).withColumnsRenamed(back)
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

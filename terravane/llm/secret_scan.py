@@ -53,6 +53,9 @@ BASE = [
 ]
 RUN = Kind("markov", r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}+" % MIN_RUN)
 
+#: The columns that a scan adds.
+MADE = ["n_assign", "n_access", "n_hex", "n_markov", "base_spans", "all_spans", "found"]
+
 
 def labelled_samples(count: int = 4000, seed: int = 11) -> tuple[list[str], list[str]]:
     """Random strings (secret) and ordinary identifiers, made by rule."""
@@ -130,8 +133,7 @@ def scan_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Input columns plus n_assign, n_access, n_hex, n_markov, base_spans, all_spans
     (``kind:start:end`` lists) and found: the spans as (s, k, e)."""
     names = [k.name for k in [*BASE, RUN]]
-    made = [*[f"n_{n}" for n in names], "base_spans", "all_spans", "found"]
-    rest = [c for c in docs.columns if c not in made]
+    rest = [c for c in docs.columns if c not in MADE]
     body = docs.selectExpr(f"struct({', '.join(f'`{c}`' for c in rest)}) AS __row", f"coalesce(`{text_col}`, '') AS text")
     spans = with_spans(body, "text", [*BASE, RUN], context=0)
     base = spans.selectExpr("*", f"{labelled(names[:3])} AS __base")

@@ -104,6 +104,12 @@ def per_text(counts_before: np.ndarray, values: np.ndarray) -> np.ndarray:
     return total[counts_before[1:]] - total[counts_before[:-1]]
 
 
+def set_aside(df: DataFrame, made: list[str]) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with its columns that are named like made ones renamed, and the way back."""
+    clash = {c: f"__own_{c}" for c in df.columns if c in made}
+    return df.withColumnsRenamed(clash), {v: k for k, v in clash.items()}
+
+
 def add_columns(
     df: DataFrame,
     kernel: Callable[[np.ndarray, np.ndarray, pa.RecordBatch], dict[str, pa.Array]],
