@@ -1 +1 @@
-
+"""Structured Streaming forms of operators that keep bounded state."""
