@@ -204,40 +204,47 @@ class Mix:
     plans: list[SourcePlan]
     block_words: int
 
-    def pieces(self) -> DataFrame:
-        """What each document gives to each block: source_no, block, from_word (in
-        the document), words, at (first word's place in the block), __row."""
-        d = self.documents.where("size > 0")
-        cut = d.select(
-            F.struct(*d.columns).alias("__row"),
-            "source_no",
-            "first_word",
-            "size",
-            F.explode(
-                F.sequence(F.floor(F.col("first_word") / self.block_words), F.floor((F.col("first_word") + F.col("size") - 1) / self.block_words))
-            ).alias("block"),
+    def pieces(self, text_col: str | None = None) -> DataFrame:
+        """What each document gives to each block: source_no, block, doc_id, source,
+        first_word (of the document), from_word (of the piece, in the document), words,
+        at (the piece's place in the block), and with ``text_col`` the piece's text.  A
+        text is cut into words once, whatever its length."""
+        d = self.documents.where("size > 0").select("source_no", "doc_id", "source", "first_word", "size", *([text_col] if text_col else []))
+        if text_col:
+            spaced = F.regexp_replace(F.concat(F.lit(" "), F.col(text_col)), r"[\x20\x09-\x0D]+", " ")
+            d = d.withColumn("__words", F.split(F.trim(spaced), " ")).drop(text_col)
+        size = self.block_words
+
+        def piece(block):
+            start = F.greatest(F.col("first_word"), block * size)
+            end = F.least(F.col("first_word") + F.col("size"), (block + 1) * size)
+            own = [block.alias("block"), (start - F.col("first_word")).alias("from_word"), (end - start).alias("words"), (start - block * size).alias("at")]
+            if text_col:
+                part = F.slice("__words", (start - F.col("first_word") + 1).cast("int"), (end - start).cast("int"))
+                own.append(F.array_join(part, " ").alias("text"))
+            return F.struct(*own)
+
+        blocks = F.sequence(F.floor(F.col("first_word") / size), F.floor((F.col("first_word") + F.col("size") - 1) / size))
+        return d.select("source_no", "doc_id", "source", "first_word", F.explode(F.transform(blocks, piece)).alias("p")).select(
+            "source_no", "doc_id", "source", "first_word", "p.*"
         )
-        start = F.greatest(F.col("first_word"), F.col("block") * self.block_words)
-        end = F.least(F.col("first_word") + F.col("size"), (F.col("block") + 1) * self.block_words)
-        return cut.select("__row", "source_no", "block", (start - F.col("first_word")).alias("from_word"), (end - start).alias("words"), (start - F.col("block") * self.block_words).alias("at"))
+
+    def _placed(self, text_col: str | None = None) -> DataFrame:
+        # slots grow with the corpus: they are shuffled, and build the hash tables
+        slots = self.slots.hint("shuffle_hash")
+        return slots.join(self.pieces(text_col), ["source_no", "block"]).where("at < take").withColumn("n", F.least(F.col("words"), F.col("take") - F.col("at")))
 
     def mixed(self, text_col: str = "text") -> DataFrame:
         """The mix: shard, slot, source, doc_id, from_word, words and text of each
         piece, in the order of slot and at."""
-        joined = self.slots.join(self.pieces(), ["source_no", "block"]).where("at < take")
-        n = F.least(F.col("words"), F.col("take") - F.col("at"))
-        listed = F.split(F.trim(F.regexp_replace(F.concat(F.lit(" "), F.col(f"__row.{text_col}")), r"[\x20\x09-\x0D]+", " ")), " ")
-        return joined.select(
-            "shard", "slot", "at", F.col("__row.source").alias("source"), F.col("__row.doc_id").alias("doc_id"), "from_word", n.alias("words"),
-            F.array_join(F.slice(listed, (F.col("from_word") + 1).cast("int"), n.cast("int")), " ").alias("text"),
-        )
+        cut = F.array_join(F.slice(F.split("text", " "), 1, F.col("n").cast("int")), " ")
+        return self._placed(text_col).select(
+            "shard", "slot", "at", "source", "doc_id", "from_word", F.col("n").alias("words"), F.when(F.col("n") < F.col("words"), cut).otherwise(F.col("text")).alias("text")
+        )
 
     def taken(self) -> DataFrame:
         """The documents with ``taken``: words the mix takes of each, repeats counted."""
-        some = self.slots.join(self.pieces(), ["source_no", "block"]).where("at < take")
-        sums = some.groupBy("source_no", F.col("__row.first_word").alias("first_word")).agg(
-            F.sum(F.least(F.col("words"), F.col("take") - F.col("at"))).alias("__taken")
-        )
+        sums = self._placed().groupBy("source_no", "first_word").agg(F.sum("n").alias("__taken"))
         own = F.when(F.col("size") > 0, F.coalesce("__taken", F.lit(0))).otherwise(0).cast("long")
         return self.documents.join(sums, ["source_no", "first_word"], "left").withColumn("taken", own).drop("__taken")
 
