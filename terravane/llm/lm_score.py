@@ -12,7 +12,7 @@ the first token's context is a start mark.  Words are 64-bit hashes.
 
 Documents fall into batches of some megabytes by a hash of the row.  Each batch
 counts its own distinct words and pairs and sends them, cut by ranges of the
-context's hash, to as many shards.  A shard adds up the training counts, builds
+context's hash, to twice as many shards.  A shard adds up the training counts, builds
 its trie (levels of Elias-Fano sequences with 8-bit probabilities in one memory
 map) and answers every batch from it, in the order in which it asked.  The answers
 are written, and each batch then scores its documents.  Contexts that are
@@ -42,43 +42,44 @@ START, END = np.uint64(2), np.uint64(3)
 DISCOUNT = 0.75
 
 
-def token_stream(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(tokens, contexts, first token of each text plus the end)."""
+def token_stream(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens, first token of each text plus the end)."""
     padded, starts, lengths, first = tokens.words(data, offsets, tokens.NOT_SPACE)
     h = tokens.hashes(padded, starts, lengths)
     n = np.diff(first)
     at = first + np.arange(len(first))
     token = np.full(int(at[-1]), END, np.uint64)
     token[np.arange(len(h)) + np.repeat(np.arange(len(n)), n)] = h
-    context = np.empty_like(token)
-    context[1:] = token[:-1]
-    context[at[:-1]] = START
-    return token, context, at
+    return token, at
 
 
 class Batch:
     """A batch's distinct words and (context, word) pairs, both ascending."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        token, context, self.first = token_stream(data, offsets)
-        code, names = pd.factorize(np.concatenate([token, np.array([START], np.uint64)]))
+        token, self.first = token_stream(data, offsets)
+        code, names = pd.factorize(np.append(token, START))
+        del token
         order = np.argsort(names)
         self.words = names[order]
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        self.token = place[code[:-1]]
-        before = np.empty_like(self.token)
-        before[1:] = self.token[:-1]
-        before[self.first[:-1]] = place[code[-1]]
-        key = before * len(self.words) + self.token
-        order = np.argsort(key, kind="stable")
-        ranked = key[order]
+        place = np.empty(len(order), np.int32)  # a batch has fewer tokens than that
+        place[order] = np.arange(len(order), dtype=np.int32)
+        self.token, start = place[code[:-1]], place[code[-1]]
+        del code
+        key = np.empty(len(self.token), np.int64)
+        key[1:] = self.token[:-1]
+        key[self.first[:-1]] = start
+        key *= len(self.words)
+        key += self.token
+        order = np.argsort(key)
+        key = key[order]
         new = np.ones(len(key), bool)
-        new[1:] = ranked[1:] != ranked[:-1]
-        self.pair = np.empty(len(key), np.int64)
-        self.pair[order] = np.cumsum(new) - 1
-        distinct = ranked[new]
-        self.context, self.second = distinct // len(self.words), distinct % len(self.words)
+        new[1:] = key[1:] != key[:-1]
+        self.pair = np.empty(len(key), np.int32)
+        self.pair[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+        del order
+        key = key[new]
+        self.context, self.second = key // len(self.words), key % len(self.words)
 
     def routes(self, shards: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(shard of each word, shard of each pair, whether a word is hot)."""
@@ -240,7 +241,7 @@ def _hot_words(rows: DataFrame, total: int, shards: int, sample_bytes: int) -> n
     share = max(1, round((1 << 30) * min(1.0, sample_bytes / max(1, total))))
     some = rows.where(F.pmod(F.xxhash64(F.col("__h"), F.lit(1)), F.lit(1 << 30)) < share).select("text").collect()
     data, offsets = tokens.text_bytes(pa.array([r["text"] for r in some], pa.large_string()))
-    token, _, _ = token_stream(data, offsets)
+    token, _ = token_stream(data, offsets)
     names, n = np.unique(token, return_counts=True)
     return names[n * 4 * shards >= max(1, len(token))]
 
@@ -258,10 +259,10 @@ def score_texts(
     made = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
     kept = [c for c in docs.columns if c not in (*made, text_col)]
     total = int(docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0)
-    parts = runtime.parts_for(total, batch_bytes)
+    batches, parts = runtime.parts_for(total, batch_bytes), runtime.parts_for(2 * total, batch_bytes)
     hashed = F.xxhash64(*[c for c in docs.columns if docs.schema[c].dataType.typeName() != "map"])
     rows = docs.withColumns({"__h": hashed, "__train": F.coalesce(train, F.lit(True))}).select(
-        *kept, F.col(text_col).alias("text"), F.col("__train"), F.col("__h"), F.pmod(F.col("__h"), F.lit(parts)).alias("__batch")
+        *kept, F.col(text_col).alias("text"), F.col("__train"), F.col("__h"), F.pmod(F.col("__h"), F.lit(batches)).alias("__batch")
     )
     hot = _hot_words(rows.select("text", "__h"), total, parts, sample_bytes)
     asks = (
