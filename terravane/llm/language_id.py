@@ -261,7 +261,7 @@ def _kernel(model: Model):
 def predict(docs: DataFrame, model: Model, text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """Input columns plus lang_pred, score and bits_per_byte."""
     ready = docs.withColumn("__letter", F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
-    return tokens.add_columns(ready, _kernel(model), _ADDED, text_col, keep_text).drop("__letter")
+    return tokens.add_columns(ready, _kernel(model), _ADDED, text_col, keep_text, most=1 << 20).drop("__letter")
 
 
 def remainder(id_col: str, of: int = 5) -> Column:

@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -104,6 +104,16 @@ def per_text(counts_before: np.ndarray, values: np.ndarray) -> np.ndarray:
     return total[counts_before[1:]] - total[counts_before[:-1]]
 
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession, most: str = "8m") -> None:
+    """Arrow batches of at most ``most`` bytes (or one row) from here on in this session,
+    unless a limit other than Spark's default is set; long texts then come few at a time."""
+    if spark.conf.get(_BATCH, None) in (None, "67108864b", "64MB", "64m"):
+        spark.conf.set(_BATCH, most)
+
+
 def set_aside(df: DataFrame, made: list[str]) -> tuple[DataFrame, dict[str, str]]:
     """``df`` with its columns that are named like made ones renamed, and the way back."""
     clash = {c: f"__own_{c}" for c in df.columns if c in made}
@@ -123,6 +133,7 @@ def add_columns(
     ``kernel(bytes, offsets, rows)`` returns the added columns.  Columns of the
     input that have an added column's name are replaced.
     """
+    bound_batches(df.sparkSession)
     names = [f.name for f in added]
     kept = [c for c in df.columns if c not in names and (keep_text or c != text_col)]
     read = list(dict.fromkeys([*kept, text_col]))
