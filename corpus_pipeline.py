@@ -19,6 +19,9 @@ from terravane.plans import runtime
 ORACLE_SQL = None
 
 
+#: Least posterior of a kept document's language.
+MIN_SCORE = 0.3
+
 _left: list[str] = []
 
 
@@ -39,10 +42,10 @@ def _stage(function):
 
 @_stage
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without documents that have no letters, or whose language stays open."""
+    """Without documents that have no letters, or whose language stays wide open."""
     ready, back = tokens.set_aside(docs, ["lang_pred", "score", "bits_per_byte"])
     found = language_id.predict(ready, language_id.learn(docs))
-    known = found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= 0.5))
+    known = found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= MIN_SCORE))
     return known.select(*ready.columns).withColumnsRenamed(back)
 
 
