@@ -9,8 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from terravane.operators import filters
 from terravane.plans import components as stars
 from terravane.plans import runtime
+from terravane.plans.rows import side_by_side
 
 
 def adjacency(edges: DataFrame, weight: str | None = None) -> DataFrame:
@@ -38,6 +40,12 @@ def connected_components(edges: DataFrame, vertices: DataFrame | None = None) ->
     return vertices.select("vertex_id").join(found, "vertex_id", "left").select("vertex_id", F.coalesce("component", "vertex_id").alias("component"))
 
 
+def within_bbox(vertices: DataFrame, edges: DataFrame, low: tuple, high: tuple) -> tuple[DataFrame, DataFrame]:
+    """(vertices in the closed box, edges both of whose ends are among them)."""
+    kept = filters.by_bbox(vertices, low, high)
+    return kept, filters.edges_within(edges, kept)
+
+
 def sizes(labels: DataFrame, label: str = "component") -> DataFrame:
     return labels.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
 
@@ -223,7 +231,7 @@ def summary(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     comp = sizes(labels).agg(F.count(F.lit(1)).alias("n_components"), F.max("n").alias("largest"))
     counts = vertices.agg(F.count(F.lit(1)).alias("nodes"))
     links = edges.agg(F.count(F.lit(1)).alias("edges"))
-    one = counts.crossJoin(links).crossJoin(comp)  # three one-row aggregates
+    one = side_by_side(counts, links, comp)
     return one.select("nodes", "edges", (2.0 * F.col("edges") / F.col("nodes")).alias("mean_degree"), "n_components", "largest")
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terravane.functions.vec3 import Vec, add, const, cross, dot, norm, scale, sub, vec
+from terravane.functions.vec3 import Vec, const, cross, dot, norm, sub, vec
+from terravane.plans.rows import side_by_side
 
 EPS = 1e-7
 
@@ -71,7 +72,7 @@ def summary(vertices: DataFrame, faces: DataFrame, by: str | None = None, shape:
         used = own.select(by, F.explode(F.array("v0", "v1", "v2")).alias("v")).distinct().groupBy(by).agg(F.count(F.lit(1)).alias("n_vertices"))
         out = sums.join(n_edges, by).join(used, by)
     else:
-        out = sums.crossJoin(n_edges).crossJoin(vertices.agg(F.count(F.lit(1)).alias("n_vertices")))  # one row each
+        out = side_by_side(sums, n_edges, vertices.agg(F.count(F.lit(1)).alias("n_vertices")))
     return out.withColumn("euler", F.col("n_vertices") - F.col("n_edges") + F.col("n_faces"))
 
 

@@ -78,6 +78,8 @@ def strahler(tree: DataFrame) -> DataFrame:
             now = ends.union(inner.select("vertex_id", "parent", value.alias("strahler")))
         below = runtime.materialize(now, "strahler-level")
         done = below if done is None else done.union(below)
+        if level % 16 == 0:  # keeps the plan of a deep tree short
+            done = runtime.materialize(done, "strahler-done")
     if done is None:
         return tree.select("vertex_id", F.lit(0).cast("long").alias("strahler"))
     return done.select("vertex_id", "strahler")

@@ -176,6 +176,13 @@ def graph_prune(spark, sf):
     return graph.prune_leaves(fx.edges(spark, sf), 2)
 
 
+@query(f"""WITH {SPARSE}, k AS (SELECT c_custkey AS v FROM customer WHERE c_custkey BETWEEN 20 AND 900 AND c_nationkey BETWEEN 3 AND 20)
+SELECT edge_id, v0, v1, weight FROM e WHERE v0 IN (SELECT v FROM k) AND v1 IN (SELECT v FROM k)""")
+def graph_filter_bbox(spark, sf):
+    points = fx.table(spark, sf, "customer").selectExpr("c_custkey AS vertex_id", "c_custkey AS x", "c_nationkey AS y", "0 AS z")
+    return graph.within_bbox(points, fx.edges(spark, sf), (20, 3, 0), (900, 20, 0))[1].select("edge_id", "v0", "v1", "weight")
+
+
 # -- trees -----------------------------------------------------------------------
 
 DEPTH = "dd(v, d) AS (SELECT vertex_id, CAST(0 AS BIGINT) FROM t WHERE parent < 0 UNION ALL SELECT t.vertex_id, d + 1 FROM dd JOIN t ON t.parent = dd.v)"

@@ -42,6 +42,30 @@ def read_points(spark: SparkSession, path: str, level: int = 0, low: tuple | Non
     return out.select(*columns) if columns else out
 
 
+def write_composite(parts: dict[str, DataFrame], path: str, level: int, shape: tuple) -> None:
+    """Several geometry types in one level, told apart by ``geometry_type``."""
+    out = None
+    for name, rows in parts.items():
+        typed = rows.withColumn("geometry_type", F.lit(name))
+        out = typed if out is None else out.unionByName(typed, allowMissingColumns=True)
+    write_level(out, path, level, shape)
+
+
+def read_composite(spark: SparkSession, path: str, level: int, geometry_type: str, **filters_) -> DataFrame:
+    """The vertices of one geometry type; takes the filters of ``read_points``."""
+    return read_points(spark, path, level, **filters_).where(F.col("geometry_type") == geometry_type)
+
+
+def write_back(spark: SparkSession, path: str, level: int, values: DataFrame, key: str = "vertex_id") -> None:
+    """Adds the columns of ``values`` to a level's vertices (null where a key is missing),
+    by way of a copy beside it."""
+    shape = level_shape(spark, path, level)
+    old = spark.read.parquet(f"{path}/level={level}").drop(*CHUNK)
+    made = [c for c in values.columns if c != key]
+    write_level(old.drop(*made).join(values, key, "left"), f"{path}/extended", level, shape)
+    write_level(spark.read.parquet(f"{path}/extended/level={level}").drop(*CHUNK), path, level, shape)
+
+
 def info(spark: SparkSession, path: str) -> DataFrame:
     """level, chunk_shape and columns of every level."""
     return spark.read.option("basePath", f"{path}/meta").parquet(f"{path}/meta/level=*")

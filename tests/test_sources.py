@@ -114,6 +114,18 @@ def test_store(spark, tmp_path):
     assert store.read_points(spark, where, 0).count() == 100
 
 
+def test_composite_and_write_back(spark, tmp_path):
+    a = spark.createDataFrame([(i, float(i), 0.0, 0.0) for i in range(10)], "vertex_id long, x double, y double, z double")
+    b = spark.createDataFrame([(100 + i, float(i), 1.0, 0.0, 2.5) for i in range(5)], "vertex_id long, x double, y double, z double, w double")
+    where = str(tmp_path / "c")
+    store.write_composite({"points": a, "mesh": b}, where, 0, (4.0, 4.0, 4.0))
+    assert store.read_composite(spark, where, 0, "mesh").count() == 5 and store.read_composite(spark, where, 0, "points", low=(0, 0, 0), high=(3, 9, 9)).count() == 4
+    store.write_back(spark, where, 0, spark.createDataFrame([(3, 9), (104, 8)], "vertex_id long, label long"))
+    got = {r.vertex_id: r.label for r in store.read_points(spark, where, 0).collect()}
+    assert len(got) == 15 and got[3] == 9 and got[104] == 8 and got[0] is None
+    assert store.validate(spark, where) == []
+
+
 def test_headers(spark):
     registry = headers.HeaderRegistry()
     registry.add(headers.Header("trk", {"affine": [1, 0]}))
