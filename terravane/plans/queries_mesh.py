@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from terravane.operators import binning, filters, mesh
+from terravane.operators import binning, filters, mesh, quadric
 from terravane.plans import fixtures as fx
 
 QUERIES, ORACLES = {}, {}
@@ -128,6 +128,12 @@ def mesh_simplify(spark, sf):
     return binning.coarsen_mesh_to(v, f, max(1, f.count() // 4))[1]
 
 
+@query(None)
+def mesh_quadric(spark, sf):
+    """Collapses depend on the order of equal costs; tests hold shapes and counts."""
+    return quadric.simplify(*fx.mesh(spark, sf), 0.5)
+
+
 @query(f"""WITH {fx.M}, k AS (SELECT * FROM v WHERE x BETWEEN 3 AND 20 AND y BETWEEN 2 AND 17 AND z BETWEEN 0 AND 45)
 SELECT face_id, v0, v1, v2 FROM f WHERE v0 IN (SELECT vertex_id FROM k) AND v1 IN (SELECT vertex_id FROM k) AND v2 IN (SELECT vertex_id FROM k)""")
 def mesh_filter_bbox(spark, sf):
