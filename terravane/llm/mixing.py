@@ -256,7 +256,7 @@ def mix_sources(
     block_words: int = 256,
     shard_slots: int = 4096,
     seed: int = 20240607,
-    bucket_rows: int = 20_000,
+    bucket_rows: int = 4000,
     max_sources: int = 100_000,
     text_col: str = "text",
     keep_text: bool = True,
