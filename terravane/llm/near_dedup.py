@@ -238,7 +238,7 @@ def near_duplicates(
     percent: int = 85,
     rows: int = 6,
     bands: int = 32,
-    block_members: int = 20_000,
+    block_members: int = 4096,
 ) -> DataFrame:
     """id, text_hash, n_shingles, component_id and kept, one row per input row."""
     low, high = 100 - percent, 100 + percent
@@ -277,7 +277,9 @@ def near_duplicates(
     ys = here.where("NOT linked").select(
         "hub", "node", "n", "apart", F.lit(1).alias("side"), F.explode(F.expr("sequence(0L, nx - 1)")).alias("bx"), F.expr("pmod(h, ny)").alias("by")
     )
-    further = xs.unionByName(ys).groupBy("hub", "bx", "by").applyInArrow(_lookup(low, high), "a binary, b binary")
+    # dealt by block: the join above leaves rows dealt by hub, which would keep all blocks of a hub in one task
+    blocks = xs.unionByName(ys).repartition("hub", "bx", "by")
+    further = blocks.groupBy("hub", "bx", "by").applyInArrow(_lookup(low, high), "a binary, b binary")
     grouped = components.connected_components(direct.union(further))
     least = grouped.join(classes.select("node", "id"), "node").groupBy("component").agg(F.min("id").alias("component_id"))
     merged = grouped.join(least, "component").select("node", "component_id")
