@@ -265,13 +265,15 @@ def near_duplicates(
     )
     compared = runtime.materialize(both.select("hub", "node", "a", "b").mapInArrow(_compare(low, high), _COMPARED), "near-compared")
     direct = compared.where("linked").select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    # members not linked with their hub, against all members of that hub, block by block
-    groups = (
+    # members not linked with their hub, against all members of that hub, block by block;
+    # the counts are a table of their own, so that the join with them can be split where a hub is large
+    counts = (
         compared.groupBy("hub")
         .agg(F.count(F.lit(1)).alias("all"), F.sum((~F.col("linked")).cast("long")).alias("loose"))
         .where("loose > 0 AND all > 1")
         .select("hub", F.ceil(F.col("all") / block_members).alias("nx"), F.ceil(F.col("loose") / block_members).alias("ny"))
     )
+    groups = runtime.materialize(counts, "near-groups")
     here = compared.join(groups, "hub").select("hub", "node", "n", "linked", "apart", "nx", "ny", F.xxhash64("node").alias("h"))
     xs = here.select("hub", "node", "n", "apart", F.lit(0).alias("side"), F.expr("pmod(h, nx)").alias("bx"), F.explode(F.expr("sequence(0L, ny - 1)")).alias("by"))
     ys = here.where("NOT linked").select(
