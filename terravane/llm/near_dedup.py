@@ -238,7 +238,7 @@ def near_duplicates(
     percent: int = 85,
     rows: int = 6,
     bands: int = 32,
-    block_members: int = 4096,
+    block_members: int = 1024,
 ) -> DataFrame:
     """id, text_hash, n_shingles, component_id and kept, one row per input row."""
     low, high = 100 - percent, 100 + percent
