@@ -37,6 +37,16 @@ def test_query(spark, db, name):
     assert Counter(plain(x for _, x in sorted(zip(names, r))) for r in want.fetchall()) == rows
 
 
+def test_graphs_of_all_orders(spark, db):
+    """Each graph query has a twin over all orders; those without SQL have no other form."""
+    graphs = {n for n in catalog.QUERIES if n.startswith("graph_") and not n.endswith("_all")}
+    assert {n for n in graphs if f"{n}_all" not in catalog.QUERIES} == {"graph_louvain", "graph_prune"}
+    join = "FROM orders a JOIN orders b ON b.o_orderkey = a.o_orderkey + 1 WHERE a.o_custkey <> b.o_custkey"
+    edges, used = db.execute(f"SELECT count(*), (SELECT count(DISTINCT v) FROM (SELECT unnest([a.o_custkey, b.o_custkey]) AS v {join})) {join}").fetchone()
+    assert catalog.QUERIES["graph_adjacency_all"](spark, SF).count() == 2 * edges
+    assert catalog.QUERIES["graph_louvain"](spark, SF).count() == used
+
+
 def test_entry_without_text_operators(tmp_path):
     """The driver may delete the text operators; the rest still loads."""
     import shutil
