@@ -128,7 +128,7 @@ def sketches(docs: DataFrame, text_col: str = "text", rows: int = 6, bands: int
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """node, shingles (binary, ascending) of the wanted (id, node) pairs."""
+    """node, shingles (binary, ascending) of the wanted (id, text_hash, node) rows; an id may be null."""
     added = T.StructType([T.StructField("node", T.BinaryType()), T.StructField("shingles", T.BinaryType())])
 
     def fill(data, offsets, batch):
@@ -138,10 +138,11 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) ->
         sets = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(first) - 1, [None, at.buffers()[1], raw]).cast(pa.binary())
         return {"node": _fixed(set_ids(h, first)), "shingles": sets}
 
-    # the wanted ids build the hash table, so texts are shuffled but not sorted
-    some = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(
-        wanted.select("id", F.col("node").alias("wanted")).hint("shuffle_hash"), "id"
-    )
+    # the wanted rows build the hash table, so texts are shuffled but not sorted
+    some = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    built = wanted.select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("node").alias("wanted"))
+    same = F.col("id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash"))
+    some = some.join(built.hint("shuffle_hash"), same)
     made = tokens.add_columns(some.select("wanted", "text"), fill, added, "text", False, most=2 << 20)
     return made.where("wanted = node").groupBy("node").agg(F.first("shingles").alias("shingles"))
 
@@ -248,7 +249,8 @@ def near_duplicates(
     classes = runtime.materialize(
         sketched.where("node IS NOT NULL")
         .groupBy("node")
-        .agg(F.min("id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")),
+        .agg(F.min(F.struct(F.isnull("id").alias("no_id"), "id", "text_hash")).alias("least"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+        .select("node", "least.id", "least.text_hash", "n", "bands"),
         "near-classes",
     )
     keyed = classes.select("node", F.explode("bands").alias("key"))
@@ -258,7 +260,7 @@ def near_duplicates(
     hubs = members.join(known, "node").groupBy("key").agg(F.max(F.struct("known", "node")).alias("h")).select("key", F.col("h.node").alias("hub"))
     pairs = runtime.materialize(members.join(hubs, "key").where("node <> hub").select("hub", "node").distinct(), "near-pairs")
     involved = pairs.select("node").union(pairs.select(F.col("hub").alias("node"))).distinct()
-    wanted = classes.select("node", "id").join(involved, "node", "left_semi")
+    wanted = classes.select("node", "id", "text_hash").join(involved, "node", "left_semi")
     sets = runtime.materialize(_sets_of(docs, wanted, id_col, text_col), "near-sets")
     both = pairs.join(sets.select(F.col("node").alias("hub"), F.col("shingles").alias("a")), "hub").join(
         sets.select("node", F.col("shingles").alias("b")), "node"

@@ -146,6 +146,17 @@ def test_near_duplicates(spark, odd_texts, block_members):
     assert Counter((r.id, r.n_shingles, r.component_id, r.kept) for r in got.collect()) == want
 
 
+def test_near_copies_without_ids(spark):
+    """A chain of near copies whose middle, or all, have no id."""
+    chain = [f"m{i}" for i in range(200)]
+    docs = [(None if 0 < k < 5 else 10 + k, " ".join(chain[: 200 - 12 * k])) for k in range(6)]
+    docs += [(None, " ".join(f"o{i}" for i in range(100 - k))) for k in range(3)]
+    got = near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"))
+    want = Counter((k, *g, k == g[1]) for (k, _), g in zip(docs, groups(docs)))
+    assert Counter((r.id, r.n_shingles, r.component_id, r.kept) for r in got.collect()) == want
+    assert {g for _, g in groups(docs)} == {10, None}
+
+
 def test_deduplicate_keeps_columns(spark, odd_docs, no_docs):
     kept = near_dedup.deduplicate(odd_docs)
     assert kept.columns == odd_docs.columns and 0 < kept.count() < odd_docs.count()
