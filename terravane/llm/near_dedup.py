@@ -232,7 +232,12 @@ def _lookup(low: int, high: int, most: int = 2_000_000):
     return run
 
 
-def near_duplicates(
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """id, text_hash, n_shingles, component_id and kept, one row per input row."""
+    return _grouped(docs, id_col, text_col, **options).drop("group")
+
+
+def _grouped(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -241,7 +246,7 @@ def near_duplicates(
     bands: int = 32,
     block_members: int = 1024,
 ) -> DataFrame:
-    """id, text_hash, n_shingles, component_id and kept, one row per input row."""
+    """The columns of ``near_duplicates``, and group: the least node of the row's group (null without words)."""
     low, high = 100 - percent, 100 + percent
     ids = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     sketched = runtime.materialize(sketches(ids, "text", rows, bands), "near-sketches")
@@ -286,21 +291,37 @@ def near_duplicates(
     further = blocks.groupBy("hub", "bx", "by").applyInArrow(_lookup(low, high), "a binary, b binary")
     grouped = components.connected_components(direct.union(further))
     least = grouped.join(classes.select("node", "id"), "node").groupBy("component").agg(F.min("id").alias("component_id"))
-    merged = grouped.join(least, "component").select("node", "component_id")
+    merged = grouped.join(least, "component").select("node", "component", "component_id")
     final = runtime.materialize(
-        classes.select("node", "id").join(merged, "node", "left").select("node", F.coalesce("component_id", "id").alias("component_id")),
+        classes.select("node", "id")
+        .join(merged, "node", "left")
+        .select("node", F.coalesce("component_id", "id").alias("component_id"), F.coalesce("component", "node").alias("group")),
         "near-components",
     )
     out = sketched.select("id", "text_hash", "n_shingles", "node").join(final, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id"))
-    return out.select("id", "text_hash", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
+    done = out.select("id", "text_hash", "n_shingles", component.alias("component_id"), "group")
+    return done.withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
 
 
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
-    """The documents that stay, one of each group, with their own columns."""
-    found = near_duplicates(docs, **options).where("kept").select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    """The documents that stay, one of each group, with their own columns.
+
+    Where the kept id stands for several texts, or for none, the one with the least
+    hash stays; of rows that repeat its id and text any one.  Rows without words all stay.
+    """
+    kept = _grouped(docs, **options).where("kept")
+    same_text = kept.where("group IS NOT NULL").groupBy("group", "id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
+    one = same_text.groupBy("group").agg(F.min(F.struct("text_hash", "id", "n")).alias("c")).select("c.id", "c.text_hash", "c.n")
+    empty = kept.where("group IS NULL").select("id", "text_hash").distinct().withColumn("n", F.lit(1).cast("long"))
+    found = runtime.materialize(one.union(empty).toDF("__id", "__hash", "__n"), "near-kept")
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash"))
-    return docs.join(found.hint("shuffle_hash"), same, "left_semi")
+    single = docs.join(found.where("__n = 1").hint("shuffle_hash"), same, "left_semi")
+    repeated = found.where("__n > 1")
+    if repeated.isEmpty():
+        return single
+    several = docs.join(repeated.hint("shuffle_hash"), same, "left_semi").withColumn("__hash", F.xxhash64("text"))
+    return single.union(several.dropDuplicates(["doc_id", "__hash"]).drop("__hash"))
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

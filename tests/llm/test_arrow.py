@@ -163,6 +163,17 @@ def test_deduplicate_keeps_columns(spark, odd_docs, no_docs):
     assert near_dedup.deduplicate(no_docs).count() == 0
 
 
+def test_deduplicate_leaves_one(spark):
+    """One row of each group stays, also of repeated ids, of repeated rows and without ids; all without words."""
+    long = [" ".join(f"{c}{i}" for i in range(100)) for c in "abcd"]
+    rows = [(1, long[0]), (1, long[0]), (1, long[0] + " end"), (2, long[0])]
+    rows += [(None, long[1]), (None, long[1]), (None, long[1] + " end"), (None, long[2]), (7, long[3]), (8, ""), (8, ""), (None, None), (None, None)]
+    kept = near_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    worded = Counter((r.doc_id, r.text[0]) for r in kept if r.text)
+    assert worded == {(1, "a"): 1, (None, "b"): 1, (None, "c"): 1, (7, "d"): 1}
+    assert Counter(r.doc_id for r in kept if not r.text) == {8: 2, None: 2}
+
+
 def test_bands_find_links():
     """At similarity 0.85 a pair shares a bucket, and both halves of a signature agree with it."""
     draw, shared = np.random.default_rng(2), 0
