@@ -9,7 +9,7 @@ import pytest
 
 import __spark_entry__
 import corpus_pipeline
-from tests.llm.test_arrow import WORD, contamination, groups
+from tests.llm.test_arrow import WORD, contamination, groups, shingles
 from tests.llm.test_native import secrets
 
 SF = "/root/testdata/sf0.001"
@@ -64,6 +64,18 @@ def test_stages(spark, corpus, tmp_path):
     assert Counter(map(key, corpus_pipeline.run(spark, where).collect())) == Counter(map(key, mix))
 
 
+def test_near_copies_from_four_fifths(spark):
+    """The stage drops copies at similarity 0.80 to 0.85, and none below 0.80."""
+    words = [f"w{i}" for i in range(104)]
+    texts = [" ".join(words), " ".join(words[:84]), " ".join(words[:87])]  # 100, 80 and 83 shingles
+    other = [f"o{i}" for i in range(104)]
+    texts += [" ".join(other), " ".join(other[:83])]  # 100 and 79
+    sets = [shingles(t) for t in texts]
+    assert [100 * len(sets[a] & sets[b]) // len(sets[a] | sets[b]) for a, b in ((0, 1), (0, 2), (3, 4))] == [80, 83, 79]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOC)
+    assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()} == {0, 3, 4}
+
+
 @pytest.mark.parametrize("name", [n for n in __spark_entry__.queries() if re.match(r"op\d+_", n)])
 def test_queries_match_their_sql(spark, name):
     got = __spark_entry__.queries()[name](spark, SF)
