@@ -114,51 +114,70 @@ class EliasFano:
         return out
 
 
-def mapped(arrays: list[np.ndarray]) -> list[np.ndarray]:
-    """Copies of the arrays, as views of one anonymous memory map."""
-    sizes = [-(-a.nbytes // 8) * 8 for a in arrays]
-    room, out, at = mmap.mmap(-1, max(8, sum(sizes))), [], 0
-    for a, n in zip(arrays, sizes, strict=True):
-        room[at : at + a.nbytes] = a.tobytes()
-        out.append(np.frombuffer(room, a.dtype, len(a), at))
-        at += n
+def stored(arrays: list[np.ndarray]) -> bytes:
+    """The arrays as one value: their number, (kind, length) of each, then their bytes,
+    each begun at a multiple of eight."""
+    head = [len(arrays)] + [x for a in arrays for x in (_KINDS.index(a.dtype.str), len(a))]
+    room = b"".join(a.tobytes() + bytes(-a.nbytes % 8) for a in arrays)
+    return np.array(head, np.int64).tobytes() + room
+
+
+def mapped(value) -> list[np.ndarray]:
+    """The arrays of ``stored``, as views of one anonymous memory map."""
+    size = memoryview(value).nbytes
+    room = mmap.mmap(-1, max(8, size))
+    room[:size] = bytes(value) if isinstance(value, memoryview) else memoryview(value)
+    n, out = int(np.frombuffer(room, np.int64, 1)[0]), []
+    at = 8 + 16 * n
+    for kind, length in np.frombuffer(room, np.int64, 2 * n, 8).reshape(-1, 2):
+        out.append(np.frombuffer(room, np.dtype(_KINDS[kind]), int(length), at))
+        at += -(-out[-1].nbytes // 8) * 8
     return out
 
 
-#: Quantised probabilities: code 0 is "not there"; 1..255 cover 10^-FLOOR to 1.
-FLOOR = 9.0
+#: Kinds of stored arrays.
+_KINDS = ["|u1", "<i8", "<u8"]
+#: Quantised counts: code 0 is "not there", up to EXACT a count is its own code, and the
+#: codes beyond are even steps of its logarithm.
+EXACT, MOST = 63, 1e15
+_STEP = np.log(MOST / EXACT) / (255 - EXACT)
 
 
-def quantised(p: np.ndarray) -> np.ndarray:
-    return np.clip(np.rint(255 + np.log10(p) * (254 / FLOOR)), 1, 255).astype(np.uint8)
+def quantised(n: np.ndarray) -> np.ndarray:
+    far = np.rint(EXACT + np.log(np.maximum(n, 1) / EXACT) / _STEP)
+    return np.where(n <= EXACT, n, np.clip(far, EXACT, 255)).astype(np.uint8)
 
 
-def restored(code: np.ndarray) -> np.ndarray:
-    return np.where(code > 0, 10.0 ** ((code.astype(np.float64) - 255) * (FLOOR / 254)), 0.0)
+#: The count that each code stands for.
+RESTORED = np.where(np.arange(256) <= EXACT, np.arange(256), EXACT * np.exp((np.arange(256) - EXACT) * _STEP))
 
 
 class Trie:
-    """Words, pointers to their successors, and the successors' probabilities.
+    """Words, pointers to their successors, and the successors' quantised counts.
 
-    words: ascending 64-bit words with ``counts`` each; pairs: (place of the first
-    word, second word, probability), ascending.  Level one is the words and their
+    Level one is the words (ascending, 64 bits) with exact ``counts`` and monotone
     pointers; level two holds, for each successor of word i with number s among the
-    shard's ``m`` distinct successors, the value i * m + s, which ascends.
+    shard's ``m`` distinct successors, the value i * m + s, which ascends.  A
+    successor's count over its word's count is its probability.
     """
 
-    def __init__(self, words: np.ndarray, counts: np.ndarray, first: np.ndarray, second: np.ndarray, p: np.ndarray):
-        names = np.unique(second)
+    @staticmethod
+    def arrays(words: np.ndarray, counts: np.ndarray, first: np.ndarray, second: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+        """Of words with counts, and pairs (place of the first word, second word, count), both ascending."""
+        names, place = np.unique(second, return_inverse=True)
         pointers = np.searchsorted(first, np.arange(len(words) + 1))
-        value = first.astype(_U) * _U(max(1, len(names))) + np.searchsorted(names, second).astype(_U)
-        stored = [
+        value = first.astype(_U) * _U(max(1, len(names))) + place.astype(_U)
+        levels = [
             EliasFano.arrays(words, 1 << 64),
             EliasFano.arrays(pointers, len(first) + 1),
             EliasFano.arrays(names, 1 << 64),
             EliasFano.arrays(value, max(1, len(words) * len(names))),
         ]
-        flat = mapped([a for s in stored for a in s] + [quantised(p), counts.astype(np.int64)])
+        return [a for level in levels for a in level] + [quantised(n), counts.astype(np.int64)]
+
+    def __init__(self, flat: list[np.ndarray]):
         self.words, self.pointers, self.names, self.pairs = (EliasFano(*flat[4 * k : 4 * k + 4]) for k in range(4))
-        self.codes, self.counts, self.m = flat[16], flat[17], max(1, len(names))
+        self.codes, self.counts, self.m = flat[16], flat[17], max(1, self.names.n)
 
     def lookup(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(place or -1, count, first successor, end of successors) of each word."""
@@ -171,7 +190,7 @@ class Trie:
         return at, count, begin, end
 
     def codes_of(self, place: np.ndarray, begin: np.ndarray, end: np.ndarray, second: np.ndarray) -> np.ndarray:
-        """Quantised probability of ``second`` after the word at ``place`` (0: unseen),
+        """Quantised count of ``second`` after the word at ``place`` (0: unseen),
         searched among that word's successors [begin, end)."""
         out = np.zeros(len(second), np.uint8)
         s = self.names.find(second)

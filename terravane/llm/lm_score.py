@@ -1,4 +1,4 @@
-r"""Language-model scores from Elias-Fano n-gram tries.
+r"""Language-model scores from stored Elias-Fano n-gram tries.
 
 The model is an interpolated bigram model with absolute discounting over all
 training documents:
@@ -10,24 +10,30 @@ with t(c) the distinct words after c; a context never seen gives P(w).  A text's
 tokens are its words (A-Z lower-cased, runs of ``[^\x20\x09-\x0D]``) and one end;
 the first token's context is a start mark.  Words are 64-bit hashes.
 
-Documents fall into batches of some megabytes by a hash of the row.  Each batch
-counts its own distinct words and pairs and sends them, cut by ranges of the
-context's hash, to twice as many shards.  A shard adds up the training counts, builds
-its trie (levels of Elias-Fano sequences with 8-bit probabilities in one memory
-map) and answers every batch from it, in the order in which it asked.  The answers
-are written, and each batch then scores its documents.  Contexts that are
-frequent in a bounded sample are cut further, by the hash of the successor, so
-that one frequent word does not fill a shard; that list only routes, and counts
-stay exact.
+``fit`` counts each task's distinct words and pairs some megabytes of text at a time,
+sends them to the shard that owns the context's hash, adds them up there and writes
+one trie a shard: Elias-Fano levels with 8-bit counts.  ``Model.score`` deals the
+documents into batches by a hash of the row; a batch asks each shard once for its
+distinct words and pairs there, the shards answer from their tries, and the batch
+scores its documents.  A word is sent to one shard and a pair to one shard, so what
+is shuffled grows in proportion to the text, whatever the number of batches.
+
+A context that is frequent in a bounded sample has its successors dealt over as many
+shards as its share asks for (``Routes``).  That list only routes, and counts stay
+exact; its words' t(c) are added up over the shards.
 
 Defined results
 * null or empty text: the end is its only token.
 * Repeated rows and ids: documents of their own, each counted.
 * No training documents: N = V = 0 and P(w) = 1.  Empty table: empty result.
+* Input columns named like an output column are replaced by it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -35,11 +41,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terravane.llm import tokens
-from terravane.llm.elias_fano import Trie, restored
+from terravane.llm.elias_fano import RESTORED, Trie, mapped, stored
 from terravane.plans import runtime
 
 START, END = np.uint64(2), np.uint64(3)
 DISCOUNT = 0.75
+_SPLIT = np.uint64(0x9E3779B97F4A7C15)
 
 
 def token_stream(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -53,8 +60,31 @@ def token_stream(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return token, at
 
 
+@dataclass(frozen=True)
+class Routes:
+    """Where words and pairs go.  ``hot``: ascending contexts whose successors are dealt
+    over ``splits`` parts each."""
+
+    shards: int
+    hot: np.ndarray
+    splits: np.ndarray
+
+    def of(self, h: np.ndarray) -> np.ndarray:
+        """Shards of hashes, ascending with them."""
+        return ((h >> np.uint64(32)) * np.uint64(self.shards) >> np.uint64(32)).astype(np.int64)
+
+    def is_hot(self, words: np.ndarray) -> np.ndarray:
+        return np.isin(words, self.hot)
+
+    def of_parts(self, context: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """Shards of pairs with hot contexts."""
+        parts = self.splits[np.searchsorted(self.hot, context)].astype(np.uint64)
+        part = (tokens.mix(second) >> np.uint64(32)) * parts >> np.uint64(32)
+        return self.of(tokens.mix(context + (part + np.uint64(1)) * _SPLIT))
+
+
 class Batch:
-    """A batch's distinct words and (context, word) pairs, both ascending."""
+    """The distinct words and (context, word) pairs of some texts, both ascending."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         token, self.first = token_stream(data, offsets)
@@ -64,11 +94,11 @@ class Batch:
         self.words = names[order]
         place = np.empty(len(order), np.int32)  # a batch has fewer tokens than that
         place[order] = np.arange(len(order), dtype=np.int32)
-        self.token, start = place[code[:-1]], place[code[-1]]
+        self.token, self.start = place[code[:-1]], int(place[code[-1]])
         del code
         key = np.empty(len(self.token), np.int64)
         key[1:] = self.token[:-1]
-        key[self.first[:-1]] = start
+        key[self.first[:-1]] = self.start
         key *= len(self.words)
         key += self.token
         order = np.argsort(key)
@@ -81,31 +111,28 @@ class Batch:
         key = key[new]
         self.context, self.second = key // len(self.words), key % len(self.words)
 
-    def routes(self, shards: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(shard of each word, shard of each pair, whether a word is hot)."""
-        own = shard_of(self.words, shards)
-        is_hot = np.isin(self.words, hot)
+    def asked(self, routes: Routes) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(shard, places of words, which of them it owns, places of pairs) for each shard
+        that owns some; contexts of its pairs are among the words."""
+        own = routes.of(self.words)  # ascending
+        hot = routes.is_hot(self.words)
         pair = own[self.context]
-        cut = is_hot[self.context]
-        pair[cut] = shard_of(tokens.mix(self.words[self.second[cut]]), shards)
-        return own, pair, is_hot
-
-    def asked(self, shards: int, hot: np.ndarray):
-        """For each shard: (shard, places of the words, places of the pairs) it is asked for;
-        hot words are listed in every shard."""
-        own, pair, is_hot = self.routes(shards, hot)
-        hots = np.flatnonzero(is_hot)
-        plain = np.flatnonzero(~is_hot)
-        word_at = np.searchsorted(own[plain], np.arange(shards + 1))  # words ascend, so do their shards
+        cut = np.flatnonzero(hot[self.context])
+        pair[cut] = routes.of_parts(self.words[self.context[cut]], self.words[self.second[cut]])
         order = np.argsort(pair, kind="stable")
-        pair_at = np.searchsorted(pair[order], np.arange(shards + 1))
-        for s in range(shards):
-            words = np.union1d(plain[word_at[s] : word_at[s + 1]], hots)
-            yield s, words, order[pair_at[s] : pair_at[s + 1]]
-
+        dealt = pair[order]
+        for s in np.union1d(own, dealt):
+            p = order[np.searchsorted(dealt, s) : np.searchsorted(dealt, s, "right")]
+            w = np.arange(np.searchsorted(own, s), np.searchsorted(own, s, "right"))
+            foreign = self.context[p]
+            foreign = foreign[own[foreign] != s]
+            if len(foreign):
+                w = np.union1d(w, foreign)
+            yield int(s), w, own[w] == s, p
 
-def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
-    return ((h >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+    def after(self, w: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """How many of the pairs p have each of the words w as context."""
+        return np.bincount(np.searchsorted(w, self.context[p]), minlength=len(w)).astype(np.uint32)
 
 
 def _joined(arrays: list[np.ndarray]) -> bytes:
@@ -121,56 +148,51 @@ def _cut(raw: pa.Scalar, kinds: list[type]) -> list[np.ndarray]:
     return out
 
 
-_ASK = [np.uint64, np.uint32, np.uint32, np.uint64, np.uint32]  # words, their counts and successors; successors, their counts
-_REPLY = [np.int64, np.uint32, np.uint8]  # words' counts and distinct successors; pairs' codes
-
-
-def _text(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    return tokens.text_bytes(table.column("text").combine_chunks())
-
-
-def _ask(shards: int, hot: np.ndarray):
-    def run(table: pa.Table) -> pa.Table:
-        number = table.column("batch")[0].as_py()
-        batch = Batch(*_text(table))
-        train = np.repeat(table.column("train").to_numpy(), np.diff(batch.first))
-        word_n = np.bincount(batch.token[train], minlength=len(batch.words)).astype(np.uint32)
-        pair_n = np.bincount(batch.pair[train], minlength=len(batch.second)).astype(np.uint32)
-        starts = np.searchsorted(batch.words, START)
-        word_n[starts] = int(table.column("train").to_numpy().sum())
-        rows = []
-        for s, w, p in batch.asked(shards, hot):
-            if len(w) or len(p):
-                after = np.bincount(np.searchsorted(w, batch.context[p]), minlength=len(w)).astype(np.uint32)
-                rows.append((s, _joined([batch.words[w], word_n[w], after, batch.words[batch.second[p]], pair_n[p]])))
-        return pa.table(
-            {
-                "batch": pa.array([number] * len(rows), pa.int64()),
-                "shard": pa.array([s for s, _ in rows], pa.int64()),
-                "ask": pa.array([r for _, r in rows], pa.binary()),
-            }
-        )
+_COUNTED = [np.uint64, np.uint32, np.uint32, np.uint64, np.uint32]  # words, their counts and successors; successors, their counts
+_ASKED = [np.uint64, np.uint32, np.uint64]  # words, their successors; successors
+_REPLY = [np.int64, np.uint32, np.uint8]  # own words' counts and distinct successors; pairs' codes
+
+
+def _count(routes: Routes, batch_bytes: int):
+    """Kernel of fit: texts to (shard, counts), about ``batch_bytes`` at a time."""
+
+    def counted(parts: list[pa.Array]) -> pa.RecordBatch:
+        batch = Batch(*tokens.text_bytes(pa.chunked_array(parts).combine_chunks()))
+        word_n = np.bincount(batch.token, minlength=len(batch.words)).astype(np.uint32)
+        pair_n = np.bincount(batch.pair, minlength=len(batch.second)).astype(np.uint32)
+        word_n[batch.start] = len(batch.first) - 1
+        shard, value = [], []
+        for s, w, own, p in batch.asked(routes):
+            shard.append(s)
+            value.append(_joined([batch.words[w], np.where(own, word_n[w], 0).astype(np.uint32), batch.after(w, p), batch.words[batch.second[p]], pair_n[p]]))
+        return pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array(value, pa.binary())], names=["shard", "counts"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size = [], 0
+        for batch in batches:
+            column = batch.column(0).cast(pa.large_string())
+            if parts and size + column.nbytes > batch_bytes:
+                yield counted(parts)
+                parts, size = [], 0
+            parts.append(column)
+            size += column.nbytes
+        if parts:
+            yield counted(parts)
 
     return run
 
 
-def _reply(shards: int, hot: np.ndarray, discount: float):
+def _build(routes: Routes):
+    """Kernel of fit: the counts of one shard, added up, as a stored trie."""
+
     def run(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
-        batches = table.column("batch").to_pylist()
-        asks = [_cut(x, _ASK) for x in table.column("ask").combine_chunks()]
-        words, code = np.unique(np.concatenate([a[0] for a in asks]), return_inverse=True)
-        count = np.bincount(code, np.concatenate([a[1] for a in asks]), len(words)).astype(np.int64)
-        seen = np.flatnonzero(count)  # the model's words; the others were only asked for
-        place = np.full(len(words), -1, np.int64)
-        place[seen] = np.arange(len(seen))
-        at = np.concatenate([[0], np.cumsum([len(a[0]) for a in asks])])
-        first = [np.repeat(place[code[at[i] : at[i + 1]]], a[2]) for i, a in enumerate(asks)]
-        # training pairs, added up over the batches
-        trained = [np.flatnonzero(a[4]) for a in asks]
-        x = np.concatenate([f[t] for f, t in zip(first, trained, strict=True)])
-        y = np.concatenate([a[3][t] for a, t in zip(asks, trained, strict=True)])
-        n = np.concatenate([a[4][t] for a, t in zip(asks, trained, strict=True)]).astype(np.int64)
+        counts = [_cut(x, _COUNTED) for x in table.column("counts").combine_chunks()]
+        words, code = np.unique(np.concatenate([a[0] for a in counts]), return_inverse=True)
+        count = np.bincount(code, np.concatenate([a[1] for a in counts]), len(words)).astype(np.int64)
+        x = np.repeat(code, np.concatenate([a[2] for a in counts]))
+        y = np.concatenate([a[3] for a in counts])
+        n = np.concatenate([a[4] for a in counts]).astype(np.int64)
         order = np.lexsort((y, x))
         x, y, n = x[order], y[order], n[order]
         new = np.ones(len(x), bool)
@@ -178,28 +200,65 @@ def _reply(shards: int, hot: np.ndarray, discount: float):
         starts = np.flatnonzero(new)
         n = np.add.reduceat(n, starts) if len(starts) else n
         x, y = x[starts], y[starts]
-        trie = Trie(words[seen], count[seen], x, y, (n - discount) / count[seen][x])
-        replies = []
-        for a in asks:
-            where, total, begin, end = trie.lookup(a[0])
-            codes = trie.codes_of(np.repeat(where, a[2]), np.repeat(begin, a[2]), np.repeat(end, a[2]), a[3])
-            replies.append(_joined([total, (end - begin).astype(np.uint32), codes]))
-        mine = (words[seen] != START) & (~np.isin(words[seen], hot) | (shard_of(words[seen], shards) == shard))
-        k = len(batches)
+        mine = (words != START) & (routes.of(words) == shard)
+        hot = np.flatnonzero(routes.is_hot(words))
+        kinds = np.bincount(x, minlength=len(words))[hot]
+        parts = [{"word": int(w), "kinds": int(k)} for w, k in zip(words[hot].view(np.int64), kinds, strict=True) if k]
         return pa.table(
             {
-                "batch": pa.array([*batches, -1], pa.int64()),
-                "shard": pa.array([shard] * (k + 1), pa.int64()),
-                "reply": pa.array([*replies, None], pa.binary()),
-                "n": pa.array([0] * k + [int(count[seen][mine].sum())], pa.int64()),
-                "v": pa.array([0] * k + [int(mine.sum())], pa.int64()),
+                "shard": pa.array([shard], pa.int64()),
+                "trie": pa.array([stored(Trie.arrays(words, count, x, y, n))], pa.binary()),
+                "n": pa.array([int(count[mine].sum())], pa.int64()),
+                "v": pa.array([int(mine.sum())], pa.int64()),
+                "hot": pa.array([parts], pa.list_(pa.struct([("word", pa.int64()), ("kinds", pa.int64())]))),
             }
         )
 
     return run
 
 
-def _score(shards: int, hot: np.ndarray, n: int, v: int, discount: float, kept: list[str]):
+def _text(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    return tokens.text_bytes(table.column("text").combine_chunks())
+
+
+def _ask(routes: Routes):
+    def run(table: pa.Table) -> pa.Table:
+        number = table.column("batch")[0].as_py()
+        batch = Batch(*_text(table))
+        shard, value = [], []
+        for s, w, _, p in batch.asked(routes):
+            shard.append(s)
+            value.append(_joined([batch.words[w], batch.after(w, p), batch.words[batch.second[p]]]))
+        return pa.table({"batch": pa.array([number] * len(shard), pa.int64()), "shard": pa.array(shard, pa.int64()), "ask": pa.array(value, pa.binary())})
+
+    return run
+
+
+def _reply(routes: Routes, kinds: np.ndarray):
+    """Kernel of score: a shard's answers; ``kinds`` are the distinct successors of the hot words."""
+
+    def run(asks: pa.Table, tries: pa.Table) -> pa.Table:
+        if not asks.num_rows:
+            return None
+        shard = asks.column("shard")[0].as_py()
+        none = np.zeros(0, np.uint64)
+        trie = Trie(mapped(tries.column("trie")[0].as_buffer())) if tries.num_rows else Trie(Trie.arrays(none, none, none, none, none))
+        replies = []
+        for raw in asks.column("ask").combine_chunks():
+            words, after, second = _cut(raw, _ASKED)
+            where, total, begin, end = trie.lookup(words)
+            codes = trie.codes_of(np.repeat(where, after), np.repeat(begin, after), np.repeat(end, after), second)
+            own = routes.of(words) == shard
+            have = (end - begin).astype(np.uint32)
+            hot = np.flatnonzero(routes.is_hot(words))
+            have[hot] = kinds[np.searchsorted(routes.hot, words[hot])]
+            replies.append(_joined([total[own], have[own], codes]))
+        return pa.table({"batch": asks.column("batch"), "shard": asks.column("shard"), "reply": pa.array(replies, pa.binary())})
+
+    return run
+
+
+def _score(routes: Routes, n: int, v: int, discount: float, kept: list[str]):
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         if not texts.num_rows:
             return None
@@ -208,15 +267,12 @@ def _score(shards: int, hot: np.ndarray, n: int, v: int, discount: float, kept:
         count = np.zeros(len(batch.words), np.int64)
         kinds = np.zeros(len(batch.words), np.int64)
         code = np.zeros(len(batch.second), np.uint8)
-        for s, w, p in batch.asked(shards, hot):
-            if len(w) or len(p):
-                total, after, codes = replies[s]
-                count[w] = total
-                kinds[w] += after  # a hot word's successors are spread over shards
-                code[p] = codes
+        for s, w, own, p in batch.asked(routes):
+            count[w[own]], kinds[w[own]], code[p] = replies[s]
         p_word = (count + 0.5) / (n + 0.5 * (v + 1)) if n else np.ones(len(count))
-        rest = np.where(kinds > 0, discount * kinds / np.maximum(count, 1), 1.0)
-        p_pair = restored(code) + rest[batch.context] * p_word[batch.second]
+        total = np.maximum(count, 1)
+        rest = np.where(kinds > 0, discount * kinds / total, 1.0)
+        p_pair = np.maximum(RESTORED[code] - discount, 0.0) / total[batch.context] + rest[batch.context] * p_word[batch.second]
         # every text has a token, so each sum is over its own range
         score = np.add.reduceat(np.log10(np.minimum(p_pair, 1.0))[batch.pair], batch.first[:-1])
         base = np.add.reduceat(np.log10(p_word)[batch.token], batch.first[:-1])
@@ -236,53 +292,67 @@ def _score(shards: int, hot: np.ndarray, n: int, v: int, discount: float, kept:
     return run
 
 
-def _hot_words(rows: DataFrame, total: int, shards: int, sample_bytes: int) -> np.ndarray:
-    """Words with over a quarter of a shard's share of a bounded sample."""
+def hot_contexts(texts: DataFrame, total: int, shards: int, sample_bytes: int) -> tuple[np.ndarray, np.ndarray]:
+    """(words with over a quarter of a shard's share of a bounded sample, ascending; into
+    how many parts the successors of each are cut)."""
     share = max(1, round((1 << 30) * min(1.0, sample_bytes / max(1, total))))
-    some = rows.where(F.pmod(F.xxhash64(F.col("__h"), F.lit(1)), F.lit(1 << 30)) < share).select("text").collect()
-    data, offsets = tokens.text_bytes(pa.array([r["text"] for r in some], pa.large_string()))
-    token, _ = token_stream(data, offsets)
-    names, n = np.unique(token, return_counts=True)
-    return names[n * 4 * shards >= max(1, len(token))]
-
-
-def score_texts(
-    docs: DataFrame,
-    train: Column,
-    text_col: str = "text",
-    discount: float = DISCOUNT,
-    batch_bytes: int = 16 << 20,
-    sample_bytes: int = 2 << 20,
-) -> DataFrame:
-    """Input columns (without the text) plus n_tokens, n_known, train_tokens,
-    base_score and score; the model learns from the rows where ``train`` holds."""
-    made = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
-    kept = [c for c in docs.columns if c not in (*made, text_col)]
-    total = int(docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0)
-    batches, parts = runtime.parts_for(total, batch_bytes), runtime.parts_for(2 * total, batch_bytes)
-    hashed = F.xxhash64(*[c for c in docs.columns if docs.schema[c].dataType.typeName() != "map"])
-    rows = docs.withColumns({"__h": hashed, "__train": F.coalesce(train, F.lit(True))}).select(
-        *kept, F.col(text_col).alias("text"), F.col("__train"), F.col("__h"), F.pmod(F.col("__h"), F.lit(batches)).alias("__batch")
-    )
-    hot = _hot_words(rows.select("text", "__h"), total, parts, sample_bytes)
-    asks = (
-        rows.select(F.col("__batch").alias("batch"), F.col("__train").alias("train"), "text")
-        .groupBy("batch")
-        .applyInArrow(_ask(parts, hot), "batch long, shard long, ask binary")
-    )
-    replies = runtime.materialize(
-        asks.groupBy("shard").applyInArrow(_reply(parts, hot, discount), "batch long, shard long, reply binary, n long, v long"), "lm-replies"
-    )
-    whole = replies.where("batch = -1").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
-    n, v = int(whole["n"] or 0), int(whole["v"] or 0)
-    types = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept]
-    schema = ", ".join([*types, "n_tokens long", "n_known long", "train_tokens long", "base_score double", "score double"])
-    return (
-        rows.select(*kept, "text", "__batch")
-        .groupBy("__batch")
-        .cogroup(replies.where("batch >= 0").select("batch", "shard", "reply").groupBy("batch"))
-        .applyInArrow(_score(parts, hot, n, v, discount, kept), schema)
-    )
+    some = texts.where(F.pmod(F.xxhash64("text", F.lit(1)), F.lit(1 << 30)) < share).collect()
+    token, _ = token_stream(*tokens.text_bytes(pa.array([r["text"] for r in some], pa.large_string())))
+    names, n = np.unique(np.append(token, np.full(len(some), START)), return_counts=True)
+    parts = n * 4 * shards // max(1, len(token))
+    return names[parts > 0], np.minimum(parts[parts > 0], shards)
+
+
+MADE = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
+
+
+@dataclass(frozen=True)
+class Model:
+    """tries: shard, trie; the counts of all training tokens and of distinct ones."""
+
+    tries: DataFrame
+    routes: Routes
+    kinds: np.ndarray
+    n: int
+    v: int
+    discount: float
+
+    def score(self, docs: DataFrame, text_col: str = "text", batch_bytes: int = 16 << 20) -> DataFrame:
+        """Input columns (without the text) plus n_tokens, n_known, train_tokens, base_score and score."""
+        kept = [c for c in docs.columns if c not in (*MADE, text_col)]
+        total = int(docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0)
+        hashed = F.xxhash64(*[c for c in docs.columns if docs.schema[c].dataType.typeName() != "map"])
+        batch = F.pmod(hashed, F.lit(runtime.parts_for(total, batch_bytes)))
+        rows = docs.select(*kept, F.col(text_col).alias("text"), batch.alias("batch"))
+        asks = rows.select("batch", "text").groupBy("batch").applyInArrow(_ask(self.routes), "batch long, shard long, ask binary")
+        replies = asks.groupBy("shard").cogroup(self.tries.groupBy("shard")).applyInArrow(_reply(self.routes, self.kinds), "batch long, shard long, reply binary")
+        replies = runtime.materialize(replies, "lm-replies")
+        types = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept]
+        schema = ", ".join([*types, "n_tokens long", "n_known long", "train_tokens long", "base_score double", "score double"])
+        return rows.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(_score(self.routes, self.n, self.v, self.discount, kept), schema)
+
+
+def fit(docs: DataFrame, text_col: str = "text", discount: float = DISCOUNT, batch_bytes: int = 16 << 20, sample_bytes: int = 2 << 20) -> Model:
+    """Count all of ``docs`` and store the tries."""
+    texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    total = int(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    shards = runtime.parts_for(2 * total, batch_bytes)
+    routes = Routes(shards, *hot_contexts(texts, total, shards, sample_bytes))
+    tokens.bound_batches(docs.sparkSession)
+    counted = texts.mapInArrow(_count(routes, batch_bytes), "shard long, counts binary")
+    made = counted.groupBy("shard").applyInArrow(_build(routes), "shard long, trie binary, n long, v long, hot array<struct<word: long, kinds: long>>")
+    tries = runtime.materialize(made, "lm-tries")
+    whole = tries.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
+    kinds = np.zeros(len(routes.hot), np.int64)  # one row for each hot word, of which the sample sets the bound
+    for row in tries.select(F.inline("hot")).groupBy("word").agg(F.sum("kinds").alias("kinds")).collect():
+        kinds[np.searchsorted(routes.hot, np.int64(row["word"]).astype(np.uint64))] = row["kinds"]
+    return Model(tries.select("shard", "trie"), routes, kinds, int(whole["n"] or 0), int(whole["v"] or 0), discount)
+
+
+def score_texts(docs: DataFrame, train: Column, text_col: str = "text", batch_bytes: int = 16 << 20, **options) -> DataFrame:
+    """The scores of ``docs`` under the model of the rows where ``train`` holds (null counts as true)."""
+    model = fit(docs.where(F.coalesce(train, F.lit(True))), text_col, batch_bytes=batch_bytes, **options)
+    return model.score(docs, text_col, batch_bytes)
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

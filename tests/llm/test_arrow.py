@@ -322,14 +322,36 @@ def test_elias_fano():
 
 def test_trie_answers():
     words, counts = np.array([5, 9, 1 << 63], np.uint64), np.array([4, 2, 1])
-    first, second, p = np.array([0, 0, 2]), np.array([5, 1 << 62, 9], np.uint64), np.array([0.5, 0.125, 1.0])
-    t = elias_fano.Trie(words, counts, first, second, p)
-    at, n, begin, end = t.lookup(np.array([5, 9, 1 << 63, 7], np.uint64))
-    assert at.tolist() == [0, 1, 2, -1] and n.tolist() == [4, 2, 1, 0] and (end - begin).tolist() == [2, 0, 1, 0]
+    first, second, n = np.array([0, 0, 2]), np.array([5, 1 << 62, 9], np.uint64), np.array([3, 1, 100_000])
+    kept = elias_fano.mapped(elias_fano.stored(elias_fano.Trie.arrays(words, counts, first, second, n)))
+    t = elias_fano.Trie(kept)
+    at, total, begin, end = t.lookup(np.array([5, 9, 1 << 63, 7], np.uint64))
+    assert at.tolist() == [0, 1, 2, -1] and total.tolist() == [4, 2, 1, 0] and (end - begin).tolist() == [2, 0, 1, 0]
     ask = np.array([0, 0, 0, 1, 2, 3])
     codes = t.codes_of(at[ask], begin[ask], end[ask], np.array([5, 1 << 62, 9, 5, 9, 5], np.uint64))
     assert (codes > 0).tolist() == [True, True, False, False, True, False]
-    assert elias_fano.restored(codes)[[0, 1, 4]] == pytest.approx([0.5, 0.125, 1.0], rel=0.05)
+    assert elias_fano.RESTORED[codes[[0, 1]]].tolist() == [3, 1] and elias_fano.RESTORED[codes[4]] == pytest.approx(100_000, rel=0.09)
+
+
+def test_quantised_counts():
+    n = np.array([0, 1, 2, 62, 63, 64, 70, 1000, 10**9, 10**15])
+    back = elias_fano.RESTORED[elias_fano.quantised(n)]
+    assert back[:5].tolist() == n[:5].tolist() and np.abs(np.log(back[5:] / n[5:])).max() <= elias_fano._STEP / 2 + 1e-9
+
+
+def test_messages_grow_with_the_text():
+    """Words and pairs are sent once a batch, whatever the number of shards; hot contexts are cut and stay whole."""
+    draw = random.Random(1)
+    text = " ".join(draw.choice(["the", f"w{draw.randrange(3000)}"]) for _ in range(60_000))
+    batch = lm_score.Batch(*tokens.text_bytes(pa.array([text], pa.large_string())))
+    the = lm_score.token_stream(*tokens.text_bytes(pa.array(["the"], pa.large_string())))[0][:1]
+    for shards, splits in ((1, 1), (7, 4), (5000, 900)):
+        routes = lm_score.Routes(shards, the, np.array([splits]))
+        rows = list(batch.asked(routes))
+        assert sorted(x for _, w, own, _ in rows for x in w[own]) == list(range(len(batch.words)))
+        assert sorted(x for *_, p in rows for x in p) == list(range(len(batch.second)))
+        assert all(np.isin(batch.context[p], w).all() for _, w, _, p in rows)
+        assert sum(len(w) for _, w, *_ in rows) <= len(batch.words) + splits
 
 
 @pytest.mark.parametrize("batch_bytes", [16 << 20, 3000])
