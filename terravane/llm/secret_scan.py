@@ -22,7 +22,7 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terravane.llm.spans import Kind, joined, labelled, with_spans
+from terravane.llm.spans import Kind, joined, labelled, with_spans, with_uncovered
 
 ALPHABET = string.ascii_uppercase + string.ascii_lowercase + string.digits + "+/_=-"
 SCALE = 64  # quantisation steps per nat
@@ -136,14 +136,12 @@ def scan_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
     rest = [c for c in docs.columns if c not in MADE]
     body = docs.selectExpr(f"struct({', '.join(f'`{c}`' for c in rest)}) AS __row", f"coalesce(`{text_col}`, '') AS text")
     spans = with_spans(body, "text", [*BASE, RUN], context=0)
-    base = spans.selectExpr("*", f"{labelled(names[:3])} AS __base")
-    fresh = "filter(__k3, x -> NOT exists(__base, b -> b.s <= x.s AND b.e >= x.e))"
-    full = base.selectExpr("*", f"{_scored(fresh)} AS __scored")
-    both = full.selectExpr("*", "sort_array(concat(__base, transform(__scored, x -> struct(x.s AS s, 3 AS k, x.e AS e)))) AS __all")
+    scored = spans.selectExpr("*", f"{labelled(names[:3])} AS __base", f"transform({_scored('__k3')}, x -> struct(x.s AS s, 3 AS k, x.e AS e)) AS __scored")
+    both = with_uncovered(scored, "concat(__base, __scored)", 3, "__all")
     return both.selectExpr(
         "__row.*",
         *[f"cast(size(__k{i}) AS bigint) AS n_{n}" for i, n in enumerate(names[:3])],
-        "cast(size(__scored) AS bigint) AS n_markov",
+        "cast(size(__all) - size(__base) AS bigint) AS n_markov",
         f"{joined('__base', names)} AS base_spans",
         f"{joined('__all', names)} AS all_spans",
         "__all AS found",

@@ -3,16 +3,19 @@
 ``regexp_extract_all`` yields the leftmost non-overlapping matches and ``split``
 the text between them; running sums of both lengths are the positions.  Patterns
 here have no empty matches, so there is always one gap more than matches.
+
+Running sums and maxima are taken by doubling: in round p each element adds the one
+2^p places before it.  That is n log n steps for n matches, where appending to a list
+match by match would copy it each time.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-SPAN = "struct<s:int,e:int,t:string,l:string>"
-
 
 @dataclass(frozen=True)
 class Kind:
@@ -30,30 +33,33 @@ def quoted(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def running(values: str, step: Callable[[str, str], str]) -> str:
+    """SQL: ``values`` with each element joined by ``step`` to all before it."""
+    rounds = f"slice(sequence(0, 30), 1, length(bin(greatest(size({values}), 1) - 1)))"
+    return f"""aggregate({rounds}, {values}, (a, p) -> transform(a, (x, i) ->
+        CASE WHEN i >= shiftleft(1, p) THEN {step("x", "get(a, i - shiftleft(1, p))")} ELSE x END))"""
+
+
 def with_spans(df: DataFrame, text: str, kinds: list[Kind], context: int = 24) -> DataFrame:
     """Adds ``__k0``, ``__k1``, ... : for each kind an array of spans
     (s, e: start and end; t: matched text; l: up to ``context`` characters before)."""
-    found = df.selectExpr(
-        "*",
-        *[
-            f"CASE WHEN {k.guard} THEN regexp_extract_all({text}, {quoted(k.pattern)}, 0) ELSE cast(array() AS array<string>) END AS __m{i}"
-            for i, k in enumerate(kinds)
-        ],
+    every = range(len(kinds))
+    none = "cast(array() AS array<string>)"
+    found = df.selectExpr("*", *[f"CASE WHEN {k.guard} THEN regexp_extract_all({text}, {quoted(k.pattern)}, 0) ELSE {none} END AS __m{i}" for i, k in enumerate(kinds)])
+    apart = found.selectExpr(
+        "*", *[f"CASE WHEN size(__m{i}) = 0 THEN {none} ELSE slice(split({text}, {quoted(k.pattern)}, -1), 1, size(__m{i})) END AS __g{i}" for i, k in enumerate(kinds)]
     )
-    placed = found.selectExpr(
+    sized = apart.selectExpr("*", *[f"zip_with(__g{i}, __m{i}, (g, m) -> length(g) + length(m)) AS __n{i}" for i in every])
+    ended = sized.selectExpr("*", *[f"{running(f'__n{i}', '{} + {}'.format)} AS __e{i}" for i in every])
+    placed = ended.selectExpr(
         "*",
         *[
-            f"""CASE WHEN size(__m{i}) = 0 THEN cast(array() AS array<{SPAN}>) ELSE filter(aggregate(
-                zip_with(__m{i}, slice(split({text}, {quoted(k.pattern)}, -1), 1, size(__m{i})), (m, g) -> struct(m AS m, g AS g)),
-                struct(0 AS pos, cast(array() AS array<{SPAN}>) AS found),
-                (a, z) -> struct(a.pos + length(z.g) + length(z.m) AS pos,
-                    array_append(a.found, struct(a.pos + length(z.g) AS s, a.pos + length(z.g) + length(z.m) AS e,
-                                                 z.m AS t, right(z.g, {context}) AS l)) AS found),
-                a -> a.found), x -> {k.test}) END AS __k{i}"""
+            f"""filter(zip_with(zip_with(__m{i}, __g{i}, (m, g) -> struct(m, g)), __e{i}, (z, e) ->
+                struct(e - length(z.m) AS s, e AS e, z.m AS t, right(z.g, {context}) AS l)), x -> {k.test}) AS __k{i}"""
             for i, k in enumerate(kinds)
         ],
     )
-    return placed.drop(*[f"__m{i}" for i in range(len(kinds))])
+    return placed.drop(*[f"__{c}{i}" for c in "mgne" for i in every])
 
 
 def labelled(kinds: list[str], first: int = 0) -> str:
@@ -62,6 +68,18 @@ def labelled(kinds: list[str], first: int = 0) -> str:
     return f"sort_array(concat({', '.join(each)}))"
 
 
+def with_uncovered(df: DataFrame, spans: str, stay: int, name: str) -> DataFrame:
+    """Adds ``name``: of an array of (s, k, e), those of a kind below ``stay``, and of the
+    others those that lie in no other span (of equal ones the first kind stays), ordered."""
+    # by start, the longest first, then by kind: what covers a span comes before it
+    order = f"sort_array(transform({spans}, z -> struct(z.s AS s, -z.e AS r, z.k AS k)))"
+    tops = df.selectExpr("*", f"{order} AS __o").selectExpr("*", "transform(__o, z -> -z.r) AS __z").selectExpr("*", f"{running('__z', 'greatest({}, {})'.format)} AS __t")
+    # arrays meet by zip_with: a column that a lambda indexes may be worked out anew for each element
+    before = "slice(concat(array(-1), __t), 1, size(__o))"
+    left = f"filter(zip_with(__o, {before}, (z, t) -> struct(z.s AS s, z.k AS k, -z.r AS e, t AS t)), z -> z.k < {stay} OR z.t < z.e)"
+    return tops.selectExpr("*", f"sort_array(transform({left}, z -> struct(z.s AS s, z.k AS k, z.e AS e))) AS {name}").drop("__o", "__z", "__t")
+
+
 def joined(spans: str, names: list[str]) -> str:
     """SQL: ``kind:start:end`` by comma, of an array of (s, k, e)."""
     table = "array(" + ", ".join(quoted(n) for n in names) + ")"
