@@ -155,7 +155,7 @@ RESTORED = np.where(np.arange(256) <= EXACT, np.arange(256), EXACT * np.exp((np.
 class Trie:
     """Words, pointers to their successors, and the successors' quantised counts.
 
-    Level one is the words (ascending, 64 bits) with exact ``counts`` and monotone
+    Successors are numbers of 48 bits.  Level one is the words (ascending, 64 bits) with exact ``counts`` and monotone
     pointers; level two holds, for each successor of word i with number s among the
     shard's ``m`` distinct successors, the value i * m + s, which ascends.  A
     successor's count over its word's count is its probability.
@@ -170,7 +170,7 @@ class Trie:
         levels = [
             EliasFano.arrays(words, 1 << 64),
             EliasFano.arrays(pointers, len(first) + 1),
-            EliasFano.arrays(names, 1 << 64),
+            EliasFano.arrays(names, 1 << 48),
             EliasFano.arrays(value, max(1, len(words) * len(names))),
         ]
         return [a for level in levels for a in level] + [quantised(n), counts.astype(np.int64)]
