@@ -1,28 +1,28 @@
 r"""Mixing sources to target weights, block by block.
 
 The words of a source, document after document, are packed into blocks of
-``block_words``.  The mix is a row of slots, cut into output shards; each shard
-draws how many of its slots go to which source, and a source's slots are mapped
-through pseudorandom permutations of its block numbers, one permutation per pass
-over the source.  Slots and blocks then meet in an equi-join on (source, block).
-
-The draws are multinomial counts conditioned on the sources' totals, that is
-drawn without replacement from the pool of target slots: shards vary as with
-free multinomial draws, while every source meets its target to the word (its
-last slot is cut short).  Counts come from a binary tree of splits with a seeded
-generator per node, so any task finds its own shards' counts by itself, and
-reruns agree.
+``block_words``.  The mix is a row of slots, cut into output shards.  All target slots
+form a pool; the pool is laid out by a pseudorandom permutation, and the stretch that
+falls to a shard is its draw: how many of its slots go to which source.  These are
+multinomial counts conditioned on the sources' totals (drawn without replacement), so
+shards vary as with free multinomial draws, while every source meets its target to
+the word (its last slot is cut short).  A source's slots are mapped through
+pseudorandom permutations of its block numbers, one permutation per pass over the
+source, and slots and blocks meet in an equi-join on (source, block).  Permutations
+are evaluated element by element, so any task finds any slot by itself, at every size
+in the same way, and reruns agree.
 
 Documents are numbered inside a source by (bucket, doc_id, text hash); a bucket
 holds about ``bucket_rows`` documents whatever their source, so a source with a
-third of all rows is spread over many tasks.  Sums per source (one row each) are
-the only thing the driver reads; their number is bounded by ``max_sources``.
+third of all rows is spread over many tasks, and so are its slots.  What is known of
+each source is a table; the driver reads sums over all sources only.
 
 Defined results
 * Words: runs of ``[^\x20\x09-\x0D]``; null or empty text: size 0, taken 0.
 * Sources are ordered by code point, null last, and weigh 5, 2, 1, repeating.
 * A source of size 0 has target 0.  Repeated rows are documents of their own.
-* Empty table: empty result.
+* Empty table: empty result.  Input columns named like an output column (size,
+  source_no, source_size, target, first_word, taken) are replaced by it.
 """
 
 from __future__ import annotations
@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terravane.plans import runtime
+from terravane.plans.numbering import number_rows, prefix_sums
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -82,39 +83,28 @@ class IndexPermutation:
         return self._walk(y, self.keys[::-1])
 
 
-def targets(sizes: list[float], weights: list[float], factor: float = FACTOR, passes: float = PASSES) -> list[float]:
-    """Weighted shares of factor * sum(sizes), none above passes * its size; what
-    a capped source leaves is shared by weight among the others."""
-    left, out = factor * sum(sizes), [0.0] * len(sizes)
-    free = [i for i, n in enumerate(sizes) if n > 0]
-    while free:
-        total = sum(weights[i] for i in free)
-        over = [i for i in free if left * weights[i] / total > passes * sizes[i]]
-        if not over:
-            for i in free:
-                out[i] = left * weights[i] / total
-            break
-        for i in over:
-            out[i] = float(passes * sizes[i])
-        left -= sum(out[i] for i in over)
-        free = [i for i in free if i not in set(over)]
-    return out
-
-
-@dataclass(frozen=True)
-class SourcePlan:
-    """One source's part in the mix; ``number`` is its place in the order."""
-
-    number: int
-    source: str | None
-    size: int
-    target: float
-    blocks: int
-    slots: int
-    last: int  # words the last slot takes
-
-
-def plan_source(number: int, source: str | None, size: int, target: float, block_words: int, seed: int) -> SourcePlan:
+def with_targets(sources: DataFrame, weights: tuple[float, ...], factor: float, passes: float = PASSES) -> DataFrame:
+    """Sources (source_no, size) with ``target``: weighted shares of factor * the sum of
+    sizes, none above passes * its size; what a capped source leaves is shared by weight
+    among the others.  Each round is one aggregate: the caps can only grow in number."""
+    weight = F.get(F.array(*[F.lit(float(w)) for w in weights]), F.pmod("source_no", F.lit(len(weights))).cast("int"))
+    cap = F.lit(float(passes)) * F.col("size")
+    left = factor * float(sources.agg(F.sum("size")).first()[0] or 0)
+    free, total, capped = left, float(sources.where("size > 0").agg(F.sum(weight)).first()[0] or 0), 0
+    while total:
+        share = F.lit(free) * weight / F.lit(total)
+        over = (F.col("size") > 0) & (share > cap)
+        row = sources.where("size > 0").agg(
+            F.sum(over.cast("long")).alias("n"), F.sum(F.when(over, cap).otherwise(0.0)).alias("caps"), F.sum(F.when(over, 0.0).otherwise(weight)).alias("w")
+        ).first()
+        if row["n"] == capped:
+            return sources.withColumn("target", F.when(F.col("size") == 0, 0.0).when(over, cap).otherwise(share))
+        free, total, capped = left - row["caps"], row["w"], row["n"]
+    return sources.withColumn("target", F.when(F.col("size") == 0, 0.0).otherwise(cap))
+
+
+def slots_of(number: int, size: int, target: float, block_words: int, seed: int) -> tuple[int, int, int]:
+    """(blocks, slots, words the last slot takes) of a source."""
     blocks, words = -(-size // block_words), round(target)
     short = size - (blocks - 1) * block_words
 
@@ -125,85 +115,66 @@ def plan_source(number: int, source: str | None, size: int, target: float, block
         return full * size + rest * block_words - (block_words - short) * (place < rest)
 
     if not words:
-        return SourcePlan(number, source, size, target, blocks, 0, 0)
+        return blocks, 0, 0
     low, high = 0, PASSES * blocks + 1  # the fewest slots that hold all words
     while low < high:
         mid = (low + high) // 2
         low, high = (low, mid) if before(mid) >= words else (mid + 1, high)
-    return SourcePlan(number, source, size, target, blocks, low, words - before(low - 1))
-
-
-def split_counts(counts: np.ndarray, take: int, draw: np.random.Generator) -> np.ndarray:
-    """How many of each kind are among ``take`` drawn without replacement."""
-    total = int(counts.sum())
-    if total < 10**9:
-        return draw.multivariate_hypergeometric(counts, take, method="marginals")
-    # beyond the exact sampler: each kind in turn by the normal approximation
-    out, left = np.zeros_like(counts), take
-    for i, n in enumerate(counts):
-        rest = total - int(n)
-        p = n / total
-        mean, dev = left * p, (left * p * (1 - p) * max(0, total - left) / max(1, total - 1)) ** 0.5
-        out[i] = min(int(n), left, max(left - rest, 0, round(mean + dev * draw.standard_normal())))
-        left, total = left - int(out[i]), rest
-    return out
-
-
-def shard_counts(counts: np.ndarray, shard_slots: int, low: int, high: int, seed: int):
-    """For shards low..high-1: (shard, slots of each source before it, its own)."""
-    total = int(counts.sum())
-    shards = -(-total // shard_slots)
-
-    def walk(a, b, before, here):
-        if b <= low or a >= high:
-            return
-        if b - a == 1:
-            yield a, before, here
-            return
-        mid = (a + b) // 2
-        left = split_counts(here, (mid - a) * shard_slots, np.random.default_rng([seed, a, b]))
-        yield from walk(a, mid, before, left)
-        yield from walk(mid, b, before + left, here - left)
-
-    if shards:
-        yield from walk(0, shards, np.zeros_like(counts), counts)
-
-
-def slots_frame(spark: SparkSession, plans: list[SourcePlan], block_words: int, shard_slots: int, seed: int) -> DataFrame:
-    """shard, slot, source_no, block, take: every slot of the mix once."""
-    counts = np.array([p.slots for p in plans], np.int64)
-    shards = -(-int(counts.sum()) // shard_slots)
-    schema = "shard long, slot long, source_no int, block long, take long"
+    return blocks, low, words - before(low - 1)
+
+
+def with_slots(sources: DataFrame, block_words: int, seed: int) -> DataFrame:
+    """Sources (source_no, size, target) with blocks, slots and last, a row at a time."""
 
     def fill(batches):
-        for batch in batches:
-            for shard in batch["id"]:
-                for _, before, own in shard_counts(counts, shard_slots, int(shard), int(shard) + 1, seed):
-                    which = np.random.default_rng([seed, 1, int(shard)]).permutation(np.repeat(np.arange(len(own)), own))
-                    nth = np.empty(len(which), np.int64)
-                    block, take = np.empty(len(which), np.int64), np.full(len(which), block_words, np.int64)
-                    for i in np.flatnonzero(own):
-                        p, at = plans[i], np.flatnonzero(which == i)
-                        nth[at] = before[i] + np.arange(len(at))
-                        for turn in np.unique(nth[at] // p.blocks):
-                            some = at[nth[at] // p.blocks == turn]
-                            block[some] = IndexPermutation(p.blocks, seed, p.number, int(turn)).at(nth[some] % p.blocks)
-                        take[at[nth[at] == p.slots - 1]] = p.last
-                    yield pd.DataFrame({"shard": shard, "slot": shard * shard_slots + np.arange(len(which)), "source_no": which.astype(np.int32), "block": block, "take": take})
-
-    return spark.range(0, shards, 1, max(1, min(shards, 2000))).mapInPandas(fill, schema)
+        for rows in batches:
+            made = [slots_of(int(k), int(n), float(t), block_words, seed) for k, n, t in zip(rows["source_no"], rows["size"], rows["target"], strict=True)]
+            yield rows.assign(**{c: [m[i] for m in made] for i, c in enumerate(("blocks", "slots", "last"))})
+
+    schema = T.StructType([*sources.schema, *[T.StructField(c, T.LongType()) for c in ("blocks", "slots", "last")]])
+    return sources.mapInPandas(fill, schema)
+
+
+def slots_frame(sources: DataFrame, total: int, block_words: int, shard_slots: int, seed: int, chunk: int = 1 << 16) -> DataFrame:
+    """shard, slot, source_no, block, take: every slot of the mix once.
+
+    sources: source_no, blocks, slots, last and first_slot (the slots of the sources
+    before); total: all slots.  A source's slots are made ``chunk`` at a time, each chunk
+    wherever it is dealt."""
+    starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1, F.lit(chunk).cast("long"))).alias("begin")
+    runs = sources.where("slots > 0").select("source_no", "blocks", "slots", "last", "first_slot", starts).repartition("source_no", "begin")
+
+    def fill(batches):
+        pool = IndexPermutation(total, seed)
+        for rows in batches:
+            for r in rows.itertuples(index=False):
+                nth = np.arange(r.begin, min(r.begin + chunk, r.slots))
+                slot, block = pool.at(r.first_slot + nth), np.empty(len(nth), np.int64)
+                turns = nth // r.blocks
+                for turn in np.unique(turns):
+                    some = turns == turn
+                    block[some] = IndexPermutation(r.blocks, seed, r.source_no, int(turn)).at(nth[some] % r.blocks)
+                take = np.where(nth == r.slots - 1, r.last, block_words)
+                yield pd.DataFrame({"shard": slot // shard_slots, "slot": slot, "source_no": np.int64(r.source_no), "block": block, "take": take})
+
+    return runs.mapInPandas(fill, "shard long, slot long, source_no long, block long, take long")
 
 
 @dataclass(frozen=True)
 class Mix:
     """documents: input columns plus size, source_no, first_word, source_size and
-    target; slots: the output order; plans: one per source."""
+    target; slots: the output order; sources: source, source_no, size, target, blocks,
+    slots and last, a row for each."""
 
     documents: DataFrame
     slots: DataFrame
-    plans: list[SourcePlan]
+    sources: DataFrame
     block_words: int
 
+    def counts(self) -> DataFrame:
+        """shard, source_no, n: the draw of each output shard."""
+        return self.slots.groupBy("shard", "source_no").agg(F.count(F.lit(1)).alias("n"))
+
     def pieces(self, text_col: str | None = None) -> DataFrame:
         """What each document gives to each block: source_no, block, doc_id, source,
         first_word (of the document), from_word (of the piece, in the document), words,
@@ -257,50 +228,38 @@ def mix_sources(
     shard_slots: int = 4096,
     seed: int = 20240607,
     bucket_rows: int = 4000,
-    max_sources: int = 100_000,
     text_col: str = "text",
     keep_text: bool = True,
 ) -> Mix:
     """Plan the mix of ``docs`` (doc_id, source and text are read).  Without
     ``keep_text`` the texts are read once, for their sizes, and then left out."""
-    spark = docs.sparkSession
     buckets = runtime.parts_for(docs.count(), bucket_rows)
-    sized = docs.withColumns(
+    sized = docs.drop("size", "source_no", "source_size", "target", "first_word", "taken").withColumns(
         {
             "size": F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long"),
             "__order": F.xxhash64(text_col),
+            "__source": F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")),  # null stands apart
             "__bucket": F.pmod(F.xxhash64("doc_id", text_col), F.lit(buckets)),
         }
     )
     if not keep_text:
         sized = runtime.materialize(sized.drop(text_col), "mix-sizes")
-    sums = runtime.materialize(sized.groupBy("source", "__bucket").agg(F.sum("size").alias("__n")), "mix-buckets")
-    per_source = sums.groupBy("source").agg(F.sum("__n").alias("n")).limit(max_sources + 1).collect()
-    if len(per_source) > max_sources:
-        raise ValueError(f"more than {max_sources} sources")
-    ordered = sorted(per_source, key=lambda r: (r["source"] is None, r["source"] or ""))
-    goal = targets([r["n"] for r in ordered], [weights[i % len(weights)] for i in range(len(ordered))], factor)
-    plans = [plan_source(i, r["source"], r["n"], t, block_words, seed) for i, (r, t) in enumerate(zip(ordered, goal, strict=True))]
-    schema = T.StructType(
-        [
-            T.StructField("source_no", T.IntegerType()),
-            T.StructField("__source", T.StringType()),
-            T.StructField("source_size", T.LongType()),
-            T.StructField("target", T.DoubleType()),
-        ]
-    )
-    table = spark.createDataFrame([(p.number, p.source, p.size, p.target) for p in plans], schema)
-    known = F.broadcast(table)  # max_sources rows at most
-    keyed = sized.join(known, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
-    over = Window.partitionBy("source_no").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    before = sums.join(known, F.col("source").eqNullSafe(F.col("__source"))).select(
-        "source_no", "__bucket", F.coalesce(F.sum("__n").over(over), F.lit(0)).alias("__before")
+    sums = sized.groupBy("__source", "__bucket").agg(F.sum("size").alias("__n"), F.first("source").alias("source"))
+    # words before each bucket, over all sources in one order; a source's own begin at its least
+    upto = prefix_sums(sums, ["__source", "__bucket"], F.col("__n"), "__upto")
+    each = upto.groupBy("__source").agg(F.first("source").alias("source"), F.sum("__n").alias("size"), F.min("__upto").alias("__start"))
+    named = number_rows(each.withColumn("__last", F.isnull("source")), ["__last", "source"], "source_no")
+    sources = runtime.materialize(with_slots(with_targets(named.drop("__last"), weights, factor), block_words, seed), "mix-sources")
+    before = upto.select("__source", "__bucket", "__upto").join(
+        sources.select("__source", "__start", "source_no", F.col("size").alias("source_size"), "target"), "__source"
     )
-    inside = Window.partitionBy("source_no", "__bucket").orderBy("doc_id", "__order").rowsBetween(Window.unboundedPreceding, -1)
-    numbered = keyed.withColumn("__within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    placed = numbered.join(before, ["source_no", "__bucket"]).withColumn("first_word", F.col("__before") + F.col("__within"))
-    documents = placed.drop("__order", "__bucket", "__within", "__before")
-    return Mix(documents, slots_frame(spark, plans, block_words, shard_slots, seed), plans, block_words)
+    inside = Window.partitionBy("__source", "__bucket").orderBy("doc_id", "__order").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = sized.withColumn("__within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    placed = numbered.join(before, ["__source", "__bucket"]).withColumn("first_word", F.col("__upto") - F.col("__start") + F.col("__within"))
+    documents = placed.drop("__order", "__source", "__bucket", "__within", "__upto", "__start")
+    laid = prefix_sums(sources.select("source_no", "blocks", "slots", "last"), ["source_no"], F.col("slots"), "first_slot")
+    total = int(sources.agg(F.sum("slots")).first()[0] or 0)
+    return Mix(documents, slots_frame(laid, total, block_words, shard_slots, seed), sources.drop("__source", "__start"), block_words)
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
