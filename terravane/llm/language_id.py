@@ -10,8 +10,11 @@ The trees of all languages are merged into tables by byte gram, so a text is
 scored by table lookups on whole batches.  Texts are normalised first: A-Z
 lower-cased, runs of other ASCII taken as one space.
 
-Trees are fitted on a bounded sample: ``sample_bytes`` of text per language are
-expected, drawn by a hash of each row, whole texts only.
+Trees are fitted on a bounded sample: texts are taken in pieces of ``piece_chars``
+characters, of which a hash of row and piece draws an expected ``sample_bytes`` per
+language.  Languages are held in models of ``block_languages`` each, applied one
+after the other, so that the tables sent to the tasks have a bound however many
+languages there are.
 
 Defined results
 * null text, no letter in it, or nothing learned: ``und`` with score 0.
@@ -24,6 +27,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -207,61 +211,83 @@ class Model:
         return out[:n]
 
 
-def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", key: Column | None = None, sample_bytes: int = 1 << 20, max_languages: int = 500) -> Model:
-    """Trees from a bounded sample of labelled rows; see the module text."""
+def fit(
+    labelled: DataFrame,
+    text_col: str = "text",
+    lang_col: str = "lang",
+    key: Column | None = None,
+    sample_bytes: int = 1 << 20,
+    piece_chars: int = 1 << 14,
+    block_languages: int = 16,
+) -> list[Model]:
+    """Trees from a bounded sample of labelled rows, ``block_languages`` to a model, in the
+    order of the languages; see the module text."""
     rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(
         F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), (F.xxhash64(text_col) if key is None else key).alias("key")
     )
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n")).limit(max_languages + 1).collect()}
-    if len(sizes) > max_languages:
-        raise ValueError(f"more than {max_languages} languages")
-    share = {k: min(1.0, sample_bytes / max(1, n)) for k, n in sizes.items()}
-    parts = F.lit(0.0)
-    for k, p in share.items():
-        parts = F.when(F.col("lang") == k, p).otherwise(parts)
-    drawn = rows.where(F.pmod(F.col("key"), F.lit(1 << 30)) < parts * (1 << 30)).select("lang", "text").collect()
-    languages = sorted(sizes)
-    counts = []
-    for k in languages:
-        data, offsets = tokens.text_bytes(pa.array([r["text"] for r in drawn if r["lang"] == k], pa.large_string()))
-        text, at, _ = normalised(data, offsets)
-        counts.append(np.unique(grams(text, at), return_counts=True))
-    return Model(languages, counts)
-
-
-_ADDED = T.StructType(
-    [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits_per_byte", T.DoubleType())]
-)
-
-
-def _kernel(model: Model):
-    names = pa.array([*model.languages, UNKNOWN], pa.string())
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n")).collect()}
+    languages, models = sorted(sizes), []
+    for a in range(0, len(languages), block_languages):
+        some = languages[a : a + block_languages]
+        share = F.get(F.array(*[F.lit(min(1.0, sample_bytes / max(1, sizes[k]))) for k in some]), (F.array_position(F.array(*map(F.lit, some)), F.col("lang")) - 1).cast("int"))
+        # the pieces are drawn before they are cut out
+        pieces = rows.where(F.col("lang").isin(some)).withColumn("piece", F.explode(F.sequence(F.lit(0), F.expr(f"greatest(length(text) - 1, 0) div {piece_chars}"))))
+        drawn = pieces.where(F.pmod(F.xxhash64("key", "piece"), F.lit(1 << 30)) < share * (1 << 30))
+        cut = drawn.select("lang", F.substring("text", F.col("piece") * piece_chars + 1, F.lit(piece_chars)).alias("text")).collect()
+        counts = []
+        for k in some:
+            text, at, _ = normalised(*tokens.text_bytes(pa.array([r["text"] for r in cut if r["lang"] == k], pa.large_string())))
+            counts.append(np.unique(grams(text, at), return_counts=True))
+        models.append(Model(some, counts))
+    return models
+
+
+def _kernel(model: Model, letter: str, before: str | None, names: list[str]):
+    """Joins a model's languages to what the models before have found: the least bits, its
+    language, and the sum of 2^(least - bits) over the languages."""
 
     def judge(data, offsets, rows):
-        letter = np.asarray(rows.column(rows.schema.get_field_index("__letter")).to_numpy(zero_copy_only=False), bool)
-        n = len(offsets) - 1
-        if not model.languages:
-            best, score, each = np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
-            letter = np.zeros(n, bool)
-        else:
-            bits = model.code_lengths(data, offsets)
-            best = bits.argmin(axis=1)
-            low = bits[np.arange(n), best]
-            score = 1 / np.exp2(np.maximum(low[:, None] - bits, -1000)).sum(axis=1)
-            each = low / np.maximum(1, np.diff(offsets))
-        return {
-            "lang_pred": names.take(pa.array(np.where(letter, best, len(model.languages)))),
-            "score": pa.array(np.where(letter, score, 0.0)),
-            "bits_per_byte": pa.array(np.where(letter, each, 0.0)),
-        }
+        def of(name):
+            return rows.column(rows.schema.get_field_index(name))
+
+        has = np.asarray(of(letter).to_numpy(zero_copy_only=False), bool)
+        bits = model.code_lengths(data, offsets)
+        best = bits.argmin(axis=1)
+        low = bits[np.arange(len(best)), best]
+        total = np.exp2(np.maximum(low[:, None] - bits, -1000)).sum(axis=1)
+        lang = pa.array(model.languages, pa.string()).take(pa.array(best))
+        if before:
+            old, had = of(f"{before}low").to_numpy(), of(f"{before}sum").to_numpy()
+            least = np.minimum(old, low)
+            total = had * np.exp2(np.maximum(least - old, -1000)) + total * np.exp2(np.maximum(least - low, -1000))
+            lang = pc.if_else(pa.array(low < old), lang, of(f"{before}lang"))
+            low = least
+        return dict(zip(names, (pa.array(np.where(has, low, 0.0)), lang, pa.array(total)), strict=True))
 
     return judge
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text", keep_text: bool = True) -> DataFrame:
+def predict(docs: DataFrame, models: list[Model], text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """Input columns plus lang_pred, score and bits_per_byte."""
-    ready = docs.withColumn("__letter", F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
-    return tokens.add_columns(ready, _kernel(model), _ADDED, text_col, keep_text, most=1 << 20).drop("__letter")
+    made = ["lang_pred", "score", "bits_per_byte"]
+    kept = [c for c in docs.columns if c not in made and (keep_text or c != text_col)]
+    ready = docs.drop(*made).withColumns({"__letter": F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)), "__bytes": F.octet_length(text_col)})
+    before = None
+    for nth, model in enumerate(models):
+        names = [f"__{nth}{c}" for c in ("low", "lang", "sum")]
+        added = T.StructType([T.StructField(n, t) for n, t in zip(names, (T.DoubleType(), T.StringType(), T.DoubleType()), strict=True)])
+        after = tokens.add_columns(ready, _kernel(model, "__letter", before, names), added, text_col, keep_text or nth + 1 < len(models), most=1 << 20)
+        ready = after.drop(*[f"{before}{c}" for c in ("low", "lang", "sum")]) if before else after
+        before = f"__{nth}"
+    if before is None:
+        return ready.select(*kept, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("bits_per_byte"))
+    known = F.col("__letter")
+    return ready.select(
+        *kept,
+        F.when(known, F.col(f"{before}lang")).otherwise(UNKNOWN).alias("lang_pred"),
+        F.when(known, 1 / F.col(f"{before}sum")).otherwise(0.0).alias("score"),
+        F.when(known, F.col(f"{before}low") / F.greatest(F.lit(1), "__bytes")).otherwise(0.0).alias("bits_per_byte"),
+    )
 
 
 def remainder(id_col: str, of: int = 5) -> Column:
@@ -269,8 +295,8 @@ def remainder(id_col: str, of: int = 5) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(of)), F.lit(-1))
 
 
-def learn(docs: DataFrame) -> Model:
-    """The model of op5: documents outside the held-out fifth, with a language."""
+def learn(docs: DataFrame) -> list[Model]:
+    """The models of op5: documents outside the held-out fifth, with a language."""
     return fit(docs.where(remainder("doc_id") != 0), key=F.xxhash64("doc_id", "text"))
 
 
