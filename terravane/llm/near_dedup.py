@@ -12,13 +12,15 @@ Confirmation, without comparing all pairs of a bucket:
 2. In every bucket the member that meets most others (its hub) is compared with
    each other member on the full sets.  D(m) is the symmetric difference of member
    m and hub.
-3. If two members are linked and one of them is not linked with the hub, their D
-   must share an element: else |x ^ y| = |D(x)| + |D(y)|, and with |x| <= |hub| +
-   |D(x)| the pair's bound would give the hub's bound for y.  So the members not
-   linked with the hub are looked up in an inverted index of the D of all members,
-   and |x ^ y| = |D(x)| + |D(y)| - 2 |D(x) & D(y)| decides exactly.  Hubs with
-   many members are cut into blocks; a task holds two blocks at most.
-4. Components of the links are found by alternating stars.
+3. Components of the links so far are found by alternating stars.  A link that would
+   join two of them has an end that is not linked with the hub, and then the two D must
+   overlap: |x ^ y| = |D(x)| + |D(y)| - 2 |D(x) & D(y)|.  A prefix filter over the
+   elements of the D (``_live``) leaves the members that may have such a partner; a
+   family of texts that only share a template with the hub ends here, at a cost in
+   proportion to its D.
+4. The members left are compared through an inverted index of their D, which decides
+   exactly.  Hubs with many members left are cut into blocks; a task holds two at most.
+   The components are then closed once more.
 
 No link between documents that share a bucket is lost, and none is unconfirmed
 (shingles are 64-bit hashes of their words, sets 128-bit ones).
@@ -152,9 +154,9 @@ _COMPARED = T.StructType(
         T.StructField("hub", T.BinaryType()),
         T.StructField("node", T.BinaryType()),
         T.StructField("n", T.LongType()),
+        T.StructField("n_hub", T.LongType()),
         T.StructField("linked", T.BooleanType()),
-        T.StructField("n_apart", T.LongType()),
-        T.StructField("apart", T.BinaryType()),
+        T.StructField("apart", T.ArrayType(T.LongType(), False)),
     ]
 )
 
@@ -166,15 +168,16 @@ def _compare(low: int, high: int):
     def run(batches):
         for batch in batches:
             hub, node, a, b = (batch.column(batch.schema.get_field_index(c)) for c in ("hub", "node", "a", "b"))
-            n, linked, apart, raw = [], [], [], []
+            n, n_hub, linked, apart = [], [], [], []
             for x, y in zip(a, b, strict=True):
                 u, v = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 d = np.setxor1d(u, v, assume_unique=True)
-                n.append(len(v)), apart.append(len(d)), raw.append(d.tobytes())
+                n.append(len(v)), n_hub.append(len(u)), apart.append(d.view(np.int64))
                 linked.append(high * len(d) <= low * (len(u) + len(v)))
+            at = np.concatenate([[0], np.cumsum([len(d) for d in apart])])
+            lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *apart])))
             yield pa.RecordBatch.from_arrays(
-                [hub, node, pa.array(n, pa.int64()), pa.array(linked, pa.bool_()), pa.array(apart, pa.int64()), pa.array(raw, pa.binary())],
-                names=_COMPARED.names,
+                [hub, node, pa.array(n, pa.int64()), pa.array(n_hub, pa.int64()), pa.array(linked, pa.bool_()), lists], names=_COMPARED.names
             )
 
     return run
@@ -203,12 +206,14 @@ def _lookup(low: int, high: int, most: int = 2_000_000):
         side = np.array(table.column("side").to_pylist())
         names = table.column("node").to_pylist()
         size = table.column("n").to_numpy()
-        sets = [np.frombuffer(x, np.uint64) for x in table.column("apart").to_pylist()]
+        column = table.column("apart").combine_chunks()
+        values, ends = column.values.to_numpy(), column.offsets.to_numpy()
+        sets = [np.sort(values[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
         xs, ys = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         number = {name: i for i, name in enumerate(dict.fromkeys(names))}
         of = np.array([number[x] for x in names], np.int64)
         apart = np.array([len(s) for s in sets], np.int64)
-        element = np.concatenate([sets[i] for i in xs] or [np.zeros(0, np.uint64)])
+        element = np.concatenate([sets[i] for i in xs] or [np.zeros(0, np.int64)])
         owner = np.repeat(xs, apart[xs])
         order = np.argsort(element, kind="stable")
         element, owner = element[order], owner[order]
@@ -232,6 +237,35 @@ def _lookup(low: int, high: int, most: int = 2_000_000):
     return run
 
 
+def _live(here: DataFrame, low: int, high: int) -> DataFrame:
+    """hub, node of the members that may have a link across components which is not yet known.
+
+    here: hub, node, component, n, n_hub, linked, apart of hubs whose members fall into
+    several components.  A link with a member that is not linked with the hub needs
+    |D(x) & D(y)| >= (v(x) + v(y)) / 2 for v(m) = |D(m)| - low / high * |m|, and v is more
+    than low / high * |hub| for those not linked with the hub, at most that for the
+    others.  So with all D in one order, rarest elements first, the two share an element
+    within a prefix of each: a short one for the member with the smaller v, a long one for
+    the other.  Elements that lie in no short prefix, or in one component only, are dead,
+    and so are members without a live one.  What is shuffled grows with the D themselves.
+    """
+    member = here.select("hub", "node", "component", "linked", "n", "n_hub", F.size("apart").alias("d"))
+    each = here.select("hub", "node", F.explode("apart").alias("e"))
+    common = each.groupBy("hub", "e").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    shared = each.join(common, ["hub", "e"]).groupBy("hub", "node").agg(F.sort_array(F.collect_list(F.struct("f", "e"))).alias("es"))
+    # twice high times the least overlap, in whole numbers; elements held by one member come first and match nothing
+    v = f"({high} * d - {low} * n)"
+    short = f"CASE WHEN linked THEN d - greatest(1, ceil(({v} + {low} * n_hub) / {2 * high}D)) + 1 ELSE d - greatest(1, ceil({v} / {high}D)) + 1 END"
+    long = f"CASE WHEN linked THEN 0 ELSE d - greatest(1, ceil(({v} - {low} * n_hub) / {2 * high}D)) + 1 END"
+    sized = member.join(shared, ["hub", "node"]).selectExpr("hub", "node", "component", "es", f"{short} - (d - size(es)) AS short", f"{long} - (d - size(es)) AS long")
+    heads = sized.where("greatest(short, long) > 0").selectExpr(
+        "hub", "node", "component", "short", "posexplode(slice(es, 1, cast(greatest(short, long) AS int))) AS (place, z)"
+    ).selectExpr("hub", "node", "component", "z.e AS e", "place < short AS near")
+    heads = runtime.materialize(heads, "near-heads")
+    live = heads.groupBy("hub", "e").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.max("near").alias("near")).where("near AND a <> b")
+    return heads.join(live.select("hub", "e"), ["hub", "e"], "left_semi").select("hub", "node").distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """id, text_hash, n_shingles, component_id and kept, one row per input row."""
     return _grouped(docs, id_col, text_col, **options).drop("group")
@@ -261,8 +295,8 @@ def _grouped(
     keyed = classes.select("node", F.explode("bands").alias("key"))
     crowded = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("crowd")).where("crowd > 1")
     members = runtime.materialize(keyed.join(crowded, "key"), "near-buckets")
-    known = members.groupBy("node").agg(F.sum("crowd").alias("known"))
-    hubs = members.join(known, "node").groupBy("key").agg(F.max(F.struct("known", "node")).alias("h")).select("key", F.col("h.node").alias("hub"))
+    met = members.groupBy("node").agg(F.sum("crowd").alias("known"))
+    hubs = members.join(met, "node").groupBy("key").agg(F.max(F.struct("known", "node")).alias("h")).select("key", F.col("h.node").alias("hub"))
     pairs = runtime.materialize(members.join(hubs, "key").where("node <> hub").select("hub", "node").distinct(), "near-pairs")
     involved = pairs.select("node").union(pairs.select(F.col("hub").alias("node"))).distinct()
     wanted = classes.select("node", "id", "text_hash").join(involved, "node", "left_semi")
@@ -272,24 +306,32 @@ def _grouped(
     )
     compared = runtime.materialize(both.select("hub", "node", "a", "b").mapInArrow(_compare(low, high), _COMPARED), "near-compared")
     direct = compared.where("linked").select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    # members not linked with their hub, against all members of that hub, block by block;
+    known = components.connected_components(direct)
+    # hubs whose members fall into several components, and the members of these that may join them
+    both_ends = compared.join(known.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    both_ends = both_ends.join(known.select(F.col("node").alias("hub"), F.col("component").alias("of_hub")), "hub", "left")
+    placed = runtime.materialize(both_ends.withColumn("of_hub", F.coalesce("of_hub", "hub")), "near-placed")
+    apart = placed.where("component <> of_hub").groupBy("hub").agg(F.count(F.lit(1)).alias("loose"))
+    here = placed.join(apart.select("hub"), "hub", "left_semi")
+    left = runtime.materialize(here.join(_live(here, low, high), ["hub", "node"], "left_semi"), "near-left")
+    # of those, members outside the hub's component against all others, block by block;
     # the counts are a table of their own, so that the join with them can be split where a hub is large
     counts = (
-        compared.groupBy("hub")
-        .agg(F.count(F.lit(1)).alias("all"), F.sum((~F.col("linked")).cast("long")).alias("loose"))
+        left.groupBy("hub")
+        .agg(F.count(F.lit(1)).alias("all"), F.sum((F.col("component") != F.col("of_hub")).cast("long")).alias("loose"))
         .where("loose > 0 AND all > 1")
         .select("hub", F.ceil(F.col("all") / block_members).alias("nx"), F.ceil(F.col("loose") / block_members).alias("ny"))
     )
     groups = runtime.materialize(counts, "near-groups")
-    here = compared.join(groups, "hub").select("hub", "node", "n", "linked", "apart", "nx", "ny", F.xxhash64("node").alias("h"))
-    xs = here.select("hub", "node", "n", "apart", F.lit(0).alias("side"), F.expr("pmod(h, nx)").alias("bx"), F.explode(F.expr("sequence(0L, ny - 1)")).alias("by"))
-    ys = here.where("NOT linked").select(
+    some = left.join(groups, "hub").select("hub", "node", "n", "apart", "nx", "ny", F.expr("component <> of_hub").alias("loose"), F.xxhash64("node").alias("h"))
+    xs = some.select("hub", "node", "n", "apart", F.lit(0).alias("side"), F.expr("pmod(h, nx)").alias("bx"), F.explode(F.expr("sequence(0L, ny - 1)")).alias("by"))
+    ys = some.where("loose").select(
         "hub", "node", "n", "apart", F.lit(1).alias("side"), F.explode(F.expr("sequence(0L, nx - 1)")).alias("bx"), F.expr("pmod(h, ny)").alias("by")
     )
     # dealt by block: the join above leaves rows dealt by hub, which would keep all blocks of a hub in one task
     blocks = xs.unionByName(ys).repartition("hub", "bx", "by")
-    further = blocks.groupBy("hub", "bx", "by").applyInArrow(_lookup(low, high), "a binary, b binary")
-    grouped = components.connected_components(direct.union(further))
+    further = runtime.materialize(blocks.groupBy("hub", "bx", "by").applyInArrow(_lookup(low, high), "a binary, b binary"), "near-further")
+    grouped = known if further.isEmpty() else components.connected_components(direct.union(further))
     least = grouped.join(classes.select("node", "id"), "node").groupBy("component").agg(F.min("id").alias("component_id"))
     merged = grouped.join(least, "component").select("node", "component", "component_id")
     final = runtime.materialize(

@@ -146,6 +146,25 @@ def test_near_duplicates(spark, odd_texts, block_members):
     assert Counter((r.id, r.n_shingles, r.component_id, r.kept) for r in got.collect()) == want
 
 
+def test_loose_families_end_at_the_filter(spark):
+    """Thousands of texts that share a template with one hub, and a few real links among them:
+    the filter leaves these few only, whatever the number of the others."""
+    shared = [f"t{i}" for i in range(120)]
+    own = lambda k: [f"own{k}x{i}" for i in range(50)]
+    for n in (400, 1600):
+        sets = {k: {(w,) for w in shared + own(k)} for k in range(n)}
+        sets |= {-k: {(w,) for w in shared + own(k)[:45] + [f"z{k}"]} for k in (1, 2, 3)}  # linked with k
+        number = {w: i for i, w in enumerate(sorted({w for s in sets.values() for w in s}))}
+        rows = []
+        for k, s in sets.items():
+            if k:
+                d = sorted(number[w] for w in s ^ sets[0])
+                rows.append((b"hub", str(k).encode(), str(k).encode(), len(s), len(sets[0]), 185 * len(d) <= 15 * (len(s) + len(sets[0])), d))
+        here = spark.createDataFrame(rows, "hub binary, node binary, component binary, n long, n_hub long, linked boolean, apart array<long>")
+        left = {int(r.node.decode()) for r in near_dedup._live(here, 15, 185).collect()}
+        assert {1, 2, 3, -1, -2, -3} <= left and len(left) < 20
+
+
 def test_near_copies_without_ids(spark):
     """A chain of near copies whose middle, or all, have no id."""
     chain = [f"m{i}" for i in range(200)]
@@ -195,25 +214,68 @@ def test_index_permutation(n):
     assert sorted(there) == list(range(n)) and (p.where(there) == np.arange(n)).all()
 
 
-def test_targets():
-    sizes, weights = [100, 1000, 10, 0], [5.0, 2.0, 1.0, 5.0]
-    goal = mixing.targets(sizes, weights)
-    assert goal[0] == 200 and goal[2] == 20 and goal[3] == 0 and math.isclose(sum(goal), 1665)
-    assert mixing.targets([], []) == [] and mixing.targets([0], [5.0]) == [0.0]
-
-
-def test_shard_counts_add_up():
-    counts = np.array([5, 0, 37, 101])
-    rows = list(mixing.shard_counts(counts, 8, 0, 18, 1))
-    assert (sum(own for _, _, own in rows) == counts).all() and all(own.sum() == 8 for _, _, own in rows[:-1])
-    assert (next(mixing.shard_counts(counts, 8, 11, 12, 1))[2] == rows[11][2]).all()
-    big = mixing.split_counts(np.array([10**9, 3 * 10**9]), 10**9, np.random.default_rng(1))
-    assert big.sum() == 10**9 and abs(big[0] - 25 * 10**7) < 10**6
+def targets(sizes, weights, factor=1.5, passes=2):
+    """The contract, source by source."""
+    left, out = factor * sum(sizes), [0.0] * len(sizes)
+    free = [i for i, n in enumerate(sizes) if n > 0]
+    while free:
+        total = sum(weights[i] for i in free)
+        over = [i for i in free if left * weights[i] / total > passes * sizes[i]]
+        for i in over or free:
+            out[i] = float(passes * sizes[i]) if over else left * weights[i] / total
+        left -= sum(out[i] for i in over)
+        free = [i for i in free if over and i not in over]
+    return out
+
+
+@pytest.mark.parametrize("sizes", [[100, 1000, 10, 0], [], [0], [5, 5, 5], [1, 10, 100, 1000, 10_000, 100_000, 7, 3]])
+def test_targets(spark, sizes):
+    rows = spark.createDataFrame(list(enumerate(sizes)), "source_no long, size long")
+    got = {r.source_no: r.target for r in mixing.with_targets(rows, mixing.WEIGHTS, 1.5).collect()}
+    want = targets(sizes, [mixing.WEIGHTS[i % 3] for i in range(len(sizes))])
+    assert [got[i] for i in range(len(sizes))] == pytest.approx(want, rel=1e-12)
+    capped = mixing.with_targets(rows, mixing.WEIGHTS, 3.0).collect()
+    assert all(r.target == pytest.approx(2 * r.size) for r in capped)
+
+
+@pytest.mark.parametrize("scale", [1, 10**9])
+def test_draws_of_shards(spark, scale):
+    """The counts of single shards against the moments of a draw without replacement, one path at every size."""
+    slots = [5000 * scale, 2000 * scale, 1000 * scale]
+    total, size = sum(slots), 64
+    pool, ends = mixing.IndexPermutation(total, 20240607), np.cumsum(slots)
+    drawn = []
+    for shard in np.random.default_rng(1).integers(0, total // size, 1500):
+        who = np.searchsorted(ends, pool.where(shard * size + np.arange(size)), "right")
+        drawn.append(np.bincount(who, minlength=3))
+    drawn, share = np.array(drawn), np.array(slots) / total
+    assert (drawn.sum(axis=1) == size).all()
+    spread = size * share * (1 - share) * (total - size) / (total - 1)
+    assert np.abs(drawn.mean(axis=0) - size * share).max() < 5 * np.sqrt(spread.max() / len(drawn))
+    assert drawn.var(axis=0) == pytest.approx(spread, rel=0.2)
+
+
+def test_slots(spark):
+    """Every slot once, each source's blocks once a pass, and chunks that do not matter."""
+    plans = [(0, 7, 12, 3, 0), (1, 1, 2, 16, 12), (2, 0, 0, 0, 14), (3, 40, 25, 5, 14)]
+    rows = spark.createDataFrame(plans, "source_no long, blocks long, slots long, last long, first_slot long")
+    made = [Counter(map(tuple, mixing.slots_frame(rows, 39, 16, 8, 1, chunk).collect())) for chunk in (5, 1 << 16)]
+    assert made[0] == made[1] and max(made[0].values()) == 1
+    slots = sorted(made[0])
+    assert [r[1] for r in slots] == list(range(39)) and all(r[0] == r[1] // 8 for r in slots)
+    for k, blocks, n, last, _ in plans:
+        own = [r for r in slots if r[2] == k]
+        assert len(own) == n and sum(r[4] for r in own) == max(0, 16 * (n - 1)) + last * (n > 0)
+        assert max(Counter(r[3] for r in own).values(), default=0) <= -(-n // max(1, blocks))
 
 
 def test_mix(spark, odd_docs, no_docs):
-    made = mixing.mix_sources(odd_docs, block_words=16, shard_slots=8, bucket_rows=5)
+    clash = odd_docs.withColumn("size", F.lit("clash")).withColumn("target", F.lit("clash")).withColumn("source_size", F.lit("clash")).withColumn("first_word", F.lit("clash"))
+    made = mixing.mix_sources(clash, block_words=16, shard_slots=8, bucket_rows=5)
     rows = made.taken().collect()
+    assert sum(r.n for r in made.counts().collect()) == made.slots.count()
+    total = {s: sum(len(WORD.findall(d.text or "")) for d in odd_docs.collect() if d.source == s) for s in ("s0", "s1", "ß", None)}
+    assert {r.source: r.target for r in rows} == pytest.approx(dict(zip(total, targets(list(total.values()), [5, 2, 1, 5]))))
     assert len(rows) == odd_docs.count()
     by = defaultdict(list)
     for r in rows:
@@ -294,6 +356,10 @@ def test_language_of_odd_rows(spark, no_docs):
     got = Counter((r.i, r.lang_pred) for r in language_id.predict(odd, model).collect())
     assert got == Counter({(1, "und"): 1, (2, "und"): 1, (3, "und"): 1, (4, "en"): 2, (5, "de"): 1, (6, "de"): 1})
     assert all(0 <= r.score <= 1 for r in language_id.predict(odd, model).collect())
+    # many languages, in models of a few each
+    split = language_id.predict(odd, language_id.fit(docs, block_languages=1)).collect()
+    whole = {(r.i, r.lang_pred): r.score for r in language_id.predict(odd, model).collect()}
+    assert {(r.i, r.lang_pred) for r in split} == set(whole) and all(r.score == pytest.approx(whole[r.i, r.lang_pred]) for r in split)
     nothing = language_id.fit(no_docs)
     assert {r.lang_pred for r in language_id.predict(odd, nothing).collect()} == {"und"}
     assert language_id.predict(no_docs, model).count() == 0
