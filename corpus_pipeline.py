@@ -3,6 +3,13 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and
 read again as the next one's docs.  The first four keep the columns of documents;
 the last returns the mix, one row per piece of a document in it.
+
+Defined results
+* null or empty text: no letters, so the first stage drops the row.
+* Repeated rows and ids: each is judged by itself; the second stage leaves one row of
+  a group of copies.  Null ids, languages and sources are kept as they are.
+* Empty table: every stage returns an empty table.  Further columns pass through the
+  first four stages, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,11 +34,13 @@ _left: list[str] = []
 
 def _stage(function):
     """A stage whose predecessor's helper tables go when it begins: by then the
-    predecessor's result is a written table."""
+    predecessor's result is a written table.  The first stage lets those of an earlier
+    run's last stage be, as that run's result may still be read from them."""
 
     @functools.wraps(function)
     def staged(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        runtime.release(spark, _left)
+        if staged is not STAGES[0][1]:
+            runtime.release(spark, _left)
         begun = runtime.mark()
         out = function(spark, docs, sf_dir)
         _left[:] = runtime.since(begun)
