@@ -6,6 +6,7 @@ from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
@@ -64,6 +65,22 @@ def test_stages(spark, corpus, tmp_path):
     assert Counter(map(key, corpus_pipeline.run(spark, where).collect())) == Counter(map(key, mix))
 
 
+def test_runs_do_not_disturb_each_other(spark, corpus):
+    first, second = (corpus_pipeline.run(spark, corpus[0]) for _ in range(2))
+    assert first.count() == second.count() > 0
+
+
+def test_stages_of_odd_tables(spark, corpus, no_docs, odd_docs):
+    """Empty tables stay empty; nulls, repeats and further columns named like made ones pass."""
+    clash = odd_docs.withColumn("score", F.lit("x")).withColumn("found", F.lit(1)).withColumn("items", F.lit(2)).withColumn("component_id", F.lit(3))
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, no_docs, corpus[0]).count() == 0
+        out = stage(spark, clash, corpus[0])
+        if name != "mixing":
+            assert out.columns == clash.columns
+        assert out.count() > 0
+
+
 def test_near_copies_from_four_fifths(spark):
     """The stage drops copies at similarity 0.80 to 0.85, and none below 0.80."""
     words = [f"w{i}" for i in range(104)]
