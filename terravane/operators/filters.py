@@ -59,6 +59,17 @@ def drop_duplicates(df: DataFrame, columns: list[str], order: str) -> DataFrame:
     return df.join(first.select(order), order, "left_semi")
 
 
+def normalise(points: DataFrame, axes: str = "xyz") -> tuple[DataFrame, dict]:
+    """(points moved to their mean and divided by the largest distance from it along an
+    axis, {offset, scale}); the scale of points without extent is 1."""
+    centre = points.agg(*[(F.sum(a) / F.count(F.lit(1)).cast("double")).alias(a) for a in axes]).first()
+    offset = [centre[a] or 0.0 for a in axes]
+    reach = points.agg(*[F.max(F.abs(F.col(a) - o)).alias(a) for a, o in zip(axes, offset, strict=True)]).first()
+    scale = max((reach[a] or 0.0 for a in axes), default=0.0) or 1.0
+    moved = {a: (F.col(a) - F.lit(o)) / F.lit(scale) for a, o in zip(axes, offset, strict=True)}
+    return points.withColumns(moved), {"offset": offset, "scale": scale}
+
+
 def by_length(objects: DataFrame, low: float, high: float, column: str = "length") -> DataFrame:
     """Objects with low <= length <= high."""
     return objects.where(F.col(column).between(low, high))

@@ -74,46 +74,65 @@ def bfs(edges: DataFrame, source: int, max_distance: int | None = None) -> DataF
     return seen
 
 
-def shortest_distances(edges: DataFrame, source: int, weight: str | None = None, max_distance: float | None = None) -> DataFrame:
-    """vertex_id, cost: least sum of non-negative weights from the source, by rounds of
-    relaxation in which only improved vertices send."""
+def _relaxed(edges: DataFrame, source: int, weight: str | None, max_distance: float | None = None, target: int | None = None, bound: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(vertex_id, cost, hops; a, b, w): least sums of non-negative weights from the source,
+    with the fewest edges among these, by rounds of relaxation in which only improved
+    vertices send.  With a target, offers that cannot beat its cost so far are dropped:
+    ``bound`` (vertex_id, h) gives a lower bound of each vertex's distance to it."""
     both = adjacency(edges, weight).groupBy("a", "b").agg(F.min("w").alias("w"))
     both = runtime.materialize(both, "sssp-edges")
-    start = edges.sparkSession.range(1).select(F.lit(source).cast("long").alias("vertex_id"), F.lit(0.0).alias("cost"))
+    start = edges.sparkSession.range(1).select(F.lit(source).cast("long").alias("vertex_id"), F.lit(0.0).alias("cost"), F.lit(0).cast("long").alias("hops"))
     best = improved = runtime.materialize(start, "sssp")
     while True:
-        offers = improved.join(both, F.col("vertex_id") == F.col("a")).groupBy(F.col("b").alias("vertex_id")).agg(F.min(F.col("cost") + F.col("w")).alias("offer"))
+        offer = F.min(F.struct((F.col("cost") + F.col("w")).alias("cost"), (F.col("hops") + 1).alias("hops"))).alias("offer")
+        offers = improved.join(both, F.col("vertex_id") == F.col("a")).groupBy(F.col("b").alias("vertex_id")).agg(offer)
         if max_distance is not None:
-            offers = offers.where(F.col("offer") <= max_distance)
-        better = offers.join(best, "vertex_id", "left").where("cost IS NULL OR offer < cost").select("vertex_id", F.col("offer").alias("cost"))
-        improved = runtime.materialize(better, "sssp")
+            offers = offers.where(F.col("offer.cost") <= max_distance)
+        if target is not None and (reached := best.where(F.col("vertex_id") == target).first()) is not None:
+            least = F.lit(0.0)
+            if bound is not None:
+                offers, least = offers.join(bound, "vertex_id", "left"), F.coalesce("h", F.lit(0.0))
+            offers = offers.where(F.col("offer.cost") + least <= reached["cost"])
+        better = offers.join(best, "vertex_id", "left").where("cost IS NULL OR offer < struct(cost, hops)").select("vertex_id", "offer.cost", "offer.hops")
+        past, improved = improved, runtime.materialize(better, "sssp")
         if improved.isEmpty():
-            return best
-        best = runtime.materialize(best.join(improved, "vertex_id", "left_anti").union(improved), "sssp-best")
+            return best, both
+        older, best = best, runtime.materialize(best.join(improved, "vertex_id", "left_anti").union(improved), "sssp-best")
+        runtime.forget(past, older)
+
+
+def shortest_distances(edges: DataFrame, source: int, weight: str | None = None, max_distance: float | None = None) -> DataFrame:
+    """vertex_id, cost: least sum of non-negative weights from the source."""
+    return _relaxed(edges, source, weight, max_distance)[0].select("vertex_id", "cost")
 
 
-def shortest_path(edges: DataFrame, source: int, target: int, weight: str | None = None) -> DataFrame:
+def shortest_path(edges: DataFrame, source: int, target: int, weight: str | None = None, heuristic: DataFrame | None = None) -> DataFrame:
     """step, vertex_id, cost along one shortest path (the least predecessor at every
-    step); empty if the target is not reached."""
-    spark = edges.sparkSession
-    cost = runtime.materialize(shortest_distances(edges, source, weight), "path-cost")
-    both = adjacency(edges, weight).groupBy("a", "b").agg(F.min("w").alias("w"))
-    tight = both.join(cost.select(F.col("vertex_id").alias("a"), F.col("cost").alias("ca")), "a").join(
-        cost.select(F.col("vertex_id").alias("b"), F.col("cost").alias("cb")), "b"
-    )
-    parent = runtime.materialize(tight.where("w > 0 AND ca + w = cb").groupBy("b").agg(F.min("a").alias("a")), "path-parents")
-    path, at = [], target
-    while (row := cost.where(F.col("vertex_id") == at).first()) is not None:
-        path.append((at, row["cost"]))
-        if at == source:
-            break
-        up = parent.where(F.col("b") == at).first()
-        if up is None:
+    step); empty if the target is not reached.  ``heuristic`` (vertex_id, h) is a lower
+    bound of the distance to the target and spares the search what cannot be on the path.
+
+    A predecessor is nearer by its edge's weight; over an edge of weight 0 it must have
+    fewer edges to the source, so predecessors form a tree.  The path is the target's
+    ancestors in it, found by pointer doubling.
+    """
+    cost, both = _relaxed(edges, source, weight, None, target, heuristic)
+    near = cost.select(F.col("vertex_id").alias("a"), F.col("cost").alias("ca"), F.col("hops").alias("ha"))
+    far = cost.select(F.col("vertex_id").alias("b"), F.col("cost").alias("cb"), F.col("hops").alias("hb"))
+    tight = both.join(near, "a").join(far, "b").where("ca + w = cb AND (w > 0 OR ha < hb)").where(F.col("b") != source)
+    up = runtime.materialize(tight.groupBy("b").agg(F.min("a").alias("a")), "path-parents")
+    on = runtime.materialize(cost.where(F.col("vertex_id") == target).select("vertex_id", F.lit(0).cast("long").alias("back")), "path")
+    stride = 1
+    while True:
+        more = on.join(up, F.col("vertex_id") == F.col("b")).select(F.col("a").alias("vertex_id"), (F.col("back") + stride).alias("back"))
+        more = runtime.materialize(more, "path-more")
+        if more.isEmpty():
             break
-        at = up["a"]
-    reached = bool(path) and path[-1][0] == source
-    rows = [(i, v, c) for i, (v, c) in enumerate(reversed(path))] if reached else []
-    return spark.createDataFrame(rows, "step long, vertex_id long, cost double")
+        on, stride = runtime.materialize(on.union(more), "path"), 2 * stride
+        again = up.select(F.col("b").alias("a"), F.col("a").alias("top"))
+        old, up = up, runtime.materialize(up.join(again, "a").select("b", F.col("top").alias("a")), "path-parents")
+        runtime.forget(old)
+    last = on.agg(F.max("back").alias("last"))
+    return on.join(last).join(cost, "vertex_id").select((F.col("last") - F.col("back")).alias("step"), "vertex_id", "cost")
 
 
 def k_core(edges: DataFrame) -> DataFrame:
@@ -121,13 +140,14 @@ def k_core(edges: DataFrame) -> DataFrame:
     such that h of its neighbours (repeats counted) have at least h; it settles on the
     coreness."""
     both = runtime.materialize(adjacency(edges.where("v0 <> v1")).select("a", "b"), "core-edges")
-    now = runtime.materialize(both.groupBy("a").agg(F.count(F.lit(1)).alias("h")), "core")
+    now = past = runtime.materialize(both.groupBy("a").agg(F.count(F.lit(1)).alias("h")), "core")
     rank = Window.partitionBy("a").orderBy(F.desc("hb"), "b")
     while True:
         seen = both.join(now.select(F.col("a").alias("b"), F.col("h").alias("hb")), "b")
         new = seen.withColumn("r", F.row_number().over(rank)).groupBy("a").agg(F.max(F.least("r", "hb")).cast("long").alias("nh"))
         after = runtime.materialize(now.join(new, "a").select("a", F.least("h", "nh").alias("h"), (F.col("nh") < F.col("h")).alias("fell")), "core")
-        now = after.select("a", "h")
+        runtime.forget(past)
+        now, past = after.select("a", "h"), after
         if after.where("fell").isEmpty():
             return now.select(F.col("a").alias("vertex_id"), F.col("h").alias("core"))
 
@@ -136,12 +156,13 @@ def label_propagation(edges: DataFrame, max_iter: int = 20) -> DataFrame:
     """vertex_id, label: synchronous rounds in which a vertex takes the most frequent
     label of its neighbours, the least among equals."""
     both = runtime.materialize(adjacency(edges.where("v0 <> v1")).select("a", "b"), "lpa-edges")
-    now = runtime.materialize(both.select("a").distinct().select("a", F.col("a").alias("label")), "lpa")
+    now = past = runtime.materialize(both.select("a").distinct().select("a", F.col("a").alias("label")), "lpa")
     for _ in range(max_iter):
         votes = both.join(now.select(F.col("a").alias("b"), "label"), "b").groupBy("a", "label").agg(F.count(F.lit(1)).alias("n"))
         new = votes.groupBy("a").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("new"))
         after = runtime.materialize(now.join(new, "a").select("a", F.col("new").alias("label"), (F.col("new") != F.col("label")).alias("moved")), "lpa")
-        now = after.select("a", "label")
+        runtime.forget(past)
+        now, past = after.select("a", "label"), after
         if after.where("moved").isEmpty():
             break
     return now.select(F.col("a").alias("vertex_id"), "label")

@@ -45,34 +45,48 @@ def knn_vectors(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_
         return best.where(F.size("b") == k).select(F.col("q").alias(id_col), F.sqrt(F.element_at("b", -1)["d"]).alias("distance"))
 
     for row in queries.select(id_col, vector).toLocalIterator():
-        batch.append((row[0], row[1]))
         if len(batch) == block:
             part, batch = against(batch), []
             out = part if out is None else out.union(part)
+        batch.append((row[0], row[1]))
+    if not batch:
+        return rows.where("false").select(F.col(id_col).cast("long").alias(id_col), F.lit(0.0).alias("distance"))
     part = against(batch)
     return part if out is None else out.union(part)
 
 
-def knn_distance(points: DataFrame, k: int, size: float, rounds: int = 40) -> DataFrame:
-    """vertex_id, distance to the k-th nearest other point, by rings of cells of edge
-    ``size``: a point is settled once k others lie within the rings' reach; the
-    others go on with rings twice as wide."""
-    open_, edge, done = points.select("vertex_id", *[F.col(a).cast("double").alias(a) for a in "xyz"]), size, None
-    everyone = runtime.materialize(open_, "knn")
-    total = everyone.count()
-    for _ in range(rounds):
+def knn_distance(points: DataFrame, k: int, size: float, salts: int = 16) -> DataFrame:
+    """vertex_id, distance: the mean distance to the k nearest other points (to all
+    others, if they are fewer; 0 for a single point, null without finite coordinates).
+
+    By rings of cells of edge ``size``: a point is settled once k others lie within the
+    rings' reach; the others go on with rings twice as wide.  The distances of a point
+    meet in ``salts`` parts, which keep their best k, before they meet as a whole.
+    """
+    xyz = [F.col(a).cast("double").alias(a) for a in "xyz"]
+    finite = F.lit(True)
+    for a in "xyz":
+        finite = finite & F.coalesce(F.abs(F.col(a)) < float("inf"), F.lit(False)) & ~F.isnan(F.col(a))
+    placed = points.select("vertex_id", *xyz)
+    everyone = runtime.materialize(placed.where(finite), "knn")
+    k = min(k, everyone.count() - 1)
+    done = placed.where(~finite).select("vertex_id", F.lit(None).cast("double").alias("distance"))
+    if k < 1:
+        return done.union(everyone.select("vertex_id", F.lit(0.0)))
+    open_, edge = everyone, size
+    while not open_.isEmpty():
         near = everyone.select(F.col("vertex_id").alias("o"), *[F.col(a).alias(f"o{a}") for a in "xyz"], *[cell(a, edge).alias(f"c{a}") for a in "xyz"])
         ask = open_
         for a in "xyz":
             ask = ask.withColumn(f"c{a}", F.explode(F.array(*[(cell(a, edge) + i) for i in (-1, 0, 1)])))
         pairs = ask.join(near, ["cx", "cy", "cz"]).where("o <> vertex_id")
         square = sum((F.col(a) - F.col(f"o{a}")) * (F.col(a) - F.col(f"o{a}")) for a in "xyz")
-        best = pairs.withColumn("d", square).groupBy("vertex_id").agg(F.slice(F.sort_array(F.collect_list("d")), 1, k).alias("b"))
-        settled = best.where((F.size("b") == k) & (F.element_at("b", -1) <= edge * edge)).select("vertex_id", F.sqrt(F.element_at("b", -1)).alias("distance"))
-        settled = runtime.materialize(settled, "knn-settled")
-        done = settled if done is None else done.union(settled)
+        salted = pairs.select("vertex_id", square.alias("d"), F.pmod(F.xxhash64("o"), F.lit(salts)).alias("salt")).where(F.col("d") <= edge * edge)
+        part = salted.groupBy("vertex_id", "salt").agg(F.slice(F.sort_array(F.collect_list("d")), 1, k).alias("b"))
+        best = part.groupBy("vertex_id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("b"))), 1, k).alias("b"))
+        mean = F.aggregate("b", F.lit(0.0), lambda t, d: t + F.sqrt(d)) / k
+        settled = runtime.materialize(best.where(F.size("b") == k).select("vertex_id", mean.alias("distance")), "knn-settled")
+        done = done.union(settled)
         open_ = runtime.materialize(open_.join(settled, "vertex_id", "left_anti"), "knn-open")
-        if open_.isEmpty() or total <= k:
-            return done
         edge *= 2
     return done

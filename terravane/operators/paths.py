@@ -143,26 +143,30 @@ def subsample(path: DataFrame, shape: tuple, most: int, by: str = "longest") ->
 
 def simplify(path: DataFrame, epsilon: float, dims: str = "xyz") -> DataFrame:
     """Douglas-Peucker by levels: all open (object, low, high) spans of a round are split
-    at once at their farthest vertex if it is more than epsilon from the span."""
-    points = runtime.materialize(ranked(path).select("object_id", "i", "n", *dims), "paths")
-    done = points.where("i = 0 OR i = n - 1").select("object_id", "i")
-    spans = points.where("i = 0 AND n > 2").select("object_id", F.lit(0).cast("long").alias("lo"), (F.col("n") - 1).alias("hi"))
-    while True:
-        ends = spans
-        for side in ("lo", "hi"):
-            at = points.select("object_id", F.col("i").alias(side), *[F.col(a).alias(f"{side}_{a}") for a in dims])
-            ends = ends.join(at, ["object_id", side])
-        inner = points.join(ends, "object_id").where("i > lo AND i < hi")
-        d = {a: F.col(f"hi_{a}").cast("double") - F.col(f"lo_{a}") for a in dims}
-        q = {a: F.col(a).cast("double") - F.col(f"lo_{a}") for a in dims}
-        square = sum(d[a] * d[a] for a in dims)
-        t = F.when(square < 1e-30, 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), sum(d[a] * q[a] for a in dims) / square)))
-        apart = sum((q[a] - t * d[a]) * (q[a] - t * d[a]) for a in dims)
-        far = inner.groupBy("object_id", "lo", "hi").agg(F.max(F.struct(apart.alias("d"), (-F.col("i")).alias("m"))).alias("f"))
-        cut = runtime.materialize(far.where(F.col("f.d") > epsilon * epsilon).select("object_id", "lo", "hi", (-F.col("f.m")).alias("i")), "splits")
-        if cut.isEmpty():
-            break
-        done = done.union(cut.select("object_id", "i"))
-        spans = cut.select("object_id", F.explode(F.array(F.struct(F.col("lo"), F.col("i").alias("hi")), F.struct(F.col("i").alias("lo"), F.col("hi")))).alias("s"))
-        spans = spans.select("object_id", "s.lo", "s.hi").where("hi - lo > 1")
-    return ranked(path).join(done.distinct(), ["object_id", "i"], "left_semi").drop("i", "n")
+    at once at their farthest vertex if it is more than epsilon from the span.
+
+    A vertex carries its span and the span's ends, so a round reads each open vertex once
+    and joins it with its span's split; vertices of settled spans take no further part."""
+    at = F.struct(*[F.col(a).cast("double").alias(a) for a in dims])
+    points = ranked(path).select("object_id", "i", "n", at.alias("p"))
+    ends = points.groupBy("object_id").agg(F.min_by("p", "i").alias("a"), F.max_by("p", "i").alias("b"))
+    kept = points.where("i = 0 OR i = n - 1").select("object_id", "i")
+    inner = points.where("i > 0 AND i < n - 1").join(ends, "object_id")
+    open_ = runtime.materialize(inner.select("object_id", "i", "p", F.lit(0).cast("long").alias("lo"), "a", "b"), "paths")
+    d = {c: F.col(f"b.{c}") - F.col(f"a.{c}") for c in dims}
+    q = {c: F.col(f"p.{c}") - F.col(f"a.{c}") for c in dims}
+    square = sum(d[c] * d[c] for c in dims)
+    t = F.when(square < 1e-30, 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), sum(d[c] * q[c] for c in dims) / square)))
+    apart = sum((q[c] - t * d[c]) * (q[c] - t * d[c]) for c in dims)
+    while not open_.isEmpty():
+        far = open_.groupBy("object_id", "lo").agg(F.max(F.struct(apart.alias("d"), (-F.col("i")).alias("m"), F.col("p"))).alias("f"))
+        far = far.where(F.col("f.d") > epsilon * epsilon).select("object_id", "lo", (-F.col("f.m")).alias("at"), F.col("f.p").alias("mid"))
+        cut = runtime.materialize(far, "splits")
+        kept = kept.union(cut.select("object_id", F.col("at").alias("i")))
+        after = F.col("i") > F.col("at")
+        split = open_.join(cut, ["object_id", "lo"]).where("i <> at").select(
+            "object_id", "i", "p", F.when(after, F.col("at")).otherwise(F.col("lo")).alias("lo"), F.when(after, F.col("mid")).otherwise(F.col("a")).alias("a"), F.when(after, F.col("b")).otherwise(F.col("mid")).alias("b")
+        )
+        past, open_ = open_, runtime.materialize(split, "paths")
+        runtime.forget(past)
+    return ranked(path).join(kept, ["object_id", "i"], "left_semi").drop("i", "n")

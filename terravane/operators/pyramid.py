@@ -48,13 +48,12 @@ def objects_of(vertices: DataFrame) -> DataFrame:
     return paths.lengths(vertices)
 
 
-def survivors(level: DataFrame, factor: float, strategy: str, seed: int) -> DataFrame:
-    """Objects kept when one in ``factor`` stays."""
+def survivors(level: DataFrame, factor: float, strategy: str, seed: int, shape: tuple | None = None) -> DataFrame:
+    """Objects kept when one in ``factor`` stays; "coverage" and "thinning" need the bin shape."""
     if factor <= 1:
         return level.select("object_id").distinct()
     column = {"length": "length", "attribute": "n"}.get(strategy)
     points = paths.representatives(level) if strategy in ("coverage", "thinning") else None
-    shape = (1e6, 1e6, 1e6) if points is not None else None
     return selection.apply_sparsity(objects_of(level), 1.0 / factor, strategy, column, points, shape, seed)
 
 
@@ -62,29 +61,30 @@ def per_object(level: DataFrame, shape: tuple, factor: float = 1.0, strategy: st
     """Surviving objects over shared bin centroids: (vertices, parents).
 
     Bins are formed over the survivors only.  Each object visits its bins in order,
-    repeats in a row once.  Parents maps each vertex of the level below whose bin
-    survives to that bin's vertex.
+    repeats in a row once.  Parents maps each vertex of the level below to its bin's
+    vertex, or to -1 if the bin does not survive.
     """
-    alive = runtime.materialize(level.join(survivors(level, factor, strategy, seed), "object_id", "left_semi"), "level-alive")
+    alive = runtime.materialize(level.join(survivors(level, factor, strategy, seed, shape), "object_id", "left_semi"), "level-alive")
     nodes = number_rows(binning.metanodes(alive, shape), binning.BIN, "vertex_id")
     nodes = runtime.materialize(nodes, "level-nodes")
     placed = alive.withColumns(cells(shape)).join(nodes.select(*binning.BIN, "vertex_id").withColumnRenamed("vertex_id", "m"), binning.BIN)
     new = F.coalesce(F.col("m") != F.lag("m").over(paths.ordered()), F.lit(True))
     kept = placed.withColumn("new", new).where("new").withColumn("place", (F.row_number().over(paths.ordered()) - 1).cast("long"))
     out = kept.select("object_id", F.col("place").alias("seq"), F.col("m").alias("vertex_id")).join(nodes.select("vertex_id", "x", "y", "z"), "vertex_id")
-    below = level.withColumns(cells(shape)).join(nodes.select(*binning.BIN, F.col("vertex_id").alias("parent")), binning.BIN)
-    return out.select("object_id", "seq", "vertex_id", "x", "y", "z"), below.select("vertex_id", "parent").distinct()
+    below = level.withColumns(cells(shape)).join(nodes.select(*binning.BIN, F.col("vertex_id").alias("parent")), binning.BIN, "left")
+    return out.select("object_id", "seq", "vertex_id", "x", "y", "z"), below.select("vertex_id", F.coalesce("parent", F.lit(-1)).alias("parent")).distinct()
 
 
 def polyline(level: DataFrame, shape: tuple, factor: float = 1.0, strategy: str = "length", seed: int = 0, epsilon: float | None = None) -> tuple[DataFrame, DataFrame]:
     """Surviving paths simplified by Douglas-Peucker (epsilon: half the least bin edge)."""
-    alive = runtime.materialize(level.join(survivors(level, factor, strategy, seed), "object_id", "left_semi"), "level-alive")
+    alive = runtime.materialize(level.join(survivors(level, factor, strategy, seed, shape), "object_id", "left_semi"), "level-alive")
     thin = paths.simplify(alive, epsilon if epsilon is not None else min(shape) * 0.5)
     # a vertex belongs to the last kept one at or before it on its path
     kept = runtime.materialize(thin.select("object_id", "seq", "vertex_id", "x", "y", "z"), "level-paths")
     own = alive.join(kept.select("object_id", "seq", F.col("vertex_id").alias("k")), ["object_id", "seq"], "left")
     parents = own.withColumn("parent", F.last("k", ignorenulls=True).over(paths.ordered().rowsBetween(Window.unboundedPreceding, 0)))
-    return kept, parents.select("vertex_id", "parent")
+    every = level.select("vertex_id").distinct().join(parents.select("vertex_id", "parent"), "vertex_id", "left")
+    return kept, every.select("vertex_id", F.coalesce("parent", F.lit(-1)).alias("parent"))
 
 
 register_coarsener("per_object", per_object)
@@ -120,20 +120,21 @@ def rebuild_from(levels: list[Level], source: int) -> list[Level]:
 
 def cross_level(levels: list[Level], depth: int = 1, storage: str = "explicit") -> DataFrame:
     """level, delta, v0, v1: links from a level's vertices to their ancestors up to
-    ``depth`` levels above (-1: all); with ``explicit`` storage also the mirrored ones."""
+    ``depth`` levels above (-1: all); with ``explicit`` storage also the mirrored ones.
+    Vertices without a parent (-1) have no link."""
     if storage not in ("explicit", "implicit"):
         raise ValueError(f"unknown storage {storage!r}")
     made, steps = [], {k: levels[k + 1].parents for k in range(len(levels) - 1)}
     reach = len(levels) if depth < 0 else depth
     for k in steps:
-        link = steps[k].select(F.col("vertex_id").alias("v0"), F.col("parent").alias("v1"))
+        link = steps[k].where("parent >= 0").select(F.col("vertex_id").alias("v0"), F.col("parent").alias("v1"))
         for d in range(1, reach + 1):
             made.append(link.select(F.lit(k).alias("level"), F.lit(d).alias("delta"), "v0", "v1"))
             if storage == "explicit":
                 made.append(link.select(F.lit(k + d).alias("level"), F.lit(-d).alias("delta"), F.col("v1").alias("v0"), F.col("v0").alias("v1")))
             if k + d not in steps:
                 break
-            up = steps[k + d].select(F.col("vertex_id").alias("v1"), F.col("parent").alias("up"))
+            up = steps[k + d].where("parent >= 0").select(F.col("vertex_id").alias("v1"), F.col("parent").alias("up"))
             link = link.join(up, "v1").select("v0", F.col("up").alias("v1"))
     out = made[0]
     for x in made[1:]:

@@ -6,18 +6,30 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terravane.functions.vec3 import cells
+from terravane.plans.numbering import number_rows
 
 BIN = ["gx", "gy", "gz"]
 
 
-def top(objects: DataFrame, column: str, k: int, largest: bool = True) -> DataFrame:
+#: Up to so many rows a bounded heap per task keeps the first ones; beyond, rows are numbered by ranges.
+HEAP = 10_000
+
+
+def first(rows: DataFrame, keys: list, k: int, heap: int = HEAP) -> DataFrame:
+    """The first k rows in the order of ``keys`` (a total order)."""
+    if k <= heap:
+        return rows.orderBy(*keys).limit(k)
+    return number_rows(rows, keys, "__nth").where(F.col("__nth") < k).drop("__nth")
+
+
+def top(objects: DataFrame, column: str, k: int, largest: bool = True, heap: int = HEAP) -> DataFrame:
     """The k objects with the largest (or smallest) value; ties by object_id."""
-    return objects.orderBy(F.desc(column) if largest else F.asc(column), "object_id").limit(k)
+    return first(objects, [F.desc(column) if largest else F.asc(column), F.asc("object_id")], k, heap)
 
 
-def sample(objects: DataFrame, k: int, seed: int = 0) -> DataFrame:
+def sample(objects: DataFrame, k: int, seed: int = 0, heap: int = HEAP) -> DataFrame:
     """k objects drawn by a seeded hash of their ids."""
-    return objects.orderBy(F.xxhash64("object_id", F.lit(seed)), "object_id").limit(k)
+    return first(objects, [F.xxhash64("object_id", F.lit(seed)).asc(), F.asc("object_id")], k, heap)
 
 
 def thin(points: DataFrame, shape: tuple, id_col: str = "vertex_id", seed: int | None = None) -> DataFrame:
@@ -36,13 +48,12 @@ def cover(points: DataFrame, shape: tuple, k: int, id_col: str = "object_id") ->
     bins = placed.groupBy(*BIN).agg(F.count(F.lit(1)).alias("n"), F.min(id_col).alias("lead"))
     row = bins.agg(F.count(F.lit(1)).alias("bins"), F.sum(F.col("n") - 1).alias("more")).first()
     if k <= row["bins"]:
-        first = bins.orderBy("lead").limit(k).select(F.col("lead").alias(id_col))
-        return first
+        return first(bins, [F.asc("lead")], k).select(F.col("lead").alias(id_col))
     spare, more = min(k - row["bins"], row["more"]), max(1, row["more"])
     share = bins.withColumn("extra", F.floor(F.lit(spare) * (F.col("n") - 1) / F.lit(float(more))).cast("long"))
     left = spare - share.agg(F.sum("extra")).first()[0]
     # left < number of bins: one more for each of the heaviest bins
-    lucky = share.orderBy(F.desc(F.col("n") - 1), "lead").limit(max(0, left)).select(*BIN, F.lit(1).cast("long").alias("one"))
+    lucky = first(share, [F.desc(F.col("n") - 1), F.asc("lead")], max(0, left)).select(*BIN, F.lit(1).cast("long").alias("one"))
     allowed = share.join(lucky, BIN, "left").select(*BIN, (F.lit(1) + F.col("extra") + F.coalesce("one", F.lit(0))).alias("take"))
     return ranked.join(allowed, BIN).where("place <= take").select(id_col)
 
@@ -69,5 +80,5 @@ def apply_sparsity(objects: DataFrame, share: float, strategy: str = "random", c
             raise ValueError(f"strategy {strategy!r} needs points and a bin shape")
         if strategy == "coverage":
             return cover(points, shape, k)
-        return thin(points, shape, "object_id").orderBy("object_id").limit(k)
+        return first(thin(points, shape, "object_id"), [F.asc("object_id")], k)
     raise ValueError(f"unknown strategy {strategy!r}")

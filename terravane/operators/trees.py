@@ -46,7 +46,8 @@ def nearest_marked(tree: DataFrame, marked: DataFrame, rounds: int = 64) -> Data
         ahead = now.select(F.col("vertex_id").alias("up"), F.col("up").alias("up2"), F.col("hops").alias("hops2"), F.col("stop").alias("stop2"))
         open_, done = now.where("NOT stop"), now.where("stop")
         jump = open_.join(ahead, "up").select("vertex_id", F.col("up2").alias("up"), (F.col("hops") + F.col("hops2")).alias("hops"), F.col("stop2").alias("stop"))
-        now = runtime.materialize(done.union(jump), "doubling")
+        past, now = now, runtime.materialize(done.union(jump), "doubling")
+        runtime.forget(past)
     else:
         raise RuntimeError("the parents hold a cycle")
     return now.select("vertex_id", F.col("up").alias("anchor"), "hops")
@@ -60,7 +61,19 @@ def depths(tree: DataFrame) -> DataFrame:
 
 def strahler(tree: DataFrame) -> DataFrame:
     """vertex_id, strahler: 1 at ends; else the children's maximum, plus one if two or
-    more children share it.  Levels are settled from the deepest up."""
+    more children share it.  A vertex with one child has its child's number, so only
+    ends, branching vertices and roots are worked out, from the deepest of these up: as
+    many rounds as branching vertices follow each other."""
+    tree = tree.select("vertex_id", "parent")
+    fixed = runtime.materialize(anchors(tree), "strahler-anchors")
+    few = runtime.materialize(collapse(tree, fixed), "strahler-tree")
+    done = runtime.materialize(_strahler_by_level(few), "strahler-done")
+    inner = tree.join(fixed, "vertex_id", "left_anti")
+    below = nearest_below(tree, fixed, inner).select("vertex_id", F.col("object_id").alias("low"))
+    return done.union(below.join(done.select(F.col("vertex_id").alias("low"), "strahler"), "low").select("vertex_id", "strahler"))
+
+
+def _strahler_by_level(tree: DataFrame) -> DataFrame:
     tree = tree.select("vertex_id", "parent")
     deep = runtime.materialize(tree.join(depths(tree), "vertex_id").join(child_counts(tree), "vertex_id"), "strahler")
     top = deep.agg(F.max("depth")).first()[0]
@@ -152,5 +165,6 @@ def nearest_below(parent: DataFrame, fixed: DataFrame, inner: DataFrame) -> Data
     while not now.where("NOT stop").isEmpty():
         ahead = now.select(F.col("vertex_id").alias("to"), F.col("to").alias("to2"), F.col("stop").alias("stop2"))
         jump = now.where("NOT stop").join(ahead, "to").select("vertex_id", F.col("to2").alias("to"), F.col("stop2").alias("stop"))
-        now = runtime.materialize(now.where("stop").union(jump), "below")
+        past, now = now, runtime.materialize(now.where("stop").union(jump), "below")
+        runtime.forget(past)
     return now.select(F.col("to").alias("object_id"), "vertex_id")

@@ -42,7 +42,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e"))
         after = runtime.materialize(small.select(F.col("e.b").alias("a"), F.col("e.m").alias("b")).where("a <> b").distinct(), "cc")
-        done, now = _mark(after), after
+        done = _mark(after)
+        runtime.forget(now)
+        now = after
         if done == before:
             break
         before = done

@@ -37,18 +37,17 @@ L = """l AS (SELECT user_id AS object_id, event_id AS vertex_id, CAST(round(valu
         row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq FROM events)"""
 
 
-def edges(spark: SparkSession, sf: str, every: int = 20) -> DataFrame:
-    """Consecutive orders join their customers: one edge in ``every`` orders."""
+def edges(spark: SparkSession, sf: str) -> DataFrame:
+    """Consecutive orders join their customers, over all orders."""
     o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
     nxt = o.select((F.col("o_orderkey") - 1).alias("o_orderkey"), F.col("o_custkey").alias("v1"))
-    both = o.where(f"o_orderkey % {every} = 0").join(nxt, "o_orderkey").where("o_custkey <> v1")
+    both = o.join(nxt, "o_orderkey").where("o_custkey <> v1")
     return both.selectExpr("o_orderkey AS edge_id", "o_custkey AS v0", "v1", "1 + cast(round(o_totalprice * 100) AS bigint) % 100 AS weight")
 
 
-def edges_sql(every: int = 20) -> str:
-    return f"""e AS (SELECT a.o_orderkey AS edge_id, a.o_custkey AS v0, b.o_custkey AS v1,
+E = """e AS (SELECT a.o_orderkey AS edge_id, a.o_custkey AS v0, b.o_custkey AS v1,
         1 + CAST(round(a.o_totalprice * 100) AS BIGINT) % 100 AS weight
-        FROM orders a JOIN orders b ON b.o_orderkey = a.o_orderkey + 1 WHERE a.o_orderkey % {every} = 0 AND a.o_custkey <> b.o_custkey),
+        FROM orders a JOIN orders b ON b.o_orderkey = a.o_orderkey + 1 WHERE a.o_custkey <> b.o_custkey),
         ee AS (SELECT v0 AS a, v1 AS b, weight AS w FROM e UNION ALL SELECT v1, v0, weight FROM e)"""
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from terravane.operators import paths, pyramid
@@ -44,7 +46,7 @@ def pyramid_per_object(spark, sf):
     return _one(spark, sf).vertices
 
 
-@query(f"WITH {LEVEL1}, p AS (SELECT *, {bins(1)} FROM l) SELECT p.vertex_id, n1.vertex_id AS parent FROM p JOIN n1 USING (gx, gy, gz)")
+@query(f"WITH {LEVEL1}, p AS (SELECT *, {bins(1)} FROM l) SELECT p.vertex_id, coalesce(n1.vertex_id, -1) AS parent FROM p LEFT JOIN n1 USING (gx, gy, gz)")
 def pyramid_parents(spark, sf):
     return _one(spark, sf).parents
 
@@ -146,7 +148,7 @@ def _round_trip(spark, sf):
     from terravane.plans import runtime
     from terravane.sources import store
 
-    path = f"{runtime.shared_dir(spark)}/stores/points-{abs(hash(sf))}"
+    path = f"{runtime.shared_dir(spark)}/stores/points-{uuid.uuid4().hex}"
     points = fx.points(spark, sf)
     store.write_level(points, path, 0, (1_000_000.0, 100.0, 10.0))
     return store.read_points(spark, path, 0, low=(5_000_000, 100, 10), high=(20_000_000, 900, 60), columns=["vertex_id", "object_id", "x", "y", "z"])

@@ -113,10 +113,8 @@ def points_drop_duplicates(spark, sf):
 s AS (SELECT greatest(max(abs(x - mx)), max(abs(y - my)), max(abs(z - mz))) AS s FROM p, m)
 SELECT vertex_id, round((x - mx) / s, 9) AS x, round((y - my) / s, 9) AS y, round((z - mz) / s, 9) AS z FROM p, m, s""")
 def points_normalise(spark, sf):
-    points = fx.points(spark, sf)
-    centre = points.agg(*[(F.sum(a) / F.count(F.lit(1)).cast("double")).alias(a) for a in "xyz"]).first()
-    reach = points.agg(F.greatest(*[F.max(F.abs(F.col(a) - centre[a])) for a in "xyz"]).alias("s")).first()["s"] or 1.0
-    return points.select("vertex_id", *[F.round((F.col(a) - centre[a]) / reach, 9).alias(a) for a in "xyz"])
+    moved, _ = filters.normalise(fx.points(spark, sf))
+    return moved.select("vertex_id", *[F.round(a, 9).alias(a) for a in "xyz"])
 
 
 @query(f"WITH {fx.P} SELECT object_id, count(*) AS n FROM p GROUP BY object_id")
@@ -202,7 +200,7 @@ def points_knn_vectors(spark, sf):
 
 @query("""WITH p AS (SELECT c_custkey AS vertex_id, c_custkey % 50 AS x, c_nationkey AS y, CAST(round(c_acctbal) AS BIGINT) % 40 AS z FROM customer),
 d AS (SELECT a.vertex_id, (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z) AS q FROM p a JOIN p b ON a.vertex_id <> b.vertex_id)
-SELECT vertex_id, round(sqrt(q), 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY vertex_id ORDER BY q) AS r FROM d) WHERE r = 3""")
+SELECT vertex_id, round(sum(sqrt(q)) / 3, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY vertex_id ORDER BY q) AS r FROM d) WHERE r <= 3 GROUP BY vertex_id""")
 def points_knn_distance(spark, sf):
     points = fx.table(spark, sf, "customer").selectExpr("c_custkey AS vertex_id", "c_custkey % 50 AS x", "c_nationkey AS y", "cast(round(c_acctbal) AS bigint) % 40 AS z")
     return neighbours.knn_distance(points, 3, 6.0).select("vertex_id", F.round("distance", 6).alias("distance"))

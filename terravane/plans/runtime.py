@@ -23,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables, read from the session."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="terravane-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -49,7 +51,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     with _drop_shuffles(spark):
         df.write.parquet(path)
     _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_at = path
+    return table
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables of ``materialize`` that no result reads any more: the states of past rounds."""
+    for table in tables:
+        if getattr(table, "written_at", None) in _written:
+            release(table.sparkSession, [table.written_at])
 
 
 def release(spark: SparkSession, paths: list[str] | None = None) -> None:

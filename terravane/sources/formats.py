@@ -20,39 +20,49 @@ from terravane.operators import filters
 from terravane.plans.numbering import number_rows, prefix_sums
 
 # Names under which coordinate and attribute columns are recognised.
-AXES = {"x": ("x", "pos_x", "px", "position_x"), "y": ("y", "pos_y", "py", "position_y"), "z": ("z", "pos_z", "pz", "position_z")}
-KNOWN = {"r": ("r", "red"), "g": ("g", "green"), "b": ("b", "blue"), "intensity": ("intensity",), "label": ("label", "class"), "confidence": ("confidence",)}
+AXES = {a: (a, f"pos_{a}", f"pos{a}", f"p{a}") for a in "xyz"}
+KNOWN = {"r", "red", "g", "green", "b", "blue", "intensity", "i", "label", "class", "tissue", "confidence", "conf"}
 
 
 def detect_columns(names: list[str], ndim: int = 3) -> tuple[list[str], list[str]]:
-    """(position columns, recognised attributes) by name, whatever the case; both empty
-    unless every axis is found."""
-    lower = {n.lower(): n for n in names}
-    axes = [next((lower[a] for a in AXES[k] if a in lower), None) for k in "xyz"[:ndim]]
+    """(position columns, recognised attributes), by name whatever its case and blanks
+    around it, both in the order of the header; both empty unless every axis is found.
+    The first column that fits an axis is the axis."""
+    plain = [(n, n.strip().lower()) for n in names]
+    axes = [next((n for n, low in plain if low in AXES[a]), None) for a in "xyz"[:ndim]]
     if None in axes:
         return [], []
-    return axes, [lower[a] for aliases in KNOWN.values() for a in aliases if a in lower]
+    return axes, [n for n, low in plain if low in KNOWN and n not in axes]
 
 
-def read_csv_points(spark: SparkSession, path: str, ndim: int = 3, delimiter: str = ",", header: bool = True, positions: list[str] | None = None, attributes: list[str] | None = None, auto: bool = False, drop_na: bool = False, drop_duplicates: bool = False) -> DataFrame:
-    """vertex_id, x, y[, z] and float attributes; ids follow the order of lines."""
+def in_line_order(raw: DataFrame, name: str = "__line") -> DataFrame:
+    """The rows of a file scan with ``name``, which orders them by file, place of the
+    split in the file, and line."""
+    place = F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    return raw.select("*", place.alias(name))
+
+
+def read_csv_points(spark: SparkSession, path: str, ndim: int = 3, delimiter: str = ",", header: bool = True, positions: list[str] | None = None, attributes: list[str] | None = None, auto: bool = False, drop_na: bool = False, drop_duplicates: bool = False, normalise: bool = False) -> DataFrame:
+    """vertex_id, x, y[, z] and float attributes; ids follow the order of lines.
+    ``filters.normalise`` of the result gives the offset and scale that ``normalise`` applies."""
     raw = spark.read.csv(path, sep=delimiter, header=header)
     if not header:
-        raw = raw.toDF(*[f"col{i}" for i in range(len(raw.columns))])
+        raw = raw.withColumnsRenamed({c: f"col{i}" for i, c in enumerate(raw.columns)})
     if auto and not positions:
         positions, found = detect_columns(raw.columns, ndim)
         attributes = attributes or found
     positions = positions or raw.columns[:ndim]
     attributes = attributes if attributes is not None else [c for c in raw.columns if c not in positions]
     axes = "xyz"[:ndim]
-    rows = raw.withColumn("__line", F.monotonically_increasing_id()).select(
+    rows = in_line_order(raw).select(
         "__line", *[F.col(f"`{c}`").cast("double").alias(a) for c, a in zip(positions, axes, strict=True)], *[F.col(f"`{c}`").cast("float").alias(c) for c in attributes]
     )
     if drop_na:
         rows = filters.drop_na(rows, axes)
     if drop_duplicates:
         rows = filters.drop_duplicates(rows, list(axes), "__line")
-    return number_rows(rows, ["__line"], "vertex_id").drop("__line")
+    out = number_rows(rows, ["__line"], "vertex_id").drop("__line")
+    return filters.normalise(out, axes)[0] if normalise else out
 
 
 def read_lines_csv(spark: SparkSession, path: str, header: bool = True, drop_zero: bool = False, drop_na: bool = False, drop_duplicates: bool = False) -> DataFrame:
@@ -60,13 +70,14 @@ def read_lines_csv(spark: SparkSession, path: str, header: bool = True, drop_zer
     zero-length lines are dropped, as asked."""
     raw = spark.read.csv(path, header=header)
     ends = [f"{a}{k}" for k in (0, 1) for a in "xyz"]
-    rows = raw.withColumn("line_id", F.monotonically_increasing_id()).select(
-        "line_id", *[F.col(f"`{c}`").cast("double").alias(e) for c, e in zip(raw.columns[:6], ends, strict=True)], *[F.col(f"`{c}`").cast("float").alias(c) for c in raw.columns[6:]]
+    rows = in_line_order(raw).select(
+        "__line", *[F.col(f"`{c}`").cast("double").alias(e) for c, e in zip(raw.columns[:6], ends, strict=True)], *[F.col(f"`{c}`").cast("float").alias(c) for c in raw.columns[6:]]
     )
     if drop_na:
         rows = filters.drop_na(rows, ends)
     if drop_duplicates:
-        rows = filters.drop_duplicates(rows, ends, "line_id")
+        rows = filters.drop_duplicates(rows, ends, "__line")
+    rows = number_rows(rows, ["__line"], "line_id").drop("__line")
     out = rows.withColumn("length", norm(sub(vec(suffix="1"), vec(suffix="0"))))
     return out.where("length >= 1e-9") if drop_zero else out
 
@@ -74,13 +85,14 @@ def read_lines_csv(spark: SparkSession, path: str, header: bool = True, drop_zer
 def read_edge_list(spark: SparkSession, edges: str, nodes: str, source: str = "source", target: str = "target", node_id: str = "node_id", drop_duplicates: bool = False) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges): nodes numbered by file order, edges by those numbers; edges with an
     unknown end are dropped, their attributes stay beside them."""
-    n = spark.read.csv(nodes, header=True, inferSchema=True).withColumn("__line", F.monotonically_increasing_id())
+    n = in_line_order(spark.read.csv(nodes, header=True, inferSchema=True))
     if drop_duplicates:
         n = filters.drop_duplicates(n, [node_id], "__line")
     n = number_rows(n, ["__line"], "vertex_id").drop("__line")
-    e = spark.read.csv(edges, header=True, inferSchema=True).withColumn("edge_id", F.monotonically_increasing_id())
+    e = in_line_order(spark.read.csv(edges, header=True, inferSchema=True))
     if drop_duplicates:
-        e = filters.drop_duplicates(e, [source, target], "edge_id")
+        e = filters.drop_duplicates(e, [source, target], "__line")
+    e = number_rows(e, ["__line"], "edge_id").drop("__line")
     for name, end in ((source, "v0"), (target, "v1")):
         e = e.join(n.select(F.col(node_id).alias(name), F.col("vertex_id").alias(end)), name)
     return n, e
