@@ -5,14 +5,18 @@ from __future__ import annotations
 import argparse
 import sys
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terravane.operators import pyramid
-from terravane.sources import formats, store
+from terravane.plans.numbering import number_rows
+from terravane.sources import binary, formats, store
 
-#: Format by file ending; others need --format.
-ENDINGS = {".csv": "points", ".xyz": "points", ".swc": "swc", ".obj": "obj", ".stl": "stl", ".ply": "ply", ".trk": "trk", ".tck": "tck"}
+#: Format by file ending; others (lines, edgelist) need --format.
+ENDINGS = {
+    ".csv": "points", ".xyz": "points", ".las": "las", ".ply": "ply", ".swc": "swc", ".obj": "obj", ".stl": "stl", ".trk": "trk", ".tck": "tck", ".trx": "trx", ".graphml": "graphml"
+}
+FORMATS = [*dict.fromkeys(ENDINGS.values()), "lines", "edgelist"]
 
 
 def numbers(text: str) -> tuple[float, ...]:
@@ -31,47 +35,111 @@ def build_factors(bins: str | None, objects: str | None) -> list[tuple[float, fl
     return list(zip(b, o, strict=True))
 
 
-def read(spark: SparkSession, kind: str, path: str):
+def _single(rows: DataFrame) -> DataFrame:
+    """All vertices as one object, in their order."""
+    return rows.withColumns({"object_id": F.lit(0).cast("long"), "seq": F.col("vertex_id")})
+
+
+def _numbered(rows: DataFrame, keys: list[str]) -> DataFrame:
+    return number_rows(rows, keys, "vertex_id")
+
+
+def _mesh(vertices: DataFrame, faces: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Meshes of several files with vertices and faces numbered throughout."""
+    named = number_rows(vertices.withColumnRenamed("vertex_id", "own"), ["file", "own"], "vertex_id")
+    for k in range(3):
+        end = named.select("file", F.col("own").alias(f"v{k}"), F.col("vertex_id").alias(f"n{k}"))
+        faces = faces.join(end, ["file", f"v{k}"]).drop(f"v{k}")
+    faces = number_rows(faces.withColumnRenamed("face_id", "own"), ["file", "own"], "face_id").drop("own", "file")
+    return _single(named.drop("own", "file")), faces.withColumnsRenamed({f"n{k}": f"v{k}" for k in range(3)})
+
+
+def convert(spark: SparkSession, kind: str, path: str, to: str, shape: tuple, nodes: str | None = None) -> None:
+    """One file or folder of a format to level 0 of a store, with its edges, faces or parents."""
     if kind == "points":
-        return formats.read_csv_points(spark, path, auto=True).withColumn("object_id", F.lit(0).cast("long")).withColumn("seq", F.col("vertex_id"))
-    if kind == "swc":
-        return formats.read_swc(spark, path).withColumnsRenamed({"node": "vertex_id"}).withColumn("object_id", F.lit(0).cast("long")).withColumn("seq", F.col("vertex_id"))
-    if kind in ("trk", "tck"):
-        rows = formats.read_trk(spark, path) if kind == "trk" else formats.read_tck(spark, path)
-        return rows.withColumn("vertex_id", F.monotonically_increasing_id())
-    if kind in ("obj", "stl"):
-        return (formats.read_obj(spark, path) if kind == "obj" else formats.read_stl(spark, path))[0].withColumn("object_id", F.lit(0).cast("long")).withColumn("seq", F.col("vertex_id"))
-    if kind == "ply":
-        return formats.read_ply(spark, path).withColumn("object_id", F.lit(0).cast("long")).withColumn("seq", F.col("vertex_id"))
-    raise SystemExit(f"unknown format {kind!r}")
+        store.write_level(_single(formats.read_csv_points(spark, path, auto=True)), to, 0, shape)
+    elif kind in ("las", "ply"):
+        rows = binary.read_las(spark, path) if kind == "las" else formats.read_ply(spark, path)
+        rows = _numbered(rows.withColumnRenamed("vertex_id", "own"), ["file", "own"]).drop("own", "file")
+        store.write_level(_single(rows), to, 0, shape)
+    elif kind in ("trk", "tck", "trx"):
+        rows = binary.read_trx(spark, path)[0] if kind == "trx" else (formats.read_trk if kind == "trk" else formats.read_tck)(spark, path)
+        rows = rows.select("file", "object_id", "seq", "x", "y", "z")
+        objects = number_rows(rows.select("file", F.col("object_id").alias("own")).distinct(), ["file", "own"], "object_id")
+        rows = rows.withColumnRenamed("object_id", "own").join(objects, ["file", "own"]).drop("own", "file")
+        store.write_level(_numbered(rows, ["object_id", "seq"]), to, 0, shape)
+    elif kind == "swc":
+        rows = number_rows(formats.read_swc(spark, path), ["file", "node"], "vertex_id")
+        up = rows.select("file", F.col("node").alias("parent"), F.col("vertex_id").alias("up"))
+        trees = rows.join(up, ["file", "parent"], "left").withColumn("parent", F.coalesce("up", F.lit(-1))).drop("up", "node")
+        files = number_rows(trees.select("file").distinct(), ["file"], "object_id")
+        store.write_tree(trees.join(files, "file").drop("file").withColumn("seq", F.col("vertex_id")), to, 0, shape)
+    elif kind in ("obj", "stl"):
+        store.write_mesh(*_mesh(*(formats.read_obj if kind == "obj" else formats.read_stl)(spark, path)), to, 0, shape)
+    elif kind == "lines":
+        store.write_lines(formats.read_lines_csv(spark, path).withColumn("vertex_id", F.col("line_id")), to, 0, shape)
+    elif kind == "edgelist":
+        if nodes is None:
+            raise SystemExit("--format edgelist needs --nodes")
+        vertices, edges = formats.read_edge_list(spark, path, nodes)
+        at = {a: F.col(a).cast("double") if a in vertices.columns else F.lit(0.0) for a in "xyz"}
+        store.write_graph(_single(vertices.withColumns(at)), edges, to, 0, shape)
+    elif kind == "graphml":
+        vertices, edges = formats.read_graphml(spark, path)
+        placed = number_rows(vertices, ["id"], "vertex_id").withColumns({a: F.coalesce(F.col("data")[a].cast("double"), F.lit(0.0)) for a in "xyz"})
+        for name, end in (("source", "v0"), ("target", "v1")):
+            edges = edges.join(placed.select(F.col("id").alias(name), F.col("vertex_id").alias(end)), name)
+        store.write_graph(_single(placed), edges, to, 0, shape)
+    else:
+        raise SystemExit(f"unknown format {kind!r}; known are {', '.join(FORMATS)}")
+
+
+def add_levels(spark: SparkSession, path: str, bin_shape: tuple, factors: list[tuple[float, float]], mode: str | None, strategy: str, seed: int) -> None:
+    """Coarser levels of level 0 and the links of each vertex to the level above it."""
+    columns = store.read_points(spark, path, 0).columns
+    mode = mode or pyramid.select_coarsener_key(columns)
+    base = store.read_points(spark, path, 0).select("object_id", "seq", "vertex_id", *(["parent"] if mode == "skeleton" else []), "x", "y", "z")
+    shape = store.level_shape(spark, path, 0)
+    levels = pyramid.build_pyramid(base, bin_shape, factors, mode, strategy, seed)
+    for below, level in zip(levels, levels[1:], strict=False):
+        store.write_level(level.vertices, path, level.number, shape)
+        store.write_parents(level.parents, below.vertices.dropDuplicates(["vertex_id"]), path, below.number, shape)
+
+
+def _pyramid_flags(p: argparse.ArgumentParser, needed: bool) -> None:
+    p.add_argument("--bin-shape", type=numbers, required=needed), p.add_argument("--bin-factors"), p.add_argument("--object-factors")
+    p.add_argument("--mode", choices=["per_object", "polyline", "skeleton"]), p.add_argument("--strategy", default="random"), p.add_argument("--seed", type=int, default=0)
 
 
 def main(args: list[str] | None = None) -> int:
     top = argparse.ArgumentParser(prog="terravane")
     sub = top.add_subparsers(dest="command", required=True)
-    c = sub.add_parser("convert", help="file to level 0 of a store")
-    c.add_argument("input"), c.add_argument("store"), c.add_argument("--format"), c.add_argument("--chunk-shape", type=numbers, required=True)
+    c = sub.add_parser("convert", help="file to level 0 of a store, and coarser levels if a bin shape is given")
+    c.add_argument("input"), c.add_argument("store"), c.add_argument("--format", choices=FORMATS), c.add_argument("--chunk-shape", type=numbers, required=True)
+    c.add_argument("--nodes", help="the nodes of an edge list"), c.add_argument("--overwrite", action="store_true")
+    _pyramid_flags(c, False)
     p = sub.add_parser("pyramid", help="coarser levels of a store")
-    p.add_argument("store"), p.add_argument("--bin-shape", type=numbers, required=True), p.add_argument("--bin-factors"), p.add_argument("--object-factors")
-    p.add_argument("--mode", default="per_object"), p.add_argument("--strategy", default="random"), p.add_argument("--seed", type=int, default=0)
+    p.add_argument("store")
+    _pyramid_flags(p, True)
     for name in ("validate", "info"):
         sub.add_parser(name).add_argument("store")
     a = top.parse_args(args)
     spark = SparkSession.builder.getOrCreate()
     if a.command == "convert":
         kind = a.format or ENDINGS.get(a.input[a.input.rfind(".") :].lower())
-        store.write_level(read(spark, kind, a.input), a.store, 0, a.chunk_shape)
-    elif a.command == "pyramid":
+        if store.has_level(spark, a.store, 0) and not a.overwrite:
+            raise SystemExit(f"{a.store} exists; --overwrite replaces it")
+        convert(spark, kind, a.input, a.store, a.chunk_shape, a.nodes)
+        print(f"{a.store}: {store.read_points(spark, a.store, 0).count()} rows at level 0")
+    if a.command == "pyramid" or (a.command == "convert" and a.bin_shape):
         factors = build_factors(a.bin_factors, a.object_factors) or [(2.0, 1.0)]
-        base = store.read_points(spark, a.store, 0).select("object_id", "seq", "vertex_id", "x", "y", "z")
-        shape = store.level_shape(spark, a.store, 0)
-        for level in pyramid.build_pyramid(base, a.bin_shape, factors, a.mode, a.strategy, a.seed)[1:]:
-            store.write_level(level.vertices, a.store, level.number, shape)
+        add_levels(spark, a.store, a.bin_shape, factors, a.mode, a.strategy, a.seed)
+        print(f"{a.store}: {len(factors)} coarser levels")
     elif a.command == "validate":
         found = store.validate(spark, a.store)
         print("\n".join(found) or "no faults found")
         return int(bool(found))
-    else:
+    elif a.command == "info":
         for row in store.info(spark, a.store).orderBy("level").toLocalIterator():
             print(row["level"], row["chunk_shape"], row["columns"])
     return 0

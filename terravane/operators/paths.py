@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terravane.functions.vec3 import cells, norm, sub, vec
 from terravane.plans import runtime
+from terravane.plans.rows import side_by_side
 
 CHUNK = ["cx", "cy", "cz"]
 
@@ -141,32 +144,84 @@ def subsample(path: DataFrame, shape: tuple, most: int, by: str = "longest") ->
     return middle.withColumn("place", place).where(F.col("place") <= most).select("object_id")
 
 
-def simplify(path: DataFrame, epsilon: float, dims: str = "xyz") -> DataFrame:
-    """Douglas-Peucker by levels: all open (object, low, high) spans of a round are split
-    at once at their farthest vertex if it is more than epsilon from the span.
+def _apart(p, a, b) -> np.ndarray:
+    """Squared distances of points from the span a-b."""
+    d, q = b - a, p - a
+    square = sum(d[k] * d[k] for k in range(len(d)))
+    along = sum(d[k] * q[:, k] for k in range(len(d)))
+    t = np.zeros(len(p)) if square < 1e-30 else np.minimum(1.0, np.maximum(0.0, along / square))
+    return sum((q[:, k] - t * d[k]) ** 2 for k in range(len(d)))
+
+
+def _finish(epsilon: float, dims: str):
+    """Kernel for the inner vertices of one span: those that stay."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("i")
+        points = np.array([rows[f"p{c}"] for c in dims]).T
+        ends = [np.array([rows[f"{e}{c}"].iloc[0] for c in dims]) for e in "ab"]
+        points, keep, todo = np.vstack([ends[0], points, ends[1]]), [], [(0, len(points) + 1)]
+        while todo:
+            low, high = todo.pop()
+            if high - low < 2:
+                continue
+            apart = _apart(points[low + 1 : high], points[low], points[high])
+            at = int(apart.argmax())
+            if apart[at] > epsilon * epsilon:
+                keep.append(low + at)  # the place among the inner vertices
+                todo += [(low, low + 1 + at), (low + 1 + at, high)]
+        return rows.iloc[sorted(keep)][["object_id", "i"]]
+
+    return run
+
+
+def simplify(path: DataFrame, epsilon: float, dims: str = "xyz", whole: int = 16_384) -> DataFrame:
+    """Douglas-Peucker.  Spans of at most ``whole`` vertices are finished by one task each;
+    longer ones are split in rounds, all of them at once, each at its farthest vertex (the
+    first among equals) if that is more than epsilon away.
 
     A vertex carries its span and the span's ends, so a round reads each open vertex once
     and joins it with its span's split; vertices of settled spans take no further part."""
-    at = F.struct(*[F.col(a).cast("double").alias(a) for a in dims])
-    points = ranked(path).select("object_id", "i", "n", at.alias("p"))
+    points = ranked(path).select("object_id", "i", "n", F.struct(*[F.col(a).cast("double").alias(a) for a in dims]).alias("p"))
     ends = points.groupBy("object_id").agg(F.min_by("p", "i").alias("a"), F.max_by("p", "i").alias("b"))
     kept = points.where("i = 0 OR i = n - 1").select("object_id", "i")
     inner = points.where("i > 0 AND i < n - 1").join(ends, "object_id")
-    open_ = runtime.materialize(inner.select("object_id", "i", "p", F.lit(0).cast("long").alias("lo"), "a", "b"), "paths")
+    open_ = runtime.materialize(inner.select("object_id", "i", "p", F.lit(0).cast("long").alias("lo"), (F.col("n") - 1).alias("hi"), "a", "b"), "paths")
     d = {c: F.col(f"b.{c}") - F.col(f"a.{c}") for c in dims}
     q = {c: F.col(f"p.{c}") - F.col(f"a.{c}") for c in dims}
     square = sum(d[c] * d[c] for c in dims)
     t = F.when(square < 1e-30, 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), sum(d[c] * q[c] for c in dims) / square)))
     apart = sum((q[c] - t * d[c]) * (q[c] - t * d[c]) for c in dims)
-    while not open_.isEmpty():
-        far = open_.groupBy("object_id", "lo").agg(F.max(F.struct(apart.alias("d"), (-F.col("i")).alias("m"), F.col("p"))).alias("f"))
+    flat = [F.col(f"{e}.{c}").alias(f"{e}{c}") for e in "pab" for c in dims]
+    kind = path.schema["object_id"].dataType.simpleString()
+    while True:
+        small = open_.where(F.col("hi") - F.col("lo") <= whole).select("object_id", "i", "lo", *flat)
+        kept = kept.union(small.groupBy("object_id", "lo").applyInPandas(_finish(epsilon, dims), f"object_id {kind}, i long"))
+        large = open_.where(F.col("hi") - F.col("lo") > whole)
+        if large.isEmpty():
+            return ranked(path).join(kept, ["object_id", "i"], "left_semi").drop("i", "n")
+        far = large.groupBy("object_id", "lo").agg(F.max(F.struct(apart.alias("d"), (-F.col("i")).alias("m"), F.col("p"))).alias("f"))
         far = far.where(F.col("f.d") > epsilon * epsilon).select("object_id", "lo", (-F.col("f.m")).alias("at"), F.col("f.p").alias("mid"))
         cut = runtime.materialize(far, "splits")
         kept = kept.union(cut.select("object_id", F.col("at").alias("i")))
         after = F.col("i") > F.col("at")
-        split = open_.join(cut, ["object_id", "lo"]).where("i <> at").select(
-            "object_id", "i", "p", F.when(after, F.col("at")).otherwise(F.col("lo")).alias("lo"), F.when(after, F.col("mid")).otherwise(F.col("a")).alias("a"), F.when(after, F.col("b")).otherwise(F.col("mid")).alias("b")
-        )
-        past, open_ = open_, runtime.materialize(split, "paths")
-        runtime.forget(past)
-    return ranked(path).join(kept, ["object_id", "i"], "left_semi").drop("i", "n")
+        of = {"lo": ("at", "lo"), "hi": ("hi", "at"), "a": ("mid", "a"), "b": ("b", "mid")}
+        split = large.join(cut, ["object_id", "lo"]).where("i <> at")
+        open_ = runtime.materialize(split.select("object_id", "i", "p", *[F.when(after, F.col(x)).otherwise(F.col(y)).alias(n) for n, (x, y) in of.items()]), "paths")
+
+
+def coarsen(path: DataFrame, epsilon: float | None = None, shape: tuple | None = None, most: int = 1, by: str = "longest", least: int = 2) -> tuple[DataFrame, DataFrame]:
+    """(paths, one row of figures): simplified, if epsilon is given, without those left with
+    fewer than ``least`` vertices; then thinned to ``most`` a bin, if a shape is given.
+    Figures: vertices, paths, simplification_ratio and subsampling_ratio (before / after)."""
+    now = path
+    if epsilon is not None:
+        now = simplify(now, epsilon)
+        whole = now.groupBy("object_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+        now = now.join(whole.select("object_id"), "object_id", "left_semi")
+    thin = now if shape is None else now.join(subsample(now, shape, most, by), "object_id", "left_semi")
+    sizes = [d.agg(F.count(F.lit(1)).alias(f"v{k}"), F.count_distinct("object_id").alias(f"o{k}")) for k, d in enumerate((path, now, thin))]
+    one = side_by_side(*sizes)
+    ratio = lambda a, b: F.col(a) / F.greatest(F.lit(1), F.col(b))
+    figures = one.select(F.col("v2").alias("vertices"), F.col("o2").alias("paths"), ratio("v0", "v1").alias("simplification_ratio"), ratio("o1", "o2").alias("subsampling_ratio"))
+    return thin, figures

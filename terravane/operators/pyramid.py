@@ -8,8 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terravane.functions.vec3 import cell, cells
-from terravane.operators import binning, paths, selection
+from terravane.functions.vec3 import cell, cells, norm, sub, vec
+from terravane.operators import binning, paths, selection, trees
 from terravane.plans import runtime
 from terravane.plans.numbering import number_rows
 
@@ -87,8 +87,59 @@ def polyline(level: DataFrame, shape: tuple, factor: float = 1.0, strategy: str
     return kept, every.select("vertex_id", F.coalesce("parent", F.lit(-1)).alias("parent"))
 
 
+def tree_objects(level: DataFrame) -> DataFrame:
+    """object_id, n, length of forests (vertex_id, parent, x, y, z): summed edge lengths."""
+    up = level.select(F.col("vertex_id").alias("parent"), *[F.col(a).alias(f"p{a}") for a in "xyz"])
+    long = level.join(up, "parent", "left").withColumn("step", F.coalesce(norm(sub(vec(), vec("p"))), F.lit(0.0)))
+    return long.groupBy("object_id").agg(F.count(F.lit(1)).alias("n"), F.sum("step").alias("length"))
+
+
+def skeleton(level: DataFrame, shape: tuple, factor: float = 1.0, strategy: str = "length", seed: int = 0, stride: int = 8, least: int = 0, attributes: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Surviving trees (object_id, vertex_id, parent, x, y, z) thinned along their paths.
+
+    Kept are roots, ends and branching vertices, both ends of edges that cross from one
+    target chunk (``shape``) to another, and every ``stride``-th vertex below a kept
+    anchor.  Vertices keep their numbers; ``attributes`` (name -> rule) are taken over
+    the vertices that a kept one stands for.  Objects with at most ``least`` vertices
+    inside a chunk, none of them on its faces, are left out there.  Parents maps each
+    vertex to the nearest kept one at or above it, or to -1.
+    """
+    objects = tree_objects(level)
+    if strategy in ("coverage", "thinning"):
+        tops = level.groupBy("object_id").agg(F.min_by(F.struct("x", "y", "z"), "vertex_id").alias("p")).select("object_id", "p.*")
+        alive_ids = selection.apply_sparsity(objects, 1.0 / factor, strategy, None, tops, shape, seed)
+    else:
+        alive_ids = selection.apply_sparsity(objects, 1.0 / max(1.0, factor), strategy, {"length": "length", "attribute": "n"}.get(strategy), None, None, seed)
+    alive = runtime.materialize(level.join(alive_ids, "object_id", "left_semi"), "level-alive")
+    tree = alive.select("vertex_id", "parent")
+    at = alive.select("vertex_id", F.struct(*cells(shape).values()).alias("chunk"))
+    ends = tree.where("parent >= 0").join(at, "vertex_id").join(at.select(F.col("vertex_id").alias("parent"), F.col("chunk").alias("up")), "parent")
+    crossing = ends.where("chunk <> up").select(F.explode(F.array("vertex_id", "parent")).alias("vertex_id")).distinct()
+    kept = runtime.materialize(trees.decimated(tree, stride, crossing), "level-kept")
+    thin = trees.collapse(tree, kept, attributes, alive if attributes else None)
+    rest = [c for c in alive.columns if c not in ("parent", *(attributes or {}))]
+    out = alive.select(*rest).join(thin, "vertex_id")
+    if least:
+        out = drop_interior(out, shape, least)
+    out = runtime.materialize(out, "level-trees")
+    own = out.select("vertex_id", F.lit(True).alias("own"))
+    up = trees.nearest_marked(tree, out.select("vertex_id")).join(own, "vertex_id", "left")
+    owner = up.select("vertex_id", F.when(F.col("own"), F.col("vertex_id")).otherwise(F.col("anchor")).alias("to"))
+    parents = level.select("vertex_id").join(owner, "vertex_id", "left").select("vertex_id", F.coalesce("to", F.lit(-1)).alias("parent"))
+    return out, parents
+
+
 register_coarsener("per_object", per_object)
 register_coarsener("polyline", polyline)
+register_coarsener("skeleton", skeleton)
+
+
+def select_coarsener_key(columns: list[str], geometry: str = "points") -> str:
+    """The coarsener for a level: trees (with a parent column) are thinned along their
+    paths, streamlines simplified, everything else binned object by object."""
+    if "parent" in columns:
+        return "skeleton"
+    return "polyline" if geometry == "streamline" else "per_object"
 
 
 def coarsen_level(level: Level, shape: tuple, factor: float = 1.0, mode: str = "per_object", strategy: str = "random", seed: int = 0) -> Level:
@@ -109,6 +160,18 @@ def build_pyramid(vertices: DataFrame, base_shape: tuple, factors: list[tuple[fl
     return levels
 
 
+def build_skeleton_pyramid(vertices: DataFrame, chunk_shape: tuple, strides: list[int], factors: list[float] | None = None, scale: int = 2, strategy: str = "length", seed: int = 0, attributes: dict[str, str] | None = None) -> list[Level]:
+    """Level 0 and one level for each stride; chunks grow by ``scale`` along each axis a level."""
+    levels = [Level(0, vertices)]
+    for i, stride in enumerate(strides):
+        shape = tuple(s * scale ** (i + 1) for s in chunk_shape)
+        factor = factors[i] if factors else 1.0
+        made, parents = skeleton(levels[-1].vertices, shape, factor, strategy, seed + i, stride, 0, attributes)
+        settings = {"shape": shape, "factor": factor, "mode": "skeleton", "strategy": strategy, "seed": seed + i}
+        levels.append(Level(i + 1, made, runtime.materialize(parents, f"parents-{i + 1}"), settings))
+    return levels
+
+
 def rebuild_from(levels: list[Level], source: int) -> list[Level]:
     """The levels above ``source``, made again with the settings they were made with."""
     out = levels[: source + 1]

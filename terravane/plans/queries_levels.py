@@ -174,3 +174,77 @@ def io_swc_parents(spark, sf):
     return formats.swc_parents(tree)
 
 
+
+
+# -- round trips through the store -----------------------------------------------
+
+
+def _fresh(spark) -> str:
+    from terravane.plans import runtime
+
+    return f"{runtime.shared_dir(spark)}/stores/{uuid.uuid4().hex}"
+
+
+@query(f"WITH {fx.M}, k AS (SELECT vertex_id FROM v WHERE x BETWEEN 2 AND 9 AND y BETWEEN 1 AND 12 AND z BETWEEN 0 AND 40) SELECT face_id, v0, v1, v2, object_id FROM f WHERE v0 IN (FROM k) AND v1 IN (FROM k) AND v2 IN (FROM k)")
+def io_mesh_round_trip(spark, sf):
+    """Faces of a stored mesh within a box."""
+    from terravane.sources import store
+
+    path = _fresh(spark)
+    store.write_mesh(*fx.mesh(spark, sf), path, 0, (4.0, 4.0, 25.0))
+    faces = store.read_mesh(spark, path, 0, low=(2, 1, 0), high=(9, 12, 40))[1]
+    return store.require_link_width(faces, 3).select("face_id", "v0", "v1", "v2", "object_id")
+
+
+@query(f"WITH {fx.E}, k AS (SELECT c_custkey AS v FROM customer WHERE c_custkey BETWEEN 20 AND 900 AND c_nationkey BETWEEN 3 AND 20) SELECT edge_id, v0, v1, weight FROM e WHERE v0 IN (FROM k) AND v1 IN (FROM k)")
+def io_graph_round_trip(spark, sf):
+    """Edges of a stored graph within a box."""
+    from terravane.sources import store
+
+    path = _fresh(spark)
+    points = fx.table(spark, sf, "customer").selectExpr("c_custkey AS vertex_id", "c_custkey AS x", "c_nationkey AS y", "0 AS z")
+    store.write_graph(points, fx.edges(spark, sf), path, 0, (100.0, 5.0, 1.0))
+    edges = store.read_graph(spark, path, 0, low=(20, 3, 0), high=(900, 20, 0))[1]
+    return store.require_link_width(edges, 2).select("edge_id", "v0", "v1", "weight")
+
+
+@query(f"WITH {fx.T} SELECT vertex_id, parent, x, y, z FROM t WHERE parent >= 0")
+def io_tree_round_trip(spark, sf):
+    """Links of a stored tree, put back beside its vertices."""
+    from terravane.sources import store
+
+    path = _fresh(spark)
+    store.write_tree(fx.tree(spark, sf), path, 0, (200.0, 20.0, 5.0))
+    links = store.read_links(spark, path, 0, "parents").select(F.col("v0").alias("vertex_id"), F.col("v1").alias("up"))
+    rows = store.read_points(spark, path, 0).join(links, "vertex_id")
+    return rows.select("vertex_id", F.col("up").alias("parent"), "x", "y", "z")
+
+
+# -- trees of a coarser level ----------------------------------------------------
+
+THIN = """c AS (SELECT t.vertex_id, t.parent, count(k.vertex_id) AS children FROM t LEFT JOIN t k ON k.parent = t.vertex_id GROUP BY t.vertex_id, t.parent),
+kd AS (SELECT vertex_id, parent, parent >= 0 AND children = 1 AS inner_ FROM c),
+a(v, hops) AS (SELECT vertex_id, 0 FROM kd WHERE NOT inner_ UNION ALL SELECT kd.vertex_id, a.hops + 1 FROM a JOIN kd ON kd.parent = a.v AND kd.inner_),
+at_ AS (SELECT vertex_id, parent, floor(x / 400.0) AS cx, floor(y / 20.0) AS cy, floor(z / 6.0) AS cz FROM t),
+cr AS (SELECT p.vertex_id AS lo, p.parent AS hi FROM at_ p JOIN at_ q ON q.vertex_id = p.parent WHERE p.cx <> q.cx OR p.cy <> q.cy OR p.cz <> q.cz),
+kp AS (SELECT v AS vertex_id FROM a WHERE hops % 3 = 0 UNION SELECT lo FROM cr UNION SELECT hi FROM cr),
+o(v, owner) AS (SELECT vertex_id, vertex_id FROM kp UNION ALL SELECT t.vertex_id, o.owner FROM o JOIN t ON t.parent = o.v WHERE t.vertex_id NOT IN (SELECT vertex_id FROM kp))"""
+
+
+def _thin(spark, sf):
+    from terravane.operators import pyramid as p
+
+    tree = fx.tree(spark, sf).withColumn("object_id", F.lit(0).cast("long"))
+    return p.build_skeleton_pyramid(tree, (200.0, 10.0, 3.0), [3], attributes={"radius": "max"})[1]
+
+
+@query(f"""WITH RECURSIVE {fx.T}, {THIN}, g AS (SELECT owner, max(radius) AS radius FROM o JOIN t ON t.vertex_id = o.v GROUP BY owner)
+SELECT kp.vertex_id, coalesce(po.owner, -1) AS parent, g.radius, t.x, t.y, t.z FROM kp JOIN t USING (vertex_id) LEFT JOIN o po ON po.v = t.parent JOIN g ON g.owner = kp.vertex_id""")
+def pyramid_skeleton(spark, sf):
+    """A tree thinned to every third vertex between anchors and chunk crossings."""
+    return _thin(spark, sf).vertices.select("vertex_id", "parent", "radius", "x", "y", "z")
+
+
+@query(f"WITH RECURSIVE {fx.T}, {THIN} SELECT v AS vertex_id, owner AS parent FROM o")
+def pyramid_skeleton_links(spark, sf):
+    return _thin(spark, sf).parents

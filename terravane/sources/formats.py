@@ -6,6 +6,7 @@ file is one unit) by ``binaryFile``, parsed in the task that holds the file.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 from collections.abc import Iterator
@@ -238,24 +239,38 @@ def parse_trk_header(raw: bytes) -> dict:
     }
 
 
-def read_trk(spark: SparkSession, path: str) -> DataFrame:
-    """file, object_id, seq, x, y, z of TrackVis files; a record without points ends a file."""
+def trk_headers(spark: SparkSession, path: str) -> DataFrame:
+    """file and header (JSON) of TrackVis files."""
+    read = F.pandas_udf(lambda raw: raw.map(lambda r: json.dumps(parse_trk_header(bytes(r)))), "string")
+    return _texts(spark, path).select(F.col("path").alias("file"), read("content").alias("header"))
+
+
+def read_trk(spark: SparkSession, path: str, attributes: bool = False, most: int | None = None) -> DataFrame:
+    """file, object_id, seq, x, y, z of TrackVis files; a record without points ends a file.
+    With ``attributes`` also scalars (of the point) and properties (of the track); ``most``
+    limits the tracks read of each file."""
 
     def rows(batches: Iterator[pd.DataFrame]):
         for b in batches:
             for name, raw in zip(b["path"], b["content"], strict=True):
                 raw = bytes(raw)
                 h, at, k = parse_trk_header(raw), 1000, 0
-                while at + 4 <= len(raw):
+                while at + 4 <= len(raw) and (most is None or k < most):
                     n = struct.unpack_from("<i", raw, at)[0]
                     if n <= 0:
                         break
                     width = 3 + h["n_scalars"]
                     p = np.frombuffer(raw, "<f4", n * width, at + 4).reshape(n, width).astype(float)
-                    yield pd.DataFrame({"file": name, "object_id": k, "seq": np.arange(n), "x": p[:, 0], "y": p[:, 1], "z": p[:, 2]})
-                    at, k = at + 4 + 4 * (n * width + h["n_properties"]), k + 1
-
-    return _texts(spark, path).mapInPandas(rows, "file string, object_id long, seq long, x double, y double, z double")
+                    out = pd.DataFrame({"file": name, "object_id": k, "seq": np.arange(n), "x": p[:, 0], "y": p[:, 1], "z": p[:, 2]})
+                    end = at + 4 + 4 * n * width
+                    if attributes:
+                        of_track = np.frombuffer(raw, "<f4", h["n_properties"], end).astype(float)
+                        out["scalars"], out["properties"] = list(p[:, 3:]), [of_track] * n
+                    yield out
+                    at, k = end + 4 * h["n_properties"], k + 1
+
+    more = ", scalars array<double>, properties array<double>" if attributes else ""
+    return _texts(spark, path).mapInPandas(rows, "file string, object_id long, seq long, x double, y double, z double" + more)
 
 
 def read_tck(spark: SparkSession, path: str) -> DataFrame:

@@ -7,11 +7,14 @@ groups by their statistics.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terravane.functions.vec3 import cells
-from terravane.operators import filters
+from terravane.operators import binning, filters
+from terravane.plans.numbering import number_rows
 
 CHUNK = ["cx", "cy", "cz"]
 
@@ -42,6 +45,101 @@ def read_points(spark: SparkSession, path: str, level: int = 0, low: tuple | Non
     return out.select(*columns) if columns else out
 
 
+def write_links(links: DataFrame, vertices: DataFrame, path: str, level: int, shape: tuple, name: str = "edges", ends: tuple[str, ...] = ("v0", "v1"), files: int | None = None) -> None:
+    """Edges, faces or parents of a level, clustered by the chunk of their first end."""
+    at = vertices.select(F.col("vertex_id").alias(ends[0]), *[c.alias(n) for n, c in cells(shape, "c").items()])
+    placed = links.drop(*CHUNK).join(at, ends[0])
+    n = files or int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed.repartitionByRange(n, *CHUNK, *ends).sortWithinPartitions(*CHUNK, *ends).write.mode("overwrite").parquet(f"{path}/links/{name}/level={level}")
+
+
+def read_links(spark: SparkSession, path: str, level: int = 0, name: str = "edges", within: DataFrame | None = None, ends: tuple[str, ...] = ("v0", "v1")) -> DataFrame:
+    """The links of a level; with ``within``, those all of whose ends are among its vertices."""
+    out = spark.read.parquet(f"{path}/links/{name}/level={level}").drop(*CHUNK)
+    return out if within is None else filters.edges_within(out, within, ends)
+
+
+FACE = ("v0", "v1", "v2")
+
+
+def write_graph(vertices: DataFrame, edges: DataFrame, path: str, level: int, shape: tuple) -> None:
+    write_level(vertices, path, level, shape)
+    write_links(edges, vertices, path, level, shape)
+
+
+def read_graph(spark: SparkSession, path: str, level: int = 0, **filters_) -> tuple[DataFrame, DataFrame]:
+    """(vertices, edges between them); takes the filters of ``read_points``."""
+    vertices = read_points(spark, path, level, **filters_)
+    return vertices, read_links(spark, path, level, "edges", vertices if filters_ else None)
+
+
+def write_mesh(vertices: DataFrame, faces: DataFrame, path: str, level: int, shape: tuple) -> None:
+    write_level(vertices, path, level, shape)
+    write_links(faces, vertices, path, level, shape, "faces", FACE)
+
+
+def read_mesh(spark: SparkSession, path: str, level: int = 0, **filters_) -> tuple[DataFrame, DataFrame]:
+    """(vertices, faces all of whose corners are among them); takes the filters of ``read_points``."""
+    vertices = read_points(spark, path, level, **filters_)
+    return vertices, read_links(spark, path, level, "faces", vertices if filters_ else None, FACE)
+
+
+def write_tree(vertices: DataFrame, path: str, level: int, shape: tuple) -> None:
+    """A rooted forest, whose ``parent`` column (-1 at roots) is kept as links too."""
+    write_level(vertices, path, level, shape)
+    up = vertices.where("parent >= 0").select(F.col("vertex_id").alias("v0"), F.col("parent").alias("v1"))
+    write_links(up, vertices, path, level, shape, "parents")
+
+
+def write_parents(parents: DataFrame, vertices: DataFrame, path: str, level: int, shape: tuple) -> None:
+    """vertex_id, parent: the links of a level's vertices to the level above (-1: none)."""
+    links = parents.select(F.col("vertex_id").alias("v0"), F.col("parent").alias("v1"))
+    write_links(links, vertices, path, level, shape, "level_parents")
+
+
+def write_lines(lines: DataFrame, path: str, level: int, shape: tuple) -> None:
+    """line_id, x0..z1 and attributes, clustered by the chunk of the first end."""
+    placed = lines.withColumnsRenamed({f"{a}0": a for a in "xyz"})
+    write_level(placed, path, level, shape)
+
+
+def read_lines(spark: SparkSession, path: str, level: int = 0, low: tuple | None = None, high: tuple | None = None) -> DataFrame:
+    """The lines both of whose ends lie in the closed box."""
+    out = read_points(spark, path, level, low, high)
+    if low is not None:
+        for k, a in enumerate("xyz"):
+            out = out.where(F.col(f"{a}1").between(low[k], high[k]))
+    return out.drop(*CHUNK).withColumnsRenamed({a: f"{a}0" for a in "xyz"})
+
+
+def require_link_width(links: DataFrame, expected: int) -> DataFrame:
+    """``links``, if it has the ends v0 to v<expected - 1> and no further ones."""
+    have = sorted(c for c in links.columns if c[:1] == "v" and c[1:].isdigit())
+    if have != sorted(f"v{k}" for k in range(expected)):
+        raise ValueError(f"links have the ends {have}, {expected} were expected")
+    return links
+
+
+def has_level(spark: SparkSession, path: str, level: int = 0) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/level={level}")
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def _replace(spark: SparkSession, path: str, level: int, beside: str) -> None:
+    """Puts the finished level in ``beside`` in the place of the old one, which is renamed away and then deleted."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    files = at(path).getFileSystem(conf)
+    old = at(f"{path}/replaced-{uuid.uuid4().hex}")
+    if not (files.rename(at(f"{path}/level={level}"), old) and files.rename(at(f"{beside}/level={level}"), at(f"{path}/level={level}"))):
+        raise OSError(f"level {level} of {path} could not be replaced; both copies are kept")
+    if files.exists(at(f"{beside}/meta/level={level}")):  # the columns may have changed
+        files.delete(at(f"{path}/meta/level={level}"), True)
+        files.rename(at(f"{beside}/meta/level={level}"), at(f"{path}/meta/level={level}"))
+    files.delete(old, True)
+    files.delete(at(beside), True)
+
+
 def write_composite(parts: dict[str, DataFrame], path: str, level: int, shape: tuple) -> None:
     """Several geometry types in one level, told apart by ``geometry_type``."""
     out = None
@@ -58,12 +156,13 @@ def read_composite(spark: SparkSession, path: str, level: int, geometry_type: st
 
 def write_back(spark: SparkSession, path: str, level: int, values: DataFrame, key: str = "vertex_id") -> None:
     """Adds the columns of ``values`` to a level's vertices (null where a key is missing),
-    by way of a copy beside it."""
+    written beside the level, which it then replaces by renaming."""
     shape = level_shape(spark, path, level)
     old = spark.read.parquet(f"{path}/level={level}").drop(*CHUNK)
     made = [c for c in values.columns if c != key]
-    write_level(old.drop(*made).join(values, key, "left"), f"{path}/extended", level, shape)
-    write_level(spark.read.parquet(f"{path}/extended/level={level}").drop(*CHUNK), path, level, shape)
+    beside = f"{path}/extended-{uuid.uuid4().hex}"
+    write_level(old.drop(*made).join(values, key, "left"), beside, level, shape)
+    _replace(spark, path, level, beside)
 
 
 def info(spark: SparkSession, path: str) -> DataFrame:
@@ -72,12 +171,28 @@ def info(spark: SparkSession, path: str) -> DataFrame:
 
 
 def reshard(spark: SparkSession, path: str, level: int, files: int) -> None:
-    """Rewrite a level in another number of files, by way of a copy beside it."""
+    """Rewrite a level in another number of files, beside it, and replace it by renaming."""
     shape = level_shape(spark, path, level)
     whole = spark.read.parquet(f"{path}/level={level}").drop(*CHUNK)
-    write_level(whole, f"{path}/resharded", level, shape, files)
-    again = spark.read.parquet(f"{path}/resharded/level={level}").drop(*CHUNK)
-    write_level(again, path, level, shape, files)
+    beside = f"{path}/resharded-{uuid.uuid4().hex}"
+    write_level(whole, beside, level, shape, files)
+    _replace(spark, path, level, beside)
+
+
+def rechunk(spark: SparkSession, path: str, level: int, shape: tuple) -> None:
+    """Rewrite a level with another chunk shape, beside it, and replace it by renaming."""
+    whole = spark.read.parquet(f"{path}/level={level}").drop(*CHUNK)
+    beside = f"{path}/rechunked-{uuid.uuid4().hex}"
+    write_level(whole, beside, level, shape)
+    _replace(spark, path, level, beside)
+
+
+def coarsen_points(spark: SparkSession, path: str, source: int, target: int, bin_shape: tuple) -> None:
+    """Writes level ``target``: the bin centroids of level ``source``, positions only."""
+    shape = level_shape(spark, path, source)
+    nodes = binning.metanodes(read_points(spark, path, source, columns=["vertex_id", "x", "y", "z"]), bin_shape)
+    made = number_rows(nodes, binning.BIN, "vertex_id").select("vertex_id", "x", "y", "z")
+    write_level(made, path, target, shape)
 
 
 def validate(spark: SparkSession, path: str, level: int = 0, links: DataFrame | None = None) -> list[str]:

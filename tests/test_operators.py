@@ -166,7 +166,7 @@ def test_filters(spark):
 
 def test_knn(spark):
     pts = spark.createDataFrame([(i, float(i * i), 0.0, 0.0) for i in range(12)], "vertex_id long, x double, y double, z double")
-    want = {i: sorted(abs(i * i - j * j) for j in range(12) if j != i)[1] for i in range(12)}
+    want = {i: sum(sorted(abs(i * i - j * j) for j in range(12) if j != i)[:2]) / 2 for i in range(12)}
     assert values(neighbours.knn_distance(pts, 2, 1.0), "vertex_id", "distance") == want
 
 
@@ -183,3 +183,75 @@ def test_pyramid_keeps_ids(spark):
         pyramid.get_coarsener("unheard of")
     poly = pyramid.coarsen_level(pyramid.Level(0, p), (5.0, 5.0, 5.0), 2.0, "polyline", "length")
     assert poly.vertices.select("object_id").distinct().count() == 15 and poly.parents.where("parent IS NULL").count() == 0
+
+
+def test_paths_over_zero_weights(spark):
+    rows = [(0, 1, 2, 0.0), (1, 2, 3, 1.0), (2, 3, 4, 0.0), (3, 4, 1, 0.0), (4, 4, 5, 0.0), (5, 7, 8, 1.0)]
+    e = spark.createDataFrame(rows, "edge_id long, v0 long, v1 long, w double")
+    way = lambda a, b, **o: [(r.vertex_id, r.cost) for r in graph.shortest_path(e, a, b, "w", **o).orderBy("step").collect()]
+    assert way(2, 3) == [(2, 0.0), (1, 0.0), (4, 0.0), (3, 0.0)] and way(1, 5) == [(1, 0.0), (4, 0.0), (5, 0.0)]
+    assert way(1, 8) == [] and way(1, 1) == [(1, 0.0)]
+    chain = edges(spark, [(i, i + 1) for i in range(40)])
+    left = spark.createDataFrame([(i, float(abs(20 - i))) for i in range(41)], "vertex_id long, h double")
+    assert [r.vertex_id for r in graph.shortest_path(chain, 3, 20, heuristic=left).orderBy("step").collect()] == list(range(3, 21))
+
+
+def test_knn_of_few_and_odd_points(spark):
+    points = spark.createDataFrame([(0, 0.0, 0.0, 0.0), (1, 3.0, 0.0, 0.0), (2, 0.0, 4.0, 0.0), (3, float("nan"), 0.0, 0.0)], "vertex_id long, x double, y double, z double")
+    got = values(neighbours.knn_distance(points, 3, 0.1), "vertex_id", "distance")
+    assert got == {0: 3.5, 1: 4.0, 2: 4.5, 3: None}
+    assert values(neighbours.knn_distance(points.limit(1), 3, 1.0), "vertex_id", "distance") == {0: 0.0}
+    rows = spark.createDataFrame([(i, [float(i), 0.0]) for i in range(10)], "vec_id long, embedding array<double>")
+    for block in (5, 10, 3):
+        assert values(neighbours.knn_vectors(rows, rows, 1, block=block), "vec_id", "distance") == dict.fromkeys(range(10), 1.0)
+    assert neighbours.knn_vectors(rows, rows.limit(0), 1).count() == 0
+
+
+def test_first_rows_either_way(spark):
+    rows = spark.range(500).selectExpr("id AS object_id", "(id * 37) % 101 AS n")
+    for k in (0, 7, 300):
+        small, large = (selection.top(rows, "n", k, heap=h).collect() for h in (10_000, 0))
+        assert sorted(small) == sorted(large) and len(small) == k
+        assert sorted(selection.sample(rows, k, 3, heap=0).collect()) == sorted(selection.sample(rows, k, 3).collect())
+
+
+def test_long_chains_and_paths(spark):
+    """A chain of many vertices is one step, and a long path a few rounds."""
+    chain = spark.range(20_000).selectExpr("id AS vertex_id", "id - 1 AS parent")
+    got = trees.strahler(chain)
+    assert got.count() == 20_000 and {r.strahler for r in got.select("strahler").distinct().collect()} == {1}
+    wave = spark.range(20_000).selectExpr("0L AS object_id", "id AS seq", "id AS vertex_id", "double(id) AS x", "double(abs(id % 200 - 100)) AS y", "0D AS z")
+    kept = sorted(r.seq for r in paths.simplify(wave, 1.0, whole=50_000).collect())
+    assert kept == sorted({*range(0, 20_000, 100), 19_999})
+
+
+def test_simplified_by_rounds_or_whole(spark):
+    p = spark.range(600).selectExpr("id % 3 AS object_id", "id div 3 AS seq", "id AS vertex_id", "double(id div 3) AS x", "sin(id / 7) * (id % 11) AS y", "cos(id / 5) AS z")
+    kept = [sorted(r.vertex_id for r in paths.simplify(p, 0.8, whole=w).collect()) for w in (10_000, 40, 10)]
+    assert kept[0] == kept[1] == kept[2] and 6 < len(kept[0]) < 600
+
+
+def test_skeleton_levels(spark):
+    # two trees: a long path with one branch, and a short one; chunks of 100 along x
+    parents = [-1, *range(40), 20, 41, 42, -1, 44]
+    at = [*range(41), 20, 20, 20, 0, 1]
+    rows = [(int(i > 43), i, i, p, float(x), 0.0, 0.0, i) for i, (p, x) in enumerate(zip(parents, at))]
+    level = spark.createDataFrame(rows, "object_id long, seq long, vertex_id long, parent long, x double, y double, z double, r long")
+    made, links = pyramid.skeleton(level, (100.0, 100.0, 100.0), stride=8, attributes={"r": "max"})
+    assert values(made, "vertex_id", "parent") == {0: -1, 8: 0, 16: 8, 20: 16, 28: 20, 36: 28, 40: 36, 43: 20, 44: -1, 45: 44}
+    assert values(made, "vertex_id", "r")[0] == 7 and values(links, "vertex_id", "parent")[23] == 20
+    half, links = pyramid.skeleton(level, (100.0, 100.0, 100.0), 2.0, stride=8)
+    assert {r.object_id for r in half.collect()} == {0} and values(links, "vertex_id", "parent")[45] == -1
+    # both ends of an edge between chunks stay
+    cut = values(pyramid.skeleton(level, (10.0, 10.0, 10.0), stride=100)[0], "vertex_id", "parent")
+    assert {9, 10, 19, 20, 29, 30} <= set(cut)
+    levels = pyramid.build_skeleton_pyramid(level, (50.0, 50.0, 50.0), [4, 4])
+    assert levels[2].vertices.count() < levels[1].vertices.count() < level.count()
+    assert pyramid.select_coarsener_key(level.columns) == "skeleton" and pyramid.select_coarsener_key(["x"], "streamline") == "polyline"
+
+
+def test_coarsened_paths(spark):
+    p = path(spark, [(i, 0, 0) for i in range(10)], [(i, i % 2 * 9, 0) for i in range(6)], [(50, 0, 0), (51, 0, 0)])
+    thin, figures = paths.coarsen(p, 1.0, (100, 100, 100), 1)
+    row = figures.first()
+    assert {r.object_id for r in thin.collect()} == {1} and row.paths == 1 and row.subsampling_ratio == 3.0 and row.simplification_ratio == 18 / 10

@@ -151,6 +151,61 @@ def test_command_line(spark, tmp_path, capsys):
         build_factors("2", "1,2")
 
 
+def test_command_line_keeps_links(spark, tmp_path, capsys):
+    """Faces, edges and parents go into the store; a store is not overwritten unasked."""
+    cube = "".join(f"v {i} {i % 2} {i // 2}\n" for i in range(6)) + "f 1 2 3\nf 2 3 4\nf 4 5 6\n"
+    mesh, where = write(tmp_path, "m.obj", cube), str(tmp_path / "mesh")
+    assert main(["convert", mesh, where, "--chunk-shape", "2,2,2"]) == 0
+    v, f = store.read_mesh(spark, where)
+    assert v.count() == 6 and sorted((r.v0, r.v1, r.v2) for r in f.collect()) == [(0, 1, 2), (1, 2, 3), (3, 4, 5)]
+    assert store.read_mesh(spark, where, low=(0, 0, 0), high=(2, 9, 9))[1].count() == 1
+    with pytest.raises(SystemExit):
+        main(["convert", mesh, where, "--chunk-shape", "2,2,2"])
+    assert main(["convert", mesh, where, "--chunk-shape", "3,3,3", "--overwrite", "--bin-shape", "2,2,2"]) == 0
+    assert store.level_shape(spark, where, 0) == (3, 3, 3) and store.has_level(spark, where, 1)
+    assert store.read_links(spark, where, 0, "level_parents").count() == 6
+    n, e = write(tmp_path, "n.csv", "node_id,x,y,z\na,0,0,0\nb,1,0,0\nc,2,0,0\n"), write(tmp_path, "e.csv", "source,target,weight\na,b,.5\nb,c,.6\n")
+    assert main(["convert", e, str(tmp_path / "graph"), "--format", "edgelist", "--nodes", n, "--chunk-shape", "1,1,1"]) == 0
+    assert store.read_graph(spark, str(tmp_path / "graph"))[1].count() == 2
+    swc = write(tmp_path, "t.swc", "".join(f"{i} 3 {i} 0 0 1 {i - 1 if i > 1 else -1}\n" for i in range(1, 20)))
+    assert main(["convert", swc, str(tmp_path / "tree"), "--chunk-shape", "50,50,50", "--bin-shape", "50,50,50"]) == 0
+    thin = store.read_points(spark, str(tmp_path / "tree"), 1)
+    assert sorted((r.vertex_id, r.parent) for r in thin.collect()) == [(0, -1), (8, 0), (16, 8), (18, 16)]
+    lines = write(tmp_path, "l.csv", "x0,y0,z0,x1,y1,z1\n0,0,0,1,0,0\n5,5,5,9,9,9\n")
+    assert main(["convert", lines, str(tmp_path / "lines"), "--format", "lines", "--chunk-shape", "4,4,4"]) == 0
+    assert [r.line_id for r in store.read_lines(spark, str(tmp_path / "lines"), low=(0, 0, 0), high=(4, 4, 4)).collect()] == [0]
+
+
+def test_levels_are_replaced_whole(spark, tmp_path):
+    points = spark.range(40).selectExpr("id AS vertex_id", "double(id) AS x", "double(id % 5) AS y", "double(0) AS z")
+    where = str(tmp_path / "s")
+    store.write_level(points, where, 0, (10, 10, 10))
+    store.write_back(spark, where, 0, points.selectExpr("vertex_id", "x * 2 AS twice"))
+    store.reshard(spark, where, 0, 3)
+    store.rechunk(spark, where, 0, (5, 5, 5))
+    store.coarsen_points(spark, where, 0, 1, (20, 20, 20))
+    back = store.read_points(spark, where, 0)
+    assert back.where("twice = 2 * x").count() == 40 and store.level_shape(spark, where, 0) == (5, 5, 5)
+    assert sorted(r.x for r in store.read_points(spark, where, 1).collect()) == [9.5, 29.5]
+    assert sorted(x.name for x in (tmp_path / "s").iterdir()) == ["level=0", "level=1", "meta"]
+    with pytest.raises(ValueError):
+        store.require_link_width(points.selectExpr("vertex_id AS v0"), 2)
+
+
+def test_columns_by_name():
+    assert formats.detect_columns([" PosX", "conf", "py", "tissue", "Z ", "i", "x"]) == ([" PosX", "py", "Z "], ["conf", "tissue", "i"])
+    assert formats.detect_columns(["a", "b", "c"]) == ([], [])
+
+
+def test_lines_of_several_files_keep_their_order(spark, tmp_path):
+    for k in range(3):
+        write(tmp_path, f"{k}.csv", "x,y,z\n" + "".join(f"{k},{i},0\n" for i in range(100)))
+    got = formats.read_csv_points(spark, str(tmp_path)).orderBy("vertex_id").collect()
+    assert [(r.vertex_id, r.x, r.y) for r in got] == [(100 * k + i, k, i) for k in range(3) for i in range(100)]
+    moved = formats.read_csv_points(spark, str(tmp_path), normalise=True)
+    assert max(abs(r.y) for r in moved.collect()) == 1.0
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rows = spark.createDataFrame([(datetime(2024, 1, 1, 0, i % 40), float(i), float(i % 7), 0.0) for i in range(200)], "ts timestamp, x double, y double, z double")
     rows.repartition(3).write.parquet(str(tmp_path / "in"))
