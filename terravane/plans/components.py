@@ -31,7 +31,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
     loop is not returned), as are rows with a null end.
     """
     pairs = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b")
-    now = runtime.materialize(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc")
+    now = runtime.materialize(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc", "none")
     before = _mark(now)
     for _ in range(rounds):
         # larger neighbours of a go to the least node of a's neighbourhood
@@ -41,7 +41,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
         # then a and its smaller neighbours to the least of these
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e"))
-        after = runtime.materialize(small.select(F.col("e.b").alias("a"), F.col("e.m").alias("b")).where("a <> b").distinct(), "cc")
+        after = runtime.materialize(small.select(F.col("e.b").alias("a"), F.col("e.m").alias("b")).where("a <> b").distinct(), "cc", "none")
         done = _mark(after)
         runtime.forget(now)
         now = after

@@ -44,12 +44,15 @@ def _drop_shuffles(spark: SparkSession):
             spark.conf.set(_CLEANUP, before)
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and return the written table."""
+def materialize(df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
+    """Write ``df`` once to the shared folder and return the written table.
+
+    ``compression`` "none" suits hashes and the many small files of short rounds: they do
+    not get smaller, and codecs hold buffers outside the heap for each file."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{label}-{uuid.uuid4().hex}"
     with _drop_shuffles(spark):
-        df.write.parquet(path)
+        df.write.parquet(path, compression=compression)
     _written.append(path)
     table = spark.read.schema(df.schema).parquet(path)
     table.written_at = path
