@@ -1,7 +1,7 @@
 r"""Benchmark decontamination with suffix arrays over shards of the training text.
 
 A shard is a few megabytes of whole documents as a sequence of words.  Its suffix
-array lists, in word-lexicographic order, every position at which a window of the
+array lists, in the order of their words (by hash), every position at which a window of the
 benchmark could begin (others cannot match: their first words occur at the start
 of no window).  Every test suffix is binary-searched for the range of suffixes
 that share its window; each match is then extended word by word to its longest

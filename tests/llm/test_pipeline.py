@@ -93,7 +93,7 @@ def test_near_copies_from_four_fifths(spark):
     assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()} == {0, 3, 4}
 
 
-@pytest.mark.parametrize("name", [n for n in __spark_entry__.queries() if re.match(r"op\d+_", n)])
+@pytest.mark.parametrize("name", [n for n in __spark_entry__.queries() if re.match(r"op\d+_|contract_", n)])
 def test_queries_match_their_sql(spark, name):
     got = __spark_entry__.queries()[name](spark, SF)
     sql = __spark_entry__.oracle_sql().get(name)
