@@ -261,7 +261,7 @@ def _live(here: DataFrame, low: int, high: int) -> DataFrame:
     heads = sized.where("greatest(short, long) > 0").selectExpr(
         "hub", "node", "component", "short", "posexplode(slice(es, 1, cast(greatest(short, long) AS int))) AS (place, z)"
     ).selectExpr("hub", "node", "component", "z.e AS e", "place < short AS near")
-    heads = runtime.materialize(heads, "near-heads")
+    heads = runtime.materialize(heads, "near-heads", "none")
     live = heads.groupBy("hub", "e").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.max("near").alias("near")).where("near AND a <> b")
     return heads.join(live.select("hub", "e"), ["hub", "e"], "left_semi").select("hub", "node").distinct()
 
@@ -283,37 +283,37 @@ def _grouped(
     """The columns of ``near_duplicates``, and group: the least node of the row's group (null without words)."""
     low, high = 100 - percent, 100 + percent
     ids = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    sketched = runtime.materialize(sketches(ids, "text", rows, bands), "near-sketches")
+    sketched = runtime.materialize(sketches(ids, "text", rows, bands), "near-sketches", "none")
     # equal sets are one class, known by the set's id
     classes = runtime.materialize(
         sketched.where("node IS NOT NULL")
         .groupBy("node")
         .agg(F.min(F.struct(F.isnull("id").alias("no_id"), "id", "text_hash")).alias("least"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
         .select("node", "least.id", "least.text_hash", "n", "bands"),
-        "near-classes",
+        "near-classes", "none",
     )
     keyed = classes.select("node", F.explode("bands").alias("key"))
     crowded = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("crowd")).where("crowd > 1")
-    members = runtime.materialize(keyed.join(crowded, "key"), "near-buckets")
+    members = runtime.materialize(keyed.join(crowded, "key"), "near-buckets", "none")
     met = members.groupBy("node").agg(F.sum("crowd").alias("known"))
     hubs = members.join(met, "node").groupBy("key").agg(F.max(F.struct("known", "node")).alias("h")).select("key", F.col("h.node").alias("hub"))
-    pairs = runtime.materialize(members.join(hubs, "key").where("node <> hub").select("hub", "node").distinct(), "near-pairs")
+    pairs = runtime.materialize(members.join(hubs, "key").where("node <> hub").select("hub", "node").distinct(), "near-pairs", "none")
     involved = pairs.select("node").union(pairs.select(F.col("hub").alias("node"))).distinct()
     wanted = classes.select("node", "id", "text_hash").join(involved, "node", "left_semi")
-    sets = runtime.materialize(_sets_of(docs, wanted, id_col, text_col), "near-sets")
+    sets = runtime.materialize(_sets_of(docs, wanted, id_col, text_col), "near-sets", "none")
     both = pairs.join(sets.select(F.col("node").alias("hub"), F.col("shingles").alias("a")), "hub").join(
         sets.select("node", F.col("shingles").alias("b")), "node"
     )
-    compared = runtime.materialize(both.select("hub", "node", "a", "b").mapInArrow(_compare(low, high), _COMPARED), "near-compared")
+    compared = runtime.materialize(both.select("hub", "node", "a", "b").mapInArrow(_compare(low, high), _COMPARED), "near-compared", "none")
     direct = compared.where("linked").select(F.col("hub").alias("a"), F.col("node").alias("b"))
     known = components.connected_components(direct)
     # hubs whose members fall into several components, and the members of these that may join them
     both_ends = compared.join(known.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     both_ends = both_ends.join(known.select(F.col("node").alias("hub"), F.col("component").alias("of_hub")), "hub", "left")
-    placed = runtime.materialize(both_ends.withColumn("of_hub", F.coalesce("of_hub", "hub")), "near-placed")
+    placed = runtime.materialize(both_ends.withColumn("of_hub", F.coalesce("of_hub", "hub")), "near-placed", "none")
     apart = placed.where("component <> of_hub").groupBy("hub").agg(F.count(F.lit(1)).alias("loose"))
     here = placed.join(apart.select("hub"), "hub", "left_semi")
-    left = runtime.materialize(here.join(_live(here, low, high), ["hub", "node"], "left_semi"), "near-left")
+    left = runtime.materialize(here.join(_live(here, low, high), ["hub", "node"], "left_semi"), "near-left", "none")
     # of those, members outside the hub's component against all others, block by block;
     # the counts are a table of their own, so that the join with them can be split where a hub is large
     counts = (
@@ -322,7 +322,7 @@ def _grouped(
         .where("loose > 0 AND all > 1")
         .select("hub", F.ceil(F.col("all") / block_members).alias("nx"), F.ceil(F.col("loose") / block_members).alias("ny"))
     )
-    groups = runtime.materialize(counts, "near-groups")
+    groups = runtime.materialize(counts, "near-groups", "none")
     some = left.join(groups, "hub").select("hub", "node", "n", "apart", "nx", "ny", F.expr("component <> of_hub").alias("loose"), F.xxhash64("node").alias("h"))
     xs = some.select("hub", "node", "n", "apart", F.lit(0).alias("side"), F.expr("pmod(h, nx)").alias("bx"), F.explode(F.expr("sequence(0L, ny - 1)")).alias("by"))
     ys = some.where("loose").select(
@@ -330,7 +330,7 @@ def _grouped(
     )
     # dealt by block: the join above leaves rows dealt by hub, which would keep all blocks of a hub in one task
     blocks = xs.unionByName(ys).repartition("hub", "bx", "by")
-    further = runtime.materialize(blocks.groupBy("hub", "bx", "by").applyInArrow(_lookup(low, high), "a binary, b binary"), "near-further")
+    further = runtime.materialize(blocks.groupBy("hub", "bx", "by").applyInArrow(_lookup(low, high), "a binary, b binary"), "near-further", "none")
     grouped = known if further.isEmpty() else components.connected_components(direct.union(further))
     least = grouped.join(classes.select("node", "id"), "node").groupBy("component").agg(F.min("id").alias("component_id"))
     merged = grouped.join(least, "component").select("node", "component", "component_id")
@@ -338,7 +338,7 @@ def _grouped(
         classes.select("node", "id")
         .join(merged, "node", "left")
         .select("node", F.coalesce("component_id", "id").alias("component_id"), F.coalesce("component", "node").alias("group")),
-        "near-components",
+        "near-components", "none",
     )
     out = sketched.select("id", "text_hash", "n_shingles", "node").join(final, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id"))
@@ -356,7 +356,7 @@ def deduplicate(docs: DataFrame, **options) -> DataFrame:
     same_text = kept.where("group IS NOT NULL").groupBy("group", "id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
     one = same_text.groupBy("group").agg(F.min(F.struct("text_hash", "id", "n")).alias("c")).select("c.id", "c.text_hash", "c.n")
     empty = kept.where("group IS NULL").select("id", "text_hash").distinct().withColumn("n", F.lit(1).cast("long"))
-    found = runtime.materialize(one.union(empty).toDF("__id", "__hash", "__n"), "near-kept")
+    found = runtime.materialize(one.union(empty).toDF("__id", "__hash", "__n"), "near-kept", "none")
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash"))
     single = docs.join(found.where("__n = 1").hint("shuffle_hash"), same, "left_semi")
     repeated = found.where("__n > 1")
