@@ -76,7 +76,10 @@ def drop_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Without documents in which a secret was found."""
     ready, back = tokens.set_aside(docs, secret_scan.MADE)
     found = secret_scan.scan_secrets(ready)
-    return found.where(F.size("found") == 0).select(*ready.columns).withColumnsRenamed(back)
+    # a column that is not deterministic keeps the filter above the scan: pushed through it, the
+    # filter would hold the scan's expressions once for each use
+    once = found.select(*ready.columns, F.size("found").alias("__n"), F.monotonically_increasing_id().alias("__row"))
+    return once.where("__n = 0 AND __row >= 0").select(*ready.columns).withColumnsRenamed(back)
 
 
 @_stage
