@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from terravane.llm import chat_format, contracts, decontaminate, language_id, lm_score, mixing, near_dedup, pii, quality_rules, secret_scan, url_rules
+from terravane.llm import bpe, chat_format, contracts, decontaminate, language_id, lm_score, mixing, near_dedup, pii, quality_rules, secret_scan, url_rules
 
 QUERIES = {
     "op1_chat_formatting": chat_format.op1_chat_formatting,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_url_filters": url_rules.op8_url_filters,
     "op9_pii": pii.op9_pii,
     "op10_secret_scans": secret_scan.op10_secret_scans,
+    "op13_bpe": bpe.op13_bpe,
     **contracts.QUERIES,
 }
 
