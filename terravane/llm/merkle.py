@@ -320,22 +320,22 @@ OP12_SQL = f"""
 WITH RECURSIVE d AS (
   SELECT row_number() OVER () AS rid, doc_id, lang, {_LEAF} AS leaf,
          CASE WHEN {_CRC} % 7 = 0 THEN {_LEAF.replace("n_chars", "(n_chars + 1)")} END AS tampered FROM documents),
-p AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS at, count(*) OVER (PARTITION BY lang) AS n FROM d),
-t(lang, level, at, wide, digest) AS (
-  SELECT lang, 0, at, n, leaf FROM p
+p AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM d),
+t(lang, level, pos, wide, digest) AS (
+  SELECT lang, 0, pos, n, leaf FROM p
   UNION ALL
-  SELECT * FROM (SELECT lang, level + 1, at // 2, (wide + 1) // 2, sha256(string_agg(digest, '' ORDER BY at)) FROM t WHERE wide > 1 GROUP BY lang, level, at // 2, wide)),
-s AS (SELECT lang, digest AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS at, count(*) OVER () AS n FROM t WHERE wide = 1),
-u(level, at, wide, digest) AS (
-  SELECT 0, at, n, subroot FROM s
+  SELECT * FROM (SELECT lang, level + 1, pos // 2, (wide + 1) // 2, sha256(string_agg(digest, '' ORDER BY pos)) FROM t WHERE wide > 1 GROUP BY lang, level, pos // 2, wide)),
+s AS (SELECT lang, digest AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM t WHERE wide = 1),
+u(level, pos, wide, digest) AS (
+  SELECT 0, pos, n, subroot FROM s
   UNION ALL
-  SELECT * FROM (SELECT level + 1, at // 2, (wide + 1) // 2, sha256(string_agg(digest, '' ORDER BY at)) FROM u WHERE wide > 1 GROUP BY level, at // 2, wide)),
+  SELECT * FROM (SELECT level + 1, pos // 2, (wide + 1) // 2, sha256(string_agg(digest, '' ORDER BY pos)) FROM u WHERE wide > 1 GROUP BY level, pos // 2, wide)),
 -- a leaf's way: its place at each level of its language's tree, then at each of the upper one
 w AS (
-  SELECT p.rid, t.level, (p.at >> t.level) % 2 AS side, (SELECT any_value(x.digest) FROM t AS x WHERE x.lang IS NOT DISTINCT FROM p.lang AND x.level = t.level AND x.at = xor(p.at >> t.level, 1)) AS sibling
+  SELECT p.rid, t.level, (p.pos >> t.level) % 2 AS side, (SELECT any_value(x.digest) FROM t AS x WHERE x.lang IS NOT DISTINCT FROM p.lang AND x.level = t.level AND x.pos = xor(p.pos >> t.level, 1)) AS sibling
   FROM p JOIN (SELECT DISTINCT lang, level FROM t WHERE wide > 1) AS t ON t.lang IS NOT DISTINCT FROM p.lang
   UNION ALL
-  SELECT p.rid, 1000 + u.level, (s.at >> u.level) % 2, (SELECT any_value(x.digest) FROM u AS x WHERE x.level = u.level AND x.at = xor(s.at >> u.level, 1))
+  SELECT p.rid, 1000 + u.level, (s.pos >> u.level) % 2, (SELECT any_value(x.digest) FROM u AS x WHERE x.level = u.level AND x.pos = xor(s.pos >> u.level, 1))
   FROM p JOIN s ON s.lang IS NOT DISTINCT FROM p.lang CROSS JOIN (SELECT DISTINCT level FROM u WHERE wide > 1) AS u),
 y AS (SELECT rid, list(coalesce(sibling, '') ORDER BY level) AS siblings, list(side ORDER BY level) AS sides FROM w GROUP BY rid),
 z AS (SELECT p.rid, coalesce(siblings, []) AS siblings, coalesce(sides, []) AS sides, coalesce(tampered, leaf) AS digest FROM p LEFT JOIN y USING (rid)),
