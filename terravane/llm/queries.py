@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from terravane.llm import bpe, chat_format, contracts, decontaminate, language_id, lm_score, merkle, mixing, near_dedup, pii, quality_rules, secret_scan, url_rules
+from terravane.llm import bpe, chat_format, contracts, decontaminate, language_id, lm_score, merkle, mixing, near_dedup, pii, prefix_trie, quality_rules, secret_scan, url_rules
 
 QUERIES = {
     "op1_chat_formatting": chat_format.op1_chat_formatting,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_url_filters": url_rules.op8_url_filters,
     "op9_pii": pii.op9_pii,
     "op10_secret_scans": secret_scan.op10_secret_scans,
+    "op11_prefix_trie": prefix_trie.op11_prefix_trie,
     "op12_merkle_manifest": merkle.op12_merkle_manifest,
     "op13_bpe": bpe.op13_bpe,
     **contracts.QUERIES,
@@ -26,6 +27,7 @@ ORACLES = {
     "op3_near_dedup": near_dedup.OP3_SQL,
     "op6_quality_rules": quality_rules.OP6_SQL,
     "op8_url_filters": url_rules.OP8_SQL,
+    "op11_prefix_trie": prefix_trie.OP11_SQL,
     "op12_merkle_manifest": merkle.OP12_SQL,
     **contracts.ORACLES,
 }
