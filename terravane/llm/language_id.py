@@ -11,8 +11,8 @@ scored by table lookups on whole batches.  Texts are normalised first: A-Z
 lower-cased, runs of other ASCII taken as one space.
 
 Trees are fitted on a bounded sample: texts are taken in pieces of ``piece_chars``
-characters, of which a hash of row and piece draws an expected ``sample_bytes`` per
-language.  Languages are held in models of ``block_languages`` each, applied one
+characters, of which a hash of text and piece draws an expected ``sample_bytes`` per
+language; equal texts count once.  Languages are held in models of ``block_languages`` each, applied one
 after the other, so that the tables sent to the tasks have a bound however many
 languages there are.
 
@@ -21,6 +21,7 @@ Defined results
 * Equal code lengths: the language that sorts first.
 * score is the posterior of the language under equal priors, 0 to 1.
 * Repeated rows are judged row by row; empty table: empty result.
+* Input columns named lang_pred, score or bits_per_byte are replaced; others pass through.
 """
 
 from __future__ import annotations
@@ -215,17 +216,18 @@ def fit(
     labelled: DataFrame,
     text_col: str = "text",
     lang_col: str = "lang",
-    key: Column | None = None,
     sample_bytes: int = 1 << 20,
     piece_chars: int = 1 << 14,
     block_languages: int = 16,
 ) -> list[Model]:
     """Trees from a bounded sample of labelled rows, ``block_languages`` to a model, in the
-    order of the languages; see the module text."""
+    order of the languages; see the module text.  A text teaches a language once, however
+    many rows repeat it: pieces are drawn by the text alone."""
     rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(
-        F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), (F.xxhash64(text_col) if key is None else key).alias("key")
+        F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("key")
     )
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n")).collect()}
+    once = rows.groupBy("lang", "key").agg(F.max(F.octet_length("text")).alias("n"))
+    sizes = {r["lang"]: r["n"] for r in once.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     languages, models = sorted(sizes), []
     for a in range(0, len(languages), block_languages):
         some = languages[a : a + block_languages]
@@ -233,7 +235,7 @@ def fit(
         # the pieces are drawn before they are cut out
         pieces = rows.where(F.col("lang").isin(some)).withColumn("piece", F.explode(F.sequence(F.lit(0), F.expr(f"greatest(length(text) - 1, 0) div {piece_chars}"))))
         drawn = pieces.where(F.pmod(F.xxhash64("key", "piece"), F.lit(1 << 30)) < share * (1 << 30))
-        cut = drawn.select("lang", F.substring("text", F.col("piece") * piece_chars + 1, F.lit(piece_chars)).alias("text")).collect()
+        cut = drawn.select("lang", "key", "piece", F.substring("text", F.col("piece") * piece_chars + 1, F.lit(piece_chars)).alias("text")).dropDuplicates(["lang", "key", "piece"]).collect()
         counts = []
         for k in some:
             text, at, _ = normalised(*tokens.text_bytes(pa.array([r["text"] for r in cut if r["lang"] == k], pa.large_string())))
@@ -297,7 +299,7 @@ def remainder(id_col: str, of: int = 5) -> Column:
 
 def learn(docs: DataFrame) -> list[Model]:
     """The models of op5: documents outside the held-out fifth, with a language."""
-    return fit(docs.where(remainder("doc_id") != 0), key=F.xxhash64("doc_id", "text"))
+    return fit(docs.where(remainder("doc_id") != 0))
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

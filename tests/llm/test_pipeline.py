@@ -70,6 +70,21 @@ def test_runs_do_not_disturb_each_other(spark, corpus):
     assert first.count() == second.count() > 0
 
 
+def test_secrets_are_filtered_above_a_written_scan(spark, corpus):
+    docs = spark.read.parquet(f"{corpus[0]}/documents.parquet")
+    plan = corpus_pipeline.drop_secrets(spark, docs, corpus[0])._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan and "__n" in plan
+
+
+def test_unknown_languages_go(spark, corpus):
+    """Texts in a script no document has are dropped; those in known languages stay."""
+    docs = spark.read.parquet(f"{corpus[0]}/documents.parquet")
+    strange = ["Η γλώσσα αυτή δεν υπάρχει σε κανένα έγγραφο της συλλογής μας", "这 种 语言 在 任何 文件 中 都 没有 出现 过"]
+    more = spark.createDataFrame([(900 + i, t, None, "s", len(t)) for i, t in enumerate(strange)], DOC)
+    left, alone = ({r.doc_id for r in corpus_pipeline.keep_known_languages(spark, d, corpus[0]).collect()} for d in (docs.union(more), docs))
+    assert left == alone and len(left) > 40
+
+
 def test_stages_of_odd_tables(spark, corpus, no_docs, odd_docs):
     """Empty tables stay empty; nulls, repeats and further columns named like made ones pass."""
     clash = odd_docs.withColumn("score", F.lit("x")).withColumn("found", F.lit(1)).withColumn("items", F.lit(2)).withColumn("component_id", F.lit(3))
