@@ -26,8 +26,9 @@ from terravane.plans import runtime
 ORACLE_SQL = None
 
 
-#: Least posterior of a kept document's language.
-MIN_SCORE = 0.3
+#: Least posterior of a kept document's language, and most bits its model may need for a byte of
+#: the text (of 8): beyond it the text is in none of the languages that were learned.
+MIN_SCORE, MAX_BITS = 0.3, 5.0
 
 _left: list[str] = []
 
@@ -51,10 +52,11 @@ def _stage(function):
 
 @_stage
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without documents that have no letters, or whose language stays wide open."""
+    """Without documents that have no letters, whose language stays wide open, or that are in
+    none of the languages known (the best model codes them hardly better than any bytes)."""
     ready, back = tokens.set_aside(docs, ["lang_pred", "score", "bits_per_byte"])
     found = language_id.predict(ready, language_id.learn(docs))
-    known = found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= MIN_SCORE))
+    known = found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= MIN_SCORE) & (F.col("bits_per_byte") <= MAX_BITS))
     return known.select(*ready.columns).withColumnsRenamed(back)
 
 
@@ -75,11 +77,10 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents in which a secret was found."""
     ready, back = tokens.set_aside(docs, secret_scan.MADE)
-    found = secret_scan.scan_secrets(ready)
-    # a column that is not deterministic keeps the filter above the scan: pushed through it, the
-    # filter would hold the scan's expressions once for each use
-    once = found.select(*ready.columns, F.size("found").alias("__n"), F.monotonically_increasing_id().alias("__row"))
-    return once.where("__n = 0 AND __row >= 0").select(*ready.columns).withColumnsRenamed(back)
+    found = secret_scan.scan_secrets(ready).select(*ready.columns, F.size("found").alias("__n"))
+    # written first: a filter over the scan itself would be pushed through it and hold its expressions once for each use
+    counted = runtime.materialize(found, "pipeline-spans")
+    return counted.where("__n = 0").select(*ready.columns).withColumnsRenamed(back)
 
 
 @_stage
@@ -98,8 +99,11 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order; each one's result is a written table."""
+    """All stages in order; each one's result is a written table, deleted once the next one's is
+    there.  The last table and the mix's own stay, as the result is read from them, until
+    ``runtime.release``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = runtime.materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        past, docs = docs, runtime.materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        runtime.forget(past)
     return STAGES[-1][1](spark, docs, sf_dir)
