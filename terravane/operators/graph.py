@@ -50,9 +50,16 @@ def sizes(labels: DataFrame, label: str = "component") -> DataFrame:
     return labels.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _known(both: DataFrame, source: int) -> None:
+    if both.where(F.col("a") == source).isEmpty():
+        raise ValueError(f"no edge has vertex {source}")
+
+
 def bfs(edges: DataFrame, source: int, max_distance: int | None = None) -> DataFrame:
-    """vertex_id, distance, predecessor (the least of those one step nearer; -1 at the source)."""
+    """vertex_id, distance, predecessor (the least of those one step nearer; -1 at the source).
+    A source that no edge has raises ValueError, here and in the searches below."""
     both = runtime.materialize(adjacency(edges).select("a", "b").distinct(), "bfs-edges")
+    _known(both, source)
     start = edges.sparkSession.range(1).select(F.lit(source).cast("long").alias("vertex_id"), F.lit(0).cast("long").alias("distance"), F.lit(-1).cast("long").alias("predecessor"))
     seen = frontier = runtime.materialize(start, "bfs")
     step = 0
@@ -81,6 +88,7 @@ def _relaxed(edges: DataFrame, source: int, weight: str | None, max_distance: fl
     ``bound`` (vertex_id, h) gives a lower bound of each vertex's distance to it."""
     both = adjacency(edges, weight).groupBy("a", "b").agg(F.min("w").alias("w"))
     both = runtime.materialize(both, "sssp-edges")
+    _known(both, source)
     start = edges.sparkSession.range(1).select(F.lit(source).cast("long").alias("vertex_id"), F.lit(0.0).alias("cost"), F.lit(0).cast("long").alias("hops"))
     best = improved = runtime.materialize(start, "sssp")
     while True:
@@ -273,34 +281,3 @@ def split_components(edges: DataFrame, vertices: DataFrame) -> DataFrame:
             break
         seen = runtime.materialize(seen.union(frontier), "split-seen")
     return labels.join(seen, "vertex_id")
-
-
-def prune_leaves(edges: DataFrame, min_vertices: int) -> DataFrame:
-    """Edges left when branches that end in a leaf and have fewer than ``min_vertices``
-    vertices before the next branching vertex are removed, until none is left.  All
-    short branches of a round go together; a path without branching vertex stays."""
-    now = runtime.materialize(edges.where("v0 <> v1").select("v0", "v1").distinct(), "prune")
-    while True:
-        deg = degrees(now, simple=True)
-        both = adjacency(now).select("a", "b").distinct()
-        leaves = deg.where("degree = 1").select(F.col("vertex_id").alias("leaf"))
-        walk = leaves.select("leaf", F.col("leaf").alias("at"), F.lit(-1).cast("long").alias("came"), F.lit(1).alias("n"))
-        short = None
-        for _ in range(min_vertices):
-            step = walk.join(both, F.col("at") == F.col("a")).where("b <> came").select("leaf", F.col("b").alias("at"), F.col("a").alias("came"), "n")
-            step = runtime.materialize(step.join(deg.select(F.col("vertex_id").alias("at"), "degree"), "at"), "prune-walk")
-            ended = step.where("degree >= 3").where(F.col("n") < min_vertices).select("leaf", F.col("at").alias("stop"))
-            short = ended if short is None else short.union(ended)
-            walk = step.where("degree = 2").select("leaf", "at", "came", (F.col("n") + 1).alias("n"))
-        short = runtime.materialize(short, "prune-short")
-        if short.isEmpty():
-            return now
-        # the vertices of the short branches: from the leaf up to the branching vertex
-        gone = frontier = short.select(F.col("leaf").alias("v"), "stop")
-        for _ in range(min_vertices):
-            nxt = frontier.join(both, F.col("v") == F.col("a")).where("b <> stop").select(F.col("b").alias("v"), "stop")
-            frontier = nxt.join(gone, ["v", "stop"], "left_anti").distinct()
-            gone = gone.union(frontier)
-        gone = gone.select("v").distinct()
-        left = now.join(gone.select(F.col("v").alias("v0")), "v0", "left_anti").join(gone.select(F.col("v").alias("v1")), "v1", "left_anti")
-        now = runtime.materialize(left.select("v0", "v1"), "prune")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from terravane.operators import binning, graph, trees
+from terravane.operators import binning, graph, pruning, trees
 from terravane.plans import fixtures as fx
 
 QUERIES, ORACLES = {}, {}
@@ -188,10 +188,32 @@ def graph_split_components(spark, sf):
     return graph.split_components(e, used)
 
 
-@query(None)
+def _prune_sql(rounds: int, min_length: float, min_vertices: int) -> str:
+    """Rounds of pruning one after the other; those after the last with a short branch change nothing."""
+    parts = ["g0 AS MATERIALIZED (SELECT vertex_id AS a, parent AS b FROM t WHERE parent >= 0 UNION SELECT parent, vertex_id FROM t WHERE parent >= 0)"]
+    far = "sqrt((p.x - q.x) ** 2.0 + (p.y - q.y) ** 2.0 + (p.z - q.z) ** 2.0)"
+    for r in range(rounds):
+        parts += [
+            f"h{r} AS MATERIALIZED (SELECT g.a, g.b, k, {far} AS l FROM g{r} g JOIN (SELECT a, count(*) AS k FROM g{r} GROUP BY a) d USING (a) JOIN t p ON p.vertex_id = g.a JOIN t q ON q.vertex_id = g.b)",
+            f"w{r}(leaf, came, v, n, l) AS (SELECT a, a, b, 1, l FROM h{r} WHERE k = 1 UNION ALL SELECT leaf, w.v, h.b, n + 1, w.l + h.l FROM w{r} w JOIN h{r} h ON h.a = w.v AND h.k = 2 AND h.b <> w.came)",
+            f"s{r} AS (SELECT *, row_number() OVER (PARTITION BY v ORDER BY leaf) AS place FROM (SELECT DISTINCT leaf, w.v, n, w.l, h.k FROM w{r} w JOIN h{r} h ON h.a = w.v WHERE h.k <> 2) WHERE l < {min_length} OR n < {min_vertices})",
+            f"z{r} AS MATERIALIZED (SELECT leaf FROM s{r} WHERE k = 1 OR place <= k - 2)",
+            f"x{r} AS MATERIALIZED (SELECT DISTINCT came AS v FROM w{r} WHERE leaf IN (SELECT leaf FROM z{r}))",
+            f"g{r + 1} AS MATERIALIZED (SELECT a, b FROM g{r} WHERE a NOT IN (SELECT v FROM x{r}) AND b NOT IN (SELECT v FROM x{r}))",
+        ]
+    gone = " UNION ALL ".join(f"SELECT v FROM x{r}" for r in range(rounds))
+    count = " + ".join(f"(SELECT count(*) FROM z{r})" for r in range(rounds))
+    parts.append(f"m AS (SELECT vertex_id, row_number() OVER (ORDER BY vertex_id) - 1 AS n FROM t WHERE vertex_id NOT IN ({gone}))")
+    return f"""WITH RECURSIVE {fx.T}, {", ".join(parts)}
+SELECT t.vertex_id AS v0, t.parent AS v1, p.n AS n0, q.n AS n1, CAST({count} AS BIGINT) AS removed FROM t JOIN m p ON p.vertex_id = t.vertex_id JOIN m q ON q.vertex_id = t.parent"""
+
+
+@query(_prune_sql(12, 8.0, 3))
 def graph_prune(spark, sf):
-    """Rounds remove all short branches at once; tests hold known trees."""
-    return graph.prune_leaves(fx.edges(spark, sf), 2)
+    """Branches of the parts' tree that are shorter than 8 or have fewer than 3 vertices."""
+    tree = fx.tree(spark, sf)
+    got = pruning.prune(tree, tree.where("parent >= 0").selectExpr("vertex_id AS v0", "parent AS v1"), 8.0, 3)
+    return got.edges.select("v0", "v1", "n0", "n1", F.lit(got.removed).cast("long").alias("removed"))
 
 
 @query(f"""WITH {E}, k AS (SELECT c_custkey AS v FROM customer WHERE c_custkey BETWEEN 20 AND 900 AND c_nationkey BETWEEN 3 AND 20)
