@@ -139,6 +139,20 @@ def io_balanced_parts(spark, sf):
     return formats.balanced_parts(records, 8)
 
 
+@query(f"""WITH {fx.L} SELECT object_id // 64 AS part, dense_rank() OVER (PARTITION BY object_id // 64 ORDER BY object_id) - 1 AS object_id, seq,
+CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, CAST(z AS DOUBLE) AS z FROM l""")
+def io_trk_parts(spark, sf):
+    """Paths written as TrackVis files, indexed, and read back by byte ranges."""
+    from terravane.plans import runtime
+    from terravane.sources import binary, ranged
+
+    paths = fx.paths(spark, sf).withColumn("part", F.expr("object_id div 64"))
+    folder = f"{runtime.shared_dir(spark)}/files/trk-{uuid.uuid4().hex}"
+    ranged.write_documents(binary.trk_documents(paths, "part"), folder, "trk")
+    read = ranged.read_tracks(spark, folder, step=1 << 14)
+    return read.select(F.regexp_extract("file", r"(\d+)\.trk$", 1).cast("long").alias("part"), "object_id", "seq", "x", "y", "z")
+
+
 def _store_query(name: str, sql: str, make) -> None:
     QUERIES[name] = make
     ORACLES[name] = sql

@@ -18,34 +18,49 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The LAS point formats' offsets of classification, GPS time and colour.
-_LAS = {0: (15, None, None), 1: (15, 20, None), 2: (15, None, 20), 3: (15, 20, 28), 6: (16, 22, None), 7: (16, 22, 30), 8: (16, 22, 30)}
+_LAS = {
+    0: (15, None, None), 1: (15, 20, None), 2: (15, None, 20), 3: (15, 20, 28), 4: (15, 20, None), 5: (15, 20, 28),
+    6: (16, 22, None), 7: (16, 22, 30), 8: (16, 22, 30), 9: (16, 22, None), 10: (16, 22, 30),
+}
 
 
-def parse_las(raw: bytes) -> pd.DataFrame:
-    """x, y, z, intensity, classification and, where the format has them, gps_time and colour."""
+def las_header(raw: bytes) -> dict:
+    """start, fmt, width and count of the point records, scale and shift of coordinates."""
     if raw[:4] != b"LASF":
         raise ValueError("not a LAS file")
     start, fmt, width, count = struct.unpack_from("<I", raw, 96)[0], raw[104], *struct.unpack_from("<HI", raw, 105)
     if fmt & 128:
         raise ValueError("compressed LAS is not supported")
+    if fmt & 63 not in _LAS:
+        raise ValueError(f"LAS point format {fmt & 63} is not known")
     if raw[25] >= 4 and not count:
         count = struct.unpack_from("<Q", raw, 247)[0]
-    scale, shift = np.array(struct.unpack_from("<3d", raw, 131)), np.array(struct.unpack_from("<3d", raw, 155))
-    kind, time, colour = _LAS[fmt & 63]
+    return {"start": start, "fmt": fmt & 63, "width": width, "count": count, "scale": np.array(struct.unpack_from("<3d", raw, 131)), "shift": np.array(struct.unpack_from("<3d", raw, 155))}
+
+
+def las_columns(raw: bytes, head: dict, count: int, start: int = 0) -> dict[str, np.ndarray]:
+    """x, y, z, intensity, classification and, where the format has them, gps_time and colour."""
+    kind, time, colour = _LAS[head["fmt"]]
     fields = {"p": ("<i4", 0, (3,)), "i": ("<u2", 12, ()), "c": ("u1", kind, ())}
     fields |= {"t": ("<f8", time, ())} if time else {}
     fields |= {"rgb": ("<u2", colour, (3,))} if colour else {}
-    layout = np.dtype({"names": list(fields), "formats": [(f, s) for f, _, s in fields.values()], "offsets": [o for _, o, _ in fields.values()], "itemsize": width})
+    layout = np.dtype({"names": list(fields), "formats": [(f, s) for f, _, s in fields.values()], "offsets": [o for _, o, _ in fields.values()], "itemsize": head["width"]})
     rows = np.frombuffer(raw, layout, count, start)
-    xyz = rows["p"] * scale + shift
+    xyz = rows["p"] * head["scale"] + head["shift"]
     out = {a: xyz[:, k] for k, a in enumerate("xyz")} | {"intensity": rows["i"].astype(np.float32)}
-    cls = rows["c"] if fmt & 63 >= 6 else rows["c"] & 31
+    cls = rows["c"] if head["fmt"] >= 6 else rows["c"] & 31
     out["classification"] = cls.astype(np.float32)
     if time:
         out["gps_time"] = rows["t"]
     if colour:
         out |= {c: rows["rgb"][:, k].astype(np.float32) for k, c in enumerate(("red", "green", "blue"))}
-    return pd.DataFrame(out)
+    return out
+
+
+def parse_las(raw: bytes) -> pd.DataFrame:
+    """The columns of ``las_columns`` for a whole file."""
+    head = las_header(raw)
+    return pd.DataFrame(las_columns(raw, head, head["count"], head["start"]))
 
 
 def read_las(spark: SparkSession, path: str) -> DataFrame:

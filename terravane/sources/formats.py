@@ -273,16 +273,22 @@ def read_trk(spark: SparkSession, path: str, attributes: bool = False, most: int
     return _texts(spark, path).mapInPandas(rows, "file string, object_id long, seq long, x double, y double, z double" + more)
 
 
+# The number types of MRtrix track files.
+TCK_KINDS = {"Float32LE": "<f4", "Float32BE": ">f4", "Float64LE": "<f8", "Float64BE": ">f8"}
+
+
 def read_tck(spark: SparkSession, path: str) -> DataFrame:
-    """file, object_id, seq, x, y, z of MRtrix track files (32-bit little-endian): a NaN
-    row ends a track, an infinite one the file."""
+    """file, object_id, seq, x, y, z of MRtrix track files, of the datatype that the header
+    names: a NaN row ends a track, an infinite one the file."""
 
     def rows(batches: Iterator[pd.DataFrame]):
         for b in batches:
             for name, raw in zip(b["path"], b["content"], strict=True):
                 raw = bytes(raw)
                 at = int(re.search(rb"\nfile:\s*\.\s+(\d+)", raw)[1])
-                p = np.frombuffer(raw, "<f4", (len(raw) - at) // 12 * 3, at).reshape(-1, 3).astype(float)
+                said = re.search(rb"\ndatatype:\s*(\w+)", raw[:at])
+                kind = np.dtype(TCK_KINDS[said[1].decode() if said else "Float32LE"])
+                p = np.frombuffer(raw, kind, (len(raw) - at) // (3 * kind.itemsize) * 3, at).reshape(-1, 3).astype(float)
                 stop = np.flatnonzero(np.isinf(p).all(axis=1))
                 p = p[: stop[0]] if len(stop) else p
                 gap = np.isnan(p).all(axis=1)
