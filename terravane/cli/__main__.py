@@ -94,21 +94,22 @@ def convert(spark: SparkSession, kind: str, path: str, to: str, shape: tuple, no
         raise SystemExit(f"unknown format {kind!r}; known are {', '.join(FORMATS)}")
 
 
-def add_levels(spark: SparkSession, path: str, bin_shape: tuple, factors: list[tuple[float, float]], mode: str | None, strategy: str, seed: int) -> None:
-    """Coarser levels of level 0 and the links of each vertex to the level above it."""
+def add_levels(spark: SparkSession, path: str, bin_shape: tuple, factors: list[tuple[float, float]], mode: str | None, strategy: str, seed: int, scales: list | None = None, depth: int = 1, storage: str = "explicit") -> None:
+    """Coarser levels of level 0, the links of each vertex to the level above it, and those
+    over up to ``depth`` levels."""
     columns = store.read_points(spark, path, 0).columns
     mode = mode or pyramid.select_coarsener_key(columns)
-    base = store.read_points(spark, path, 0).select("object_id", "seq", "vertex_id", *(["parent"] if mode == "skeleton" else []), "x", "y", "z")
+    base = store.read_points(spark, path, 0).drop(*store.CHUNK)
     shape = store.level_shape(spark, path, 0)
-    levels = pyramid.build_pyramid(base, bin_shape, factors, mode, strategy, seed)
-    for below, level in zip(levels, levels[1:], strict=False):
-        store.write_level(level.vertices, path, level.number, shape)
-        store.write_parents(level.parents, below.vertices.dropDuplicates(["vertex_id"]), path, below.number, shape)
+    levels = pyramid.build_pyramid(base, bin_shape, factors, mode, strategy, seed, shape, scales)
+    store.write_pyramid(levels, path, shape, depth, storage)
 
 
 def _pyramid_flags(p: argparse.ArgumentParser, needed: bool) -> None:
     p.add_argument("--bin-shape", type=numbers, required=needed), p.add_argument("--bin-factors"), p.add_argument("--object-factors")
     p.add_argument("--mode", choices=["per_object", "polyline", "skeleton"]), p.add_argument("--strategy", default="random"), p.add_argument("--seed", type=int, default=0)
+    p.add_argument("--chunk-scales", type=numbers, help="how much wider each level's chunks are than those below")
+    p.add_argument("--cross-depth", type=int, default=1), p.add_argument("--cross-storage", choices=["explicit", "implicit"], default="explicit")
 
 
 def main(args: list[str] | None = None) -> int:
@@ -121,8 +122,11 @@ def main(args: list[str] | None = None) -> int:
     p = sub.add_parser("pyramid", help="coarser levels of a store")
     p.add_argument("store")
     _pyramid_flags(p, True)
-    for name in ("validate", "info"):
-        sub.add_parser(name).add_argument("store")
+    for name in ("validate", "info", "rebuild", "vacuum"):
+        q = sub.add_parser(name)
+        q.add_argument("store")
+        if name in ("validate", "rebuild"):
+            q.add_argument("--level", type=int, default=0)
     a = top.parse_args(args)
     spark = SparkSession.builder.getOrCreate()
     if a.command == "convert":
@@ -133,12 +137,16 @@ def main(args: list[str] | None = None) -> int:
         print(f"{a.store}: {store.read_points(spark, a.store, 0).count()} rows at level 0")
     if a.command == "pyramid" or (a.command == "convert" and a.bin_shape):
         factors = build_factors(a.bin_factors, a.object_factors) or [(2.0, 1.0)]
-        add_levels(spark, a.store, a.bin_shape, factors, a.mode, a.strategy, a.seed)
+        add_levels(spark, a.store, a.bin_shape, factors, a.mode, a.strategy, a.seed, [int(k) for k in a.chunk_scales] if a.chunk_scales else None, a.cross_depth, a.cross_storage)
         print(f"{a.store}: {len(factors)} coarser levels")
     elif a.command == "validate":
-        found = store.validate(spark, a.store)
+        found = store.validate(spark, a.store, a.level)
         print("\n".join(found) or "no faults found")
         return int(bool(found))
+    elif a.command == "rebuild":
+        print(f"{a.store}: {store.rebuild(spark, a.store, a.level)} levels made again")
+    elif a.command == "vacuum":
+        print(f"{a.store}: {store.vacuum(spark, a.store)} old folders deleted")
     elif a.command == "info":
         for row in store.info(spark, a.store).orderBy("level").toLocalIterator():
             print(row["level"], row["chunk_shape"], row["columns"])

@@ -104,12 +104,13 @@ def skeleton(level: DataFrame, shape: tuple, factor: float = 1.0, strategy: str
     inside a chunk, none of them on its faces, are left out there.  Parents maps each
     vertex to the nearest kept one at or above it, or to -1.
     """
-    objects = tree_objects(level)
-    if strategy in ("coverage", "thinning"):
+    if factor <= 1:
+        alive_ids = level.select("object_id").distinct()
+    elif strategy in ("coverage", "thinning"):
         tops = level.groupBy("object_id").agg(F.min_by(F.struct("x", "y", "z"), "vertex_id").alias("p")).select("object_id", "p.*")
-        alive_ids = selection.apply_sparsity(objects, 1.0 / factor, strategy, None, tops, shape, seed)
+        alive_ids = selection.apply_sparsity(tree_objects(level), 1.0 / factor, strategy, None, tops, shape, seed)
     else:
-        alive_ids = selection.apply_sparsity(objects, 1.0 / max(1.0, factor), strategy, {"length": "length", "attribute": "n"}.get(strategy), None, None, seed)
+        alive_ids = selection.apply_sparsity(tree_objects(level), 1.0 / factor, strategy, {"length": "length", "attribute": "n"}.get(strategy), None, None, seed)
     alive = runtime.materialize(level.join(alive_ids, "object_id", "left_semi"), "level-alive")
     tree = alive.select("vertex_id", "parent")
     at = alive.select("vertex_id", F.struct(*cells(shape).values()).alias("chunk"))
@@ -142,33 +143,60 @@ def select_coarsener_key(columns: list[str], geometry: str = "points") -> str:
     return "polyline" if geometry == "streamline" else "per_object"
 
 
-def coarsen_level(level: Level, shape: tuple, factor: float = 1.0, mode: str = "per_object", strategy: str = "random", seed: int = 0) -> Level:
-    vertices, parents = get_coarsener(mode)(level.vertices, shape, factor, strategy, seed)
-    settings = {"shape": shape, "factor": factor, "mode": mode, "strategy": strategy, "seed": seed}
+def coarsen_level(
+    level: Level, shape: tuple, factor: float = 1.0, mode: str = "per_object", strategy: str = "random", seed: int = 0, bins: float | None = None, chunk_shape: tuple | None = None, **options
+) -> Level:
+    """The next level, with all it was made with as its settings.  ``shape`` is the bins';
+    ``bins`` how many base bins they are wide.  Skeletons have no bins: their stride is the
+    bin factor, rounded and at least 1, their shape that of the level's chunks, and
+    random selection is by length."""
+    if mode == "skeleton":
+        if bins is not None:
+            options.setdefault("stride", max(1, round(bins)))
+        strategy = "length" if strategy == "random" else strategy
+    used = chunk_shape if mode == "skeleton" and chunk_shape else shape
+    vertices, parents = get_coarsener(mode)(level.vertices, used, factor, strategy, seed, **options)
+    settings = {"shape": list(shape), "factor": factor, "mode": mode, "strategy": strategy, "seed": seed, "bins": bins, "chunk_shape": list(chunk_shape) if chunk_shape else None, **options}
     n = level.number + 1
     return Level(n, runtime.materialize(vertices, f"level-{n}"), runtime.materialize(parents, f"parents-{n}"), settings)
 
 
-def build_pyramid(vertices: DataFrame, base_shape: tuple, factors: list[tuple[float, float]], mode: str = "per_object", strategy: str = "random", seed: int = 0) -> list[Level]:
+def build_pyramid(
+    vertices: DataFrame,
+    base_shape: tuple,
+    factors: list[tuple[float, float]],
+    mode: str = "per_object",
+    strategy: str = "random",
+    seed: int = 0,
+    chunk_shape: tuple | None = None,
+    chunk_scales: list[int | tuple] | None = None,
+    **options,
+) -> list[Level]:
     """Level 0 and one level for each (bin factor, object factor); a level's bins are the
-    base bins times its own bin factor."""
+    base bins times its own bin factor.  Its chunks are the chunks of the level below
+    times its chunk scale, of all axes or of each (1 without scales; 2 for skeletons)."""
     if not factors:
         raise ValueError("no levels asked for")
-    levels = [Level(0, vertices)]
+    if chunk_scales is not None and len(chunk_scales) != len(factors):
+        raise ValueError("a chunk scale is needed for every level")
+    levels, chunks = [Level(0, vertices)], tuple(chunk_shape or base_shape)
     for i, (bins, objects) in enumerate(factors):
-        levels.append(coarsen_level(levels[-1], tuple(s * bins for s in base_shape), objects, mode, strategy, seed + i))
+        scale = chunk_scales[i] if chunk_scales else 1
+        if mode == "skeleton" and scale == 1:
+            scale = 2
+        by = scale if isinstance(scale, (tuple, list)) else (scale,) * len(chunks)
+        chunks = tuple(float(c * k) for c, k in zip(chunks, by, strict=True))
+        levels.append(coarsen_level(levels[-1], tuple(s * bins for s in base_shape), objects, mode, strategy, seed + i, bins, chunks, **options))
     return levels
 
 
-def build_skeleton_pyramid(vertices: DataFrame, chunk_shape: tuple, strides: list[int], factors: list[float] | None = None, scale: int = 2, strategy: str = "length", seed: int = 0, attributes: dict[str, str] | None = None) -> list[Level]:
+def build_skeleton_pyramid(vertices: DataFrame, chunk_shape: tuple, strides: list[int], factors: list[float] | None = None, scale: int = 2, strategy: str = "length", seed: int = 0, attributes: dict[str, str] | None = None, least: int = 0) -> list[Level]:
     """Level 0 and one level for each stride; chunks grow by ``scale`` along each axis a level."""
-    levels = [Level(0, vertices)]
-    for i, stride in enumerate(strides):
-        shape = tuple(s * scale ** (i + 1) for s in chunk_shape)
-        factor = factors[i] if factors else 1.0
-        made, parents = skeleton(levels[-1].vertices, shape, factor, strategy, seed + i, stride, 0, attributes)
-        settings = {"shape": shape, "factor": factor, "mode": "skeleton", "strategy": strategy, "seed": seed + i}
-        levels.append(Level(i + 1, made, runtime.materialize(parents, f"parents-{i + 1}"), settings))
+    pairs = [(stride, factors[i] if factors else 1.0) for i, stride in enumerate(strides)]
+    levels, chunks = [Level(0, vertices)], tuple(chunk_shape)
+    for i, (stride, factor) in enumerate(pairs):
+        chunks = tuple(float(c * scale) for c in chunks)
+        levels.append(coarsen_level(levels[-1], chunk_shape, factor, "skeleton", strategy, seed + i, stride, chunks, least=least, attributes=attributes))
     return levels
 
 
@@ -176,8 +204,7 @@ def rebuild_from(levels: list[Level], source: int) -> list[Level]:
     """The levels above ``source``, made again with the settings they were made with."""
     out = levels[: source + 1]
     for old in levels[source + 1 :]:
-        s = old.settings
-        out.append(coarsen_level(out[-1], s["shape"], s["factor"], s["mode"], s["strategy"], s["seed"]))
+        out.append(coarsen_level(out[-1], **old.settings))
     return out
 
 

@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from terravane.plans import runtime
 
 
+def range_parts(df: DataFrame, rows: int = 1 << 20) -> int:
+    """Ranges of about ``rows`` rows each, as many as the session's shuffle partitions at least."""
+    return runtime.parts_for(df.count(), rows, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def prefix_sums(df: DataFrame, keys: list[str], value: Column, name: str, partitions: int | None = None) -> DataFrame:
     """``df`` with ``name``: the sum of ``value`` over the rows before, in the order of
     ``keys`` (a total order).
@@ -15,7 +20,7 @@ def prefix_sums(df: DataFrame, keys: list[str], value: Column, name: str, partit
     Rows are range-partitioned and written; each range adds up on its own from an
     offset, the sum of the ranges before it (one row per range).
     """
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or range_parts(df)
     ranged = df.withColumn("__v", value).repartitionByRange(n, *keys)
     cut = runtime.materialize(ranged.withColumn("__range", F.spark_partition_id()), "prefix")
     sums = cut.groupBy("__range").agg(F.sum("__v").alias("__sum"))

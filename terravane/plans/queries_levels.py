@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import functions as F
@@ -65,9 +66,40 @@ p1 AS (SELECT v AS v0, w AS v1 FROM q1 JOIN n2 USING (gx, gy, gz)), p2 AS (SELEC
 @query(f"""WITH {fx.L}, {CL}, a AS (SELECT 0 AS level, 1 AS delta, v0, v1 FROM p0 UNION ALL SELECT 0, 2, v0, v1 FROM p2 UNION ALL SELECT 1, 1, v0, v1 FROM p1)
 SELECT CAST(level AS INTEGER) AS level, CAST(delta AS INTEGER) AS delta, v0, v1 FROM a UNION ALL SELECT CAST(level + delta AS INTEGER), CAST(-delta AS INTEGER), v1, v0 FROM a""")
 def pyramid_cross_levels(spark, sf):
-    """Two levels over all objects, links up to two levels apart and mirrored."""
-    levels = pyramid.build_pyramid(fx.paths(spark, sf), SHAPE, [(1, 1), (4, 1)])
-    return pyramid.cross_level(levels, 2, "explicit")
+    """Two levels over all objects, links up to two levels apart and mirrored, read back from a store."""
+    from terravane.sources import store
+
+    path = _fresh(spark)
+    store.write_level(fx.paths(spark, sf), path, 0, SHAPE)
+    store.write_pyramid(pyramid.build_pyramid(fx.paths(spark, sf), SHAPE, [(1, 1), (4, 1)]), path, SHAPE, depth=2)
+    pairs = [(0, 1), (0, 2), (1, 1), (1, -1), (2, -2), (2, -1)]
+    read = [store.read_cross_links(spark, path, k, d).select(F.lit(k).alias("level"), F.lit(d).alias("delta"), "v0", "v1") for k, d in pairs]
+    return functools.reduce(lambda a, b: a.union(b), read)
+
+
+@query(f"WITH {LEVEL1.replace('FROM events', 'FROM events WHERE user_id % 3 <> 1')}, p AS (SELECT *, {bins(1)} FROM l) SELECT p.vertex_id, coalesce(n1.vertex_id, -1) AS parent FROM p LEFT JOIN n1 USING (gx, gy, gz)")
+def pyramid_rebuild(spark, sf):
+    """A stored level made again after a third of the objects below it went."""
+    from terravane.sources import store
+
+    path, base = _fresh(spark), fx.paths(spark, sf)
+    store.write_level(base, path, 0, SHAPE)
+    store.write_pyramid([pyramid.Level(0, base), _one(spark, sf)], path, SHAPE)
+    store.write_level(base.where("object_id % 3 <> 1"), path, 0, SHAPE)
+    store.rebuild(spark, path)
+    return store.levels_of(spark, path)[1].parents
+
+
+@query(f"WITH {fx.P} SELECT vertex_id, object_id, x, y, z, CAST((CASE WHEN z >= 30 THEN 1 ELSE 0 END) + (CASE WHEN z >= 60 THEN 1 ELSE 0 END) AS INTEGER) AS bin FROM p WHERE z >= 30 AND z < 60 AND x BETWEEN 5000000 AND 20000000 AND y BETWEEN 100 AND 900")
+def io_bin_folders(spark, sf):
+    """Points stored by bins of an attribute; a bin and a box are read from their own files."""
+    from terravane.sources import store
+
+    path, high = _fresh(spark), 1_000_000_000
+    store.write_level(fx.points(spark, sf), path, 0, (1_000_000.0, 100.0, 10.0))
+    store.rechunk(spark, path, 0, by="z", edges=[30.0, 60.0])
+    read = store.read_points(spark, path, 0, low=(5_000_000, 100, -high), high=(20_000_000, 900, high))
+    return read.where("bin = 1").select("vertex_id", "object_id", "x", "y", "z", "bin")
 
 
 @query(f"""WITH {fx.L}, {FRAG}, s AS (SELECT object_id * 10 + 7 AS segment_id, cx, cy, cz, fragment FROM fr),

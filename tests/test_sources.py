@@ -170,7 +170,7 @@ def test_command_line_keeps_links(spark, tmp_path, capsys):
     swc = write(tmp_path, "t.swc", "".join(f"{i} 3 {i} 0 0 1 {i - 1 if i > 1 else -1}\n" for i in range(1, 20)))
     assert main(["convert", swc, str(tmp_path / "tree"), "--chunk-shape", "50,50,50", "--bin-shape", "50,50,50"]) == 0
     thin = store.read_points(spark, str(tmp_path / "tree"), 1)
-    assert sorted((r.vertex_id, r.parent) for r in thin.collect()) == [(0, -1), (8, 0), (16, 8), (18, 16)]
+    assert sorted((r.vertex_id, r.parent) for r in thin.collect()) == [(0, -1)] + [(k, k - 2) for k in range(2, 19, 2)]
     lines = write(tmp_path, "l.csv", "x0,y0,z0,x1,y1,z1\n0,0,0,1,0,0\n5,5,5,9,9,9\n")
     assert main(["convert", lines, str(tmp_path / "lines"), "--format", "lines", "--chunk-shape", "4,4,4"]) == 0
     assert [r.line_id for r in store.read_lines(spark, str(tmp_path / "lines"), low=(0, 0, 0), high=(4, 4, 4)).collect()] == [0]
