@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -153,24 +156,49 @@ def _apart(p, a, b) -> np.ndarray:
     return sum((q[:, k] - t * d[k]) ** 2 for k in range(len(d)))
 
 
+def _kept(points: np.ndarray, epsilon: float) -> list[int]:
+    """Places of the inner points that stay, of a span's points with both ends."""
+    keep, todo = [], [(0, len(points) - 1)]
+    while todo:
+        low, high = todo.pop()
+        if high - low < 2:
+            continue
+        apart = _apart(points[low + 1 : high], points[low], points[high])
+        at = int(apart.argmax())
+        if apart[at] > epsilon * epsilon:
+            keep.append(low + 1 + at)
+            todo += [(low, low + 1 + at), (low + 1 + at, high)]
+    return sorted(keep)
+
+
 def _finish(epsilon: float, dims: str):
-    """Kernel for the inner vertices of one span: those that stay."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("i")
-        points = np.array([rows[f"p{c}"] for c in dims]).T
-        ends = [np.array([rows[f"{e}{c}"].iloc[0] for c in dims]) for e in "ab"]
-        points, keep, todo = np.vstack([ends[0], points, ends[1]]), [], [(0, len(points) + 1)]
-        while todo:
-            low, high = todo.pop()
-            if high - low < 2:
-                continue
-            apart = _apart(points[low + 1 : high], points[low], points[high])
-            at = int(apart.argmax())
-            if apart[at] > epsilon * epsilon:
-                keep.append(low + at)  # the place among the inner vertices
-                todo += [(low, low + 1 + at), (low + 1 + at, high)]
-        return rows.iloc[sorted(keep)][["object_id", "i"]]
+    """Kernel over rows sorted by span: the inner vertices that stay, span by span.  A span
+    that a batch cuts waits for the rest of it, so at most one is held besides a batch."""
+    names = [f"p{c}" for c in dims]
+    ends = [[f"{e}{c}" for c in dims] for e in "ab"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+
+        def spans(table: pa.Table, last: bool) -> Iterator[pa.RecordBatch | pa.Table]:
+            objects, lows = table.column("object_id").combine_chunks(), table.column("lo").to_numpy()
+            alike = pc.or_(pc.equal(objects[1:], objects[:-1]).fill_null(False), pc.and_(objects[1:].is_null(), objects[:-1].is_null()))
+            new = np.flatnonzero((lows[1:] != lows[:-1]) | ~alike.to_numpy(zero_copy_only=False)) + 1
+            cuts = [0, *new.tolist(), table.num_rows]
+            points = np.column_stack([table.column(c).to_numpy() for c in names])
+            first, second = (np.column_stack([table.column(c).to_numpy() for c in e]) for e in ends)
+            stay = [a - 1 + k for a, b in zip(cuts[: -1 if last else -2], cuts[1:], strict=False) for k in _kept(np.vstack([first[a], points[a:b], second[a]]), epsilon)]
+            yield from table.select(["object_id", "i"]).take(pa.array(stay, pa.int64())).to_batches()
+            yield table.slice(cuts[-1 if last else -2])
+
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if held is None else pa.concat_tables([held, table])
+            if table.num_rows:
+                *done, held = spans(table, False)
+                yield from done
+        if held is not None and held.num_rows:
+            yield from list(spans(held, True))[:-1]
 
     return run
 
@@ -196,7 +224,8 @@ def simplify(path: DataFrame, epsilon: float, dims: str = "xyz", whole: int = 16
     kind = path.schema["object_id"].dataType.simpleString()
     while True:
         small = open_.where(F.col("hi") - F.col("lo") <= whole).select("object_id", "i", "lo", *flat)
-        kept = kept.union(small.groupBy("object_id", "lo").applyInPandas(_finish(epsilon, dims), f"object_id {kind}, i long"))
+        sorted_ = small.repartition("object_id", "lo").sortWithinPartitions("object_id", "lo", "i")
+        kept = kept.union(sorted_.mapInArrow(_finish(epsilon, dims), f"object_id {kind}, i long"))
         large = open_.where(F.col("hi") - F.col("lo") > whole)
         if large.isEmpty():
             return ranked(path).join(kept, ["object_id", "i"], "left_semi").drop("i", "n")

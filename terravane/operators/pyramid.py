@@ -112,7 +112,7 @@ def skeleton(level: DataFrame, shape: tuple, factor: float = 1.0, strategy: str
     else:
         alive_ids = selection.apply_sparsity(tree_objects(level), 1.0 / factor, strategy, {"length": "length", "attribute": "n"}.get(strategy), None, None, seed)
     alive = runtime.materialize(level.join(alive_ids, "object_id", "left_semi"), "level-alive")
-    tree = alive.select("vertex_id", "parent")
+    tree = alive.select("object_id", "vertex_id", "parent")
     at = alive.select("vertex_id", F.struct(*cells(shape).values()).alias("chunk"))
     ends = tree.where("parent >= 0").join(at, "vertex_id").join(at.select(F.col("vertex_id").alias("parent"), F.col("chunk").alias("up")), "parent")
     crossing = ends.where("chunk <> up").select(F.explode(F.array("vertex_id", "parent")).alias("vertex_id")).distinct()

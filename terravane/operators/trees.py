@@ -1,11 +1,19 @@
-"""Rooted forests as (vertex_id, parent) with parent -1 at roots."""
+"""Rooted forests as (vertex_id, parent) with parent -1 at roots.
+
+A tree that fits a task (``plans.whole.MOST`` vertices) is solved in it, many trees a
+batch: whole objects where the table has an ``object_id``, else the table if it is as
+small as that.  Larger ones take rounds of pointer doubling over written tables; both
+ways give the same results.
+"""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terravane.plans import runtime
+from terravane.plans import runtime, whole
 
 
 def rooted(edges: DataFrame, order: str = "edge_id") -> DataFrame:
@@ -30,10 +38,54 @@ def kinds(tree: DataFrame) -> DataFrame:
     return n.select("vertex_id", kind.cast("long").alias("kind"))
 
 
+def _places(ids: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Where each wanted id stands in ``ids``; -1 for those that do not."""
+    order = np.argsort(ids, kind="stable")
+    at = np.minimum(np.searchsorted(ids[order], wanted), len(ids) - 1)
+    return np.where(ids[order][at] == wanted, order[at], -1)
+
+
+def _climbed(up: np.ndarray, hops: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pointers doubled until each has met a stop: (where, hops)."""
+    up, hops, stop = up.copy(), hops.copy(), stop.copy()
+    for _ in range(64):
+        open_ = np.flatnonzero(~stop)
+        if not len(open_):
+            return up, hops
+        ahead = up[open_]
+        hops[open_], up[open_], stop[open_] = hops[open_] + hops[ahead], up[ahead], stop[ahead]
+    raise RuntimeError("the parents hold a cycle")
+
+
+def _nearest(rows: pa.Table) -> pa.Table:
+    """Kernel of ``nearest_marked`` over whole trees."""
+    ids, parent, marked = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("vertex_id", "parent", "marked"))
+    at = _places(ids, parent)
+    known = (parent < 0) | (at >= 0)  # a vertex whose way ends at an absent parent has no answer
+    stop = (parent < 0) | ~known | marked.astype(bool)[at]
+    # the last vertex before the stop, and the steps to it; the stop itself is its parent
+    last, hops = _climbed(np.where(stop, np.arange(len(ids)), at), np.where(stop, 0, 1), stop)
+    good = known[last]
+    hops = hops + (parent[last] >= 0)
+    return pa.table({"vertex_id": ids[good], "anchor": parent[last][good], "hops": hops[good].astype(np.int64)})
+
+
 def nearest_marked(tree: DataFrame, marked: DataFrame, rounds: int = 64) -> DataFrame:
-    """vertex_id, anchor, hops: the nearest marked vertex strictly above each vertex, by
-    pointer doubling (a round for each power of two of the longest gap).  Vertices
-    without one have anchor -1 and the hops to their root."""
+    """vertex_id, anchor, hops: the nearest marked vertex strictly above each vertex.
+    Vertices without one have anchor -1 and the hops to their root."""
+    small, large = whole.split(tree.select(*[c for c in ("object_id", "vertex_id", "parent") if c in tree.columns]))
+    out = None
+    if small is not None:
+        flagged = small.join(marked.select("vertex_id", F.lit(True).alias("marked")).distinct(), "vertex_id", "left")
+        out = whole.solve(flagged.select("object_id", "vertex_id", "parent", F.coalesce("marked", F.lit(False)).alias("marked")), _nearest, "vertex_id long, anchor long, hops long")
+    if large is not None:
+        doubled = _by_doubling(large, marked, rounds)
+        out = doubled if out is None else out.union(doubled)
+    return out
+
+
+def _by_doubling(tree: DataFrame, marked: DataFrame, rounds: int = 64) -> DataFrame:
+    """A round for each power of two of the longest gap."""
     flag = marked.select(F.col("vertex_id").alias("up"), F.lit(True).alias("stop"))
     start = tree.select("vertex_id", F.col("parent").alias("up"), F.when(F.col("parent") < 0, 0).otherwise(1).cast("long").alias("hops"))
     now = runtime.materialize(
@@ -59,11 +111,38 @@ def depths(tree: DataFrame) -> DataFrame:
     return nearest_marked(tree, none).select("vertex_id", F.col("hops").alias("depth"))
 
 
+def _orders(rows: pa.Table) -> pa.Table:
+    """Kernel of ``strahler`` over whole trees: depth by depth, the deepest first."""
+    ids, parent = (rows.column(c).to_numpy() for c in ("vertex_id", "parent"))
+    at = _places(ids, parent)
+    top = at < 0
+    depth = _climbed(np.where(top, np.arange(len(ids)), at), np.where(top, 0, 1), top)[1]
+    best, twice = np.zeros(len(ids), np.int64), np.zeros(len(ids), bool)
+    order = np.argsort(-depth, kind="stable")
+    for here in np.split(order, np.flatnonzero(np.diff(depth[order])) + 1):
+        best[here] = np.where(best[here] == 0, 1, best[here] + twice[here])
+        mine = here[~top[here]]
+        np.maximum.at(best, at[mine], best[mine])
+        above, n = np.unique(at[mine[best[mine] == best[at[mine]]]], return_counts=True)
+        twice[above] = n > 1
+    return pa.table({"vertex_id": ids, "strahler": best})
+
+
 def strahler(tree: DataFrame) -> DataFrame:
     """vertex_id, strahler: 1 at ends; else the children's maximum, plus one if two or
-    more children share it.  A vertex with one child has its child's number, so only
-    ends, branching vertices and roots are worked out, from the deepest of these up: as
-    many rounds as branching vertices follow each other."""
+    more children share it."""
+    small, large = whole.split(tree.select(*[c for c in ("object_id", "vertex_id", "parent") if c in tree.columns]))
+    out = whole.solve(small, _orders, "vertex_id long, strahler long") if small is not None else None
+    if large is not None:
+        rounds = _strahler_by_anchors(large)
+        out = rounds if out is None else out.union(rounds)
+    return out
+
+
+def _strahler_by_anchors(tree: DataFrame) -> DataFrame:
+    """A vertex with one child has its child's number, so only ends, branching vertices and
+    roots are worked out, from the deepest of these up: as many rounds as branching
+    vertices follow each other."""
     tree = tree.select("vertex_id", "parent")
     fixed = runtime.materialize(anchors(tree), "strahler-anchors")
     few = runtime.materialize(collapse(tree, fixed), "strahler-tree")
@@ -155,9 +234,32 @@ def simplify(tree: DataFrame, positions: DataFrame, tolerance: float) -> DataFra
     return paths.simplify(placed, tolerance).select("vertex_id").union(fixed).distinct()
 
 
+def _lower(rows: pa.Table) -> pa.Table:
+    """Kernel of ``nearest_below`` over whole trees."""
+    ids, parent, fixed, inner = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("vertex_id", "parent", "fixed", "inner"))
+    at = _places(ids, parent)
+    has = np.flatnonzero(at >= 0)
+    has = has[inner.astype(bool)[at[has]]]
+    down = np.full(len(ids), -1)
+    down[at[has]] = has
+    start = np.flatnonzero(down >= 0)
+    stop = fixed.astype(bool) | (down < 0)
+    to = _climbed(np.where(stop, np.arange(len(ids)), down), np.where(stop, 0, 1), stop)[0]
+    return pa.table({"object_id": ids[to[start]], "vertex_id": ids[start]})
+
+
 def nearest_below(parent: DataFrame, fixed: DataFrame, inner: DataFrame) -> DataFrame:
-    """object_id, vertex_id: for each continuation vertex the anchor that ends its chain
-    below, by doubling along only children."""
+    """object_id, vertex_id: for each continuation vertex the anchor that ends its chain below."""
+    small, large = whole.split(parent.select("vertex_id", "parent"))
+    if small is None:
+        return _below_by_doubling(large, fixed, inner)
+    flag = lambda df, name: df.select("vertex_id", F.lit(True).alias(name)).distinct()
+    flagged = small.join(flag(fixed, "fixed"), "vertex_id", "left").join(flag(inner, "inner"), "vertex_id", "left").fillna(False, ["fixed", "inner"])
+    return whole.solve(flagged.select("object_id", "vertex_id", "parent", "fixed", "inner"), _lower, "object_id long, vertex_id long")
+
+
+def _below_by_doubling(parent: DataFrame, fixed: DataFrame, inner: DataFrame) -> DataFrame:
+    """By doubling along only children."""
     only = parent.where("parent >= 0").join(inner.select(F.col("vertex_id").alias("parent")), "parent", "left_semi")
     down = only.select(F.col("parent").alias("vertex_id"), F.col("vertex_id").alias("to"))
     stop = fixed.select(F.col("vertex_id").alias("to"), F.lit(True).alias("stop"))
