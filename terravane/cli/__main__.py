@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from terravane.operators import pyramid
 from terravane.plans.numbering import number_rows
-from terravane.sources import binary, formats, store
+from terravane.sources import binary, formats, precomputed, store
 
 #: Format by file ending; others (lines, edgelist) need --format.
 ENDINGS = {
@@ -122,6 +122,11 @@ def main(args: list[str] | None = None) -> int:
     p = sub.add_parser("pyramid", help="coarser levels of a store")
     p.add_argument("store")
     _pyramid_flags(p, True)
+    layer = sub.add_parser("layer", help="a skeleton layer with a file for each segment to a store")
+    layer.add_argument("input"), layer.add_argument("store"), layer.add_argument("--chunk-shape", type=numbers, required=True)
+    layer.add_argument("--strides", type=numbers, default=()), layer.add_argument("--factors", type=numbers), layer.add_argument("--scale", type=int, default=2)
+    layer.add_argument("--drop-interior-below", type=int, default=0), layer.add_argument("--segments", type=numbers), layer.add_argument("--parts", type=int)
+    layer.add_argument("--overwrite", action="store_true")
     for name in ("validate", "info", "rebuild", "vacuum"):
         q = sub.add_parser(name)
         q.add_argument("store")
@@ -139,6 +144,12 @@ def main(args: list[str] | None = None) -> int:
         factors = build_factors(a.bin_factors, a.object_factors) or [(2.0, 1.0)]
         add_levels(spark, a.store, a.bin_shape, factors, a.mode, a.strategy, a.seed, [int(k) for k in a.chunk_scales] if a.chunk_scales else None, a.cross_depth, a.cross_storage)
         print(f"{a.store}: {len(factors)} coarser levels")
+    elif a.command == "layer":
+        if store.has_level(spark, a.store, 0) and not a.overwrite:
+            raise SystemExit(f"{a.store} exists; --overwrite replaces it")
+        segments = [int(k) for k in a.segments] if a.segments else None
+        said = precomputed.run_ingest_plain(spark, a.input, a.store, a.chunk_shape, segments, strides=[int(k) for k in a.strides], factors=a.factors, scale=a.scale, least=a.drop_interior_below, parts=a.parts)
+        print(f"{a.store}: " + ", ".join(f"{v} {k}" for k, v in said.items()))
     elif a.command == "validate":
         found = store.validate(spark, a.store, a.level)
         print("\n".join(found) or "no faults found")

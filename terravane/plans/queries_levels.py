@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import json
 import uuid
 
 from pyspark.sql import functions as F
@@ -171,6 +172,29 @@ def io_balanced_parts(spark, sf):
     return formats.balanced_parts(records, 8)
 
 
+@query(f"""WITH {fx.L}, k AS (SELECT *, dense_rank() OVER (ORDER BY object_id) - 1 AS o, row_number() OVER (PARTITION BY object_id ORDER BY seq) - 1 AS i FROM l)
+SELECT o AS object_id, CAST(object_id AS DECIMAL(20,0)) AS segment_id, i, CASE WHEN i = 0 THEN CAST(-1 AS BIGINT) ELSE i - 1 END AS up,
+CAST(x + 5 AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, CAST(z AS DOUBLE) AS z, CAST(object_id % 10 AS DOUBLE) AS weight FROM k""")
+def io_plain_layer(spark, sf):
+    """Paths written as the segments of a skeleton layer, and ingested from it with their properties."""
+    from terravane.plans import runtime
+    from terravane.sources import precomputed, ranged, store
+
+    base, path = f"{runtime.shared_dir(spark)}/files/layer-{uuid.uuid4().hex}", _fresh(spark)
+    paths_ = fx.paths(spark, sf).select("object_id", "seq", "x", "y", "z")
+    ranged.write_documents(precomputed.segment_documents(paths_), base, "")
+    affine = [1, 0, 0, 5, 0, 1, 0, 0, 0, 0, 1, 0]
+    ranged.write_documents(spark.createDataFrame([("info", bytearray(json.dumps({"transform": affine}).encode()))], "name string, content binary"), base, "")
+    properties = paths_.select(F.col("object_id").cast("decimal(20,0)").alias("segment_id"), (F.col("object_id") % 10).cast("double").alias("weight")).distinct()
+    reader = precomputed.FolderReader(base)
+    precomputed.run_ingest(spark, reader, reader.keys(), path, (20_000.0, 2_500.0, 10.0), align=False, parts=8, properties=properties)
+    rows = store.read_points(spark, path, 0)
+    first = rows.where("parent < 0").select("object_id", F.col("vertex_id").alias("first"))
+    placed = rows.join(first, "object_id").join(store.read_objects(spark, path).select("object_id", "weight"), "object_id")
+    up = F.when(F.col("parent") < 0, F.lit(-1)).otherwise(F.col("parent") - F.col("first")).cast("long")
+    return placed.select("object_id", "segment_id", (F.col("vertex_id") - F.col("first")).alias("i"), up.alias("up"), "x", "y", "z", "weight")
+
+
 @query(f"""WITH {fx.L} SELECT object_id // 64 AS part, dense_rank() OVER (PARTITION BY object_id // 64 ORDER BY object_id) - 1 AS object_id, seq,
 CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, CAST(z AS DOUBLE) AS z FROM l""")
 def io_trk_parts(spark, sf):

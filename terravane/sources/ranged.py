@@ -71,15 +71,15 @@ def files(path: str) -> list[str]:
 
 
 def write_documents(documents: DataFrame, folder: str, ending: str) -> int:
-    """Write documents (name, content) as files ``name.ending`` of a shared folder, each by the
-    task that holds it (a task that runs again writes the same file); returns how many."""
+    """Write documents (name, content) as files ``name.ending`` (``name`` for an empty ending) of a
+    shared folder, each by the task that holds it (a task that runs again writes the same file); returns how many."""
 
     def write(batches: Iterator[pd.DataFrame]):
         system, at = located(folder)
         system.create_dir(at, recursive=True)
         for b in batches:
             for name, content in zip(b["name"], b["content"], strict=True):
-                with system.open_output_stream(f"{at}/{name}.{ending}") as out:
+                with system.open_output_stream(f"{at}/{name}.{ending}" if ending else f"{at}/{name}") as out:
                     out.write(bytes(content))
             yield pd.DataFrame({"n": [len(b)]})
 

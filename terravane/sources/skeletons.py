@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import json
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terravane.functions.vec3 import cells
@@ -71,30 +69,14 @@ def affine_4x4(transform: list[float]) -> list[float]:
     return [float(v) for v in transform] + [0.0, 0.0, 0.0, 1.0]
 
 
-def segment_properties(spark: SparkSession, text: str) -> DataFrame:
-    """segment_id and a column per property, of an inline property document; tags become
-    the list of their numbers.  Ids keep the order of the document in ``nth``."""
-    inline = json.loads(text).get("inline", {})
-    ids = [int(i) for i in inline.get("ids", [])]
-    columns, kinds = [list(range(len(ids))), ids], ["nth long", "segment_id decimal(20,0)"]
-    for p in inline.get("properties", []):
-        kind = {"number": "double", "tags": "array<int>"}.get(p["type"], "string")
-        columns.append([float(v) for v in p["values"]] if kind == "double" else p["values"])
-        kinds.append(f"`{p['id']}` {kind}")
-    from decimal import Decimal
-
-    columns[1] = [Decimal(i) for i in ids]
-    return spark.createDataFrame(list(zip(*columns, strict=True)), ", ".join(kinds))
-
-
 def attach_properties(objects: DataFrame, properties: DataFrame) -> DataFrame:
     """Objects with their segment's properties: numbers 0 and texts empty where missing;
     properties of unknown segments are left out."""
-    out = objects.join(properties.drop("nth"), "segment_id", "left")
+    out = objects.join(properties, "segment_id", "left")
     rules = {"double": F.lit(0.0), "string": F.lit("")}
     for f in properties.schema:
         kind = f.dataType.simpleString()
-        if f.name not in ("nth", "segment_id") and kind in rules:
+        if f.name != "segment_id" and kind in rules:
             out = out.withColumn(f.name, F.coalesce(f.name, rules[kind]))
     return out
 

@@ -147,6 +147,18 @@ def write_parents(parents: DataFrame, vertices: DataFrame, path: str, level: int
     write_links(links, vertices, path, level, shape, "level_parents")
 
 
+def write_objects(objects: DataFrame, path: str) -> None:
+    """The table of a store's objects (object_id, manifest, properties), sorted by object."""
+    folder = f"objects/{uuid.uuid4().hex}"
+    objects.repartitionByRange(range_parts(objects), "object_id").sortWithinPartitions("object_id").write.parquet(f"{path}/{folder}")
+    _commit(objects.sparkSession, path, -1, "objects", folder, None, objects.columns, {})
+
+
+def read_objects(spark: SparkSession, path: str, object_ids=None) -> DataFrame:
+    out = spark.read.parquet(_folder(spark, path, -1, "objects"))
+    return out if object_ids is None else filters.by_ids(out, "object_id", object_ids)
+
+
 def write_lines(lines: DataFrame, path: str, level: int, shape: tuple) -> None:
     """line_id, x0..z1 and attributes, clustered by the chunk of the first end."""
     placed = lines.withColumnsRenamed({f"{a}0": a for a in "xyz"})
