@@ -8,9 +8,9 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terravane.operators import pyramid
+from terravane.operators import enrich, pyramid
 from terravane.plans.numbering import number_rows
-from terravane.sources import binary, formats, precomputed, store
+from terravane.sources import binary, formats, precomputed, ranged, store
 
 #: Format by file ending; others (lines, edgelist) need --format.
 ENDINGS = {
@@ -54,42 +54,53 @@ def _mesh(vertices: DataFrame, faces: DataFrame) -> tuple[DataFrame, DataFrame]:
     return _single(named.drop("own", "file")), faces.withColumnsRenamed({f"n{k}": f"v{k}" for k in range(3)})
 
 
-def convert(spark: SparkSession, kind: str, path: str, to: str, shape: tuple, nodes: str | None = None) -> None:
-    """One file or folder of a format to level 0 of a store, with its edges, faces or parents."""
-    if kind == "points":
-        store.write_level(_single(formats.read_csv_points(spark, path, auto=True)), to, 0, shape)
-    elif kind in ("las", "ply"):
-        rows = binary.read_las(spark, path) if kind == "las" else formats.read_ply(spark, path)
-        rows = _numbered(rows.withColumnRenamed("vertex_id", "own"), ["file", "own"]).drop("own", "file")
-        store.write_level(_single(rows), to, 0, shape)
+def convert(
+    spark: SparkSession, kind: str, path: str, to: str, shape: tuple, nodes: str | None = None, added: bool = False, object_column: str | None = None, knn: int = 0, length_range: tuple | None = None
+) -> None:
+    """One file or folder of a format to level 0 of a store, with its edges, faces or parents.
+    With ``added`` also what ``operators.enrich`` works out: columns of trees and graphs,
+    and the table of objects of points and paths."""
+    if kind == "points" or kind in ("las", "ply"):
+        if kind == "points":
+            rows = formats.read_csv_points(spark, path, auto=True, object_column=object_column)
+        else:
+            rows = ranged.read_las_parts(spark, path) if kind == "las" else formats.read_ply(spark, path)
+            rows = _numbered(rows.withColumnRenamed("vertex_id", "own"), ["file", "own"]).drop("own", "file")
+        rows = rows.withColumn("seq", F.col("vertex_id")) if "object_id" in rows.columns else _single(rows)
+        rows = enrich.points(rows, knn, min(shape)) if knn else rows
+        store.write_level(rows, to, 0, shape)
+        if added:
+            store.write_objects(enrich.objects(rows), to)
     elif kind in ("trk", "tck", "trx"):
-        rows = binary.read_trx(spark, path)[0] if kind == "trx" else (formats.read_trk if kind == "trk" else formats.read_tck)(spark, path)
-        rows = rows.select("file", "object_id", "seq", "x", "y", "z")
+        if kind == "trk":
+            rows = ranged.read_tracks(spark, path, attributes=True)
+        else:
+            rows = binary.read_trx(spark, path)[0] if kind == "trx" else formats.read_tck(spark, path)
         objects = number_rows(rows.select("file", F.col("object_id").alias("own")).distinct(), ["file", "own"], "object_id")
-        rows = rows.withColumnRenamed("object_id", "own").join(objects, ["file", "own"]).drop("own", "file")
-        store.write_level(_numbered(rows, ["object_id", "seq"]), to, 0, shape)
+        rows = _numbered(rows.withColumnRenamed("object_id", "own").join(objects, ["file", "own"]).drop("own", "file"), ["object_id", "seq"])
+        if length_range:
+            rows = enrich.within_length(rows, *length_range)
+        store.write_level(rows, to, 0, shape)
+        if added:
+            store.write_objects(enrich.path_objects(rows), to)
     elif kind == "swc":
         rows = number_rows(formats.read_swc(spark, path), ["file", "node"], "vertex_id")
         up = rows.select("file", F.col("node").alias("parent"), F.col("vertex_id").alias("up"))
-        trees = rows.join(up, ["file", "parent"], "left").withColumn("parent", F.coalesce("up", F.lit(-1))).drop("up", "node")
+        trees = rows.withColumnRenamed("kind", "type").join(up, ["file", "parent"], "left").withColumn("parent", F.coalesce("up", F.lit(-1))).drop("up", "node")
         files = number_rows(trees.select("file").distinct(), ["file"], "object_id")
-        store.write_tree(trees.join(files, "file").drop("file").withColumn("seq", F.col("vertex_id")), to, 0, shape)
+        trees = trees.join(files, "file").drop("file").withColumn("seq", F.col("vertex_id"))
+        store.write_tree(enrich.tree(trees) if added else trees, to, 0, shape)
     elif kind in ("obj", "stl"):
         store.write_mesh(*_mesh(*(formats.read_obj if kind == "obj" else formats.read_stl)(spark, path)), to, 0, shape)
     elif kind == "lines":
         store.write_lines(formats.read_lines_csv(spark, path).withColumn("vertex_id", F.col("line_id")), to, 0, shape)
-    elif kind == "edgelist":
-        if nodes is None:
+    elif kind in ("edgelist", "graphml"):
+        if kind == "edgelist" and nodes is None:
             raise SystemExit("--format edgelist needs --nodes")
-        vertices, edges = formats.read_edge_list(spark, path, nodes)
+        vertices, edges = formats.read_edge_list(spark, path, nodes) if kind == "edgelist" else formats.read_graphml_typed(spark, path)
         at = {a: F.col(a).cast("double") if a in vertices.columns else F.lit(0.0) for a in "xyz"}
-        store.write_graph(_single(vertices.withColumns(at)), edges, to, 0, shape)
-    elif kind == "graphml":
-        vertices, edges = formats.read_graphml(spark, path)
-        placed = number_rows(vertices, ["id"], "vertex_id").withColumns({a: F.coalesce(F.col("data")[a].cast("double"), F.lit(0.0)) for a in "xyz"})
-        for name, end in (("source", "v0"), ("target", "v1")):
-            edges = edges.join(placed.select(F.col("id").alias(name), F.col("vertex_id").alias(end)), name)
-        store.write_graph(_single(placed), edges, to, 0, shape)
+        vertices = _single(vertices.withColumns(at))
+        store.write_graph(enrich.network(vertices, edges) if added else vertices, edges, to, 0, shape)
     else:
         raise SystemExit(f"unknown format {kind!r}; known are {', '.join(FORMATS)}")
 
@@ -118,6 +129,8 @@ def main(args: list[str] | None = None) -> int:
     c = sub.add_parser("convert", help="file to level 0 of a store, and coarser levels if a bin shape is given")
     c.add_argument("input"), c.add_argument("store"), c.add_argument("--format", choices=FORMATS), c.add_argument("--chunk-shape", type=numbers, required=True)
     c.add_argument("--nodes", help="the nodes of an edge list"), c.add_argument("--overwrite", action="store_true")
+    c.add_argument("--enrich", action="store_true", help="columns of trees and graphs, and a table of objects"), c.add_argument("--object-column"), c.add_argument("--knn", type=int, default=0)
+    c.add_argument("--length-range", type=numbers, help="least and largest length of paths")
     _pyramid_flags(c, False)
     p = sub.add_parser("pyramid", help="coarser levels of a store")
     p.add_argument("store")
@@ -138,7 +151,7 @@ def main(args: list[str] | None = None) -> int:
         kind = a.format or ENDINGS.get(a.input[a.input.rfind(".") :].lower())
         if store.has_level(spark, a.store, 0) and not a.overwrite:
             raise SystemExit(f"{a.store} exists; --overwrite replaces it")
-        convert(spark, kind, a.input, a.store, a.chunk_shape, a.nodes)
+        convert(spark, kind, a.input, a.store, a.chunk_shape, a.nodes, a.enrich, a.object_column, a.knn, a.length_range)
         print(f"{a.store}: {store.read_points(spark, a.store, 0).count()} rows at level 0")
     if a.command == "pyramid" or (a.command == "convert" and a.bin_shape):
         factors = build_factors(a.bin_factors, a.object_factors) or [(2.0, 1.0)]

@@ -28,8 +28,8 @@ def top(objects: DataFrame, column: str, k: int, largest: bool = True, heap: int
 
 
 def sample(objects: DataFrame, k: int, seed: int = 0, heap: int = HEAP) -> DataFrame:
-    """k objects drawn by a seeded hash of their ids."""
-    return first(objects, [F.xxhash64("object_id", F.lit(seed)).asc(), F.asc("object_id")], k, heap)
+    """k objects drawn by a seeded hash of their ids: the least MD5 digests of ``seed:id``."""
+    return first(objects, [F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("object_id").cast("string"))).asc(), F.asc("object_id")], k, heap)
 
 
 def thin(points: DataFrame, shape: tuple, id_col: str = "vertex_id", seed: int | None = None) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from terravane.operators import binning, graph, pruning, trees
+from terravane.operators import binning, enrich, graph, pruning, trees
 from terravane.plans import fixtures as fx
 
 QUERIES, ORACLES = {}, {}
@@ -223,6 +223,15 @@ def graph_filter_bbox(spark, sf):
     return graph.within_bbox(points, fx.edges(spark, sf), (20, 3, 0), (900, 20, 0))[1].select("edge_id", "v0", "v1", "weight")
 
 
+@query(f"""WITH RECURSIVE {E}, {CC}, s AS (SELECT DISTINCT a, b FROM ee), d AS (SELECT a, count(*) AS k FROM s GROUP BY a),
+t AS (SELECT x.a, count(*) AS t FROM s x JOIN s y ON y.a = x.b JOIN s z ON z.a = y.b AND z.b = x.a WHERE x.b < y.b GROUP BY x.a)
+SELECT c_custkey AS vertex_id, coalesce(k, 0) AS degree, coalesce(l, c_custkey) AS component, CASE WHEN k > 1 THEN 2.0 * CAST(coalesce(t, 0) AS DOUBLE) / CAST(k * (k - 1) AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS clustering
+FROM customer LEFT JOIN d ON d.a = c_custkey LEFT JOIN t ON t.a = c_custkey LEFT JOIN r ON v = c_custkey""")
+def graph_enriched(spark, sf):
+    """Customers with the columns that a graph's ingest adds."""
+    return enrich.network(fx.customers(spark, sf), fx.edges(spark, sf))
+
+
 # -- trees -----------------------------------------------------------------------
 
 DEPTH = "dd(v, d) AS (SELECT vertex_id, CAST(0 AS BIGINT) FROM t WHERE parent < 0 UNION ALL SELECT t.vertex_id, d + 1 FROM dd JOIN t ON t.parent = dd.v)"

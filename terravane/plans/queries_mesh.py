@@ -163,12 +163,12 @@ def _closest() -> str:
         )
     far = "+".join(f"(p{a}-{q[a]})*(p{a}-{q[a]})" for a in "xyz")
     return f"""WITH {fx.M}, h AS (SELECT *, {head} FROM fc), g AS (SELECT *, d1*d4-d3*d2 AS vc, d5*d2-d1*d6 AS vb, d3*d6-d5*d4 AS va FROM h),
-    p AS (SELECT face_id, {', '.join(point)} FROM g) SELECT round(sqrt({far}), 6) AS distance, round(px, 6) AS px, round(py, 6) AS py, round(pz, 6) AS pz FROM p ORDER BY {far}, face_id LIMIT 1"""
+    p AS (SELECT face_id, {', '.join(point)} FROM g) SELECT face_id, round(sqrt({far}), 6) AS distance, round(px, 6) AS px, round(py, 6) AS py, round(pz, 6) AS pz FROM p ORDER BY {far}, face_id LIMIT 1"""
 
 
 @query(_closest())
 def mesh_closest_point(spark, sf):
-    return rounded(mesh.closest_point(*fx.mesh(spark, sf), Q), "distance", "px", "py", "pz").drop("face_id")
+    return rounded(mesh.closest_point(*fx.mesh(spark, sf), Q), "distance", "px", "py", "pz")
 
 
 @query(f"""WITH {fx.M}, d AS (SELECT face_id, v0, nx, ny, nz, x0, y0, z0, x1, y1, z1, x2, y2, z2, -(nx * 0 + ny * 0 + nz * -1.0::DOUBLE) AS det FROM fc),

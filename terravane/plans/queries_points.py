@@ -164,13 +164,10 @@ def select_sparsity_length(spark, sf):
     return selection.apply_sparsity(_objects(spark, sf), 0.3, "length", "length")
 
 
-@query(f"WITH {O} SELECT least(count(*), greatest(1, CAST(round_even(count(*) * 0.25, 0) AS BIGINT))) AS kept, CAST(0 AS BIGINT) AS unknown FROM o")
+@query(f"WITH {O} SELECT object_id FROM o ORDER BY md5('5:' || object_id), object_id LIMIT (SELECT least(count(*), greatest(1, CAST(round_even(count(*) * 0.25, 0) AS BIGINT))) FROM o)")
 def select_random(spark, sf):
-    """The draw itself is a hash order; what is fixed is how many stay, and that they are objects."""
-    objects = _objects(spark, sf)
-    kept = selection.apply_sparsity(objects, 0.25, "random", seed=5)
-    known = kept.join(objects.select("object_id", F.lit(True).alias("known")), "object_id", "left")
-    return known.agg(F.countDistinct("object_id").alias("kept"), F.sum(F.col("known").isNull().cast("long")).alias("unknown"))
+    """A quarter of the objects, drawn by the least digests of seed and id."""
+    return selection.apply_sparsity(_objects(spark, sf), 0.25, "random", seed=5).select("object_id")
 
 
 COVER = """WITH {c}, p0 AS (SELECT c_custkey AS object_id, CAST(floor(c_nationkey / 2.0) AS BIGINT) AS gx, CAST(floor(round(c_acctbal * 100) / 300000.0) AS BIGINT) AS gy FROM customer),

@@ -43,8 +43,9 @@ def in_line_order(raw: DataFrame, name: str = "__line") -> DataFrame:
     return raw.select("*", place.alias(name))
 
 
-def read_csv_points(spark: SparkSession, path: str, ndim: int = 3, delimiter: str = ",", header: bool = True, positions: list[str] | None = None, attributes: list[str] | None = None, auto: bool = False, drop_na: bool = False, drop_duplicates: bool = False, normalise: bool = False) -> DataFrame:
-    """vertex_id, x, y[, z] and float attributes; ids follow the order of lines.
+def read_csv_points(spark: SparkSession, path: str, ndim: int = 3, delimiter: str = ",", header: bool = True, positions: list[str] | None = None, attributes: list[str] | None = None, auto: bool = False, object_column: str | None = None, drop_na: bool = False, drop_duplicates: bool = False, normalise: bool = False) -> DataFrame:
+    """vertex_id, x, y[, z] and float attributes; ids follow the order of lines.  With an
+    ``object_column`` also object_id, its value as a whole number.
     ``filters.normalise`` of the result gives the offset and scale that ``normalise`` applies."""
     raw = spark.read.csv(path, sep=delimiter, header=header)
     if not header:
@@ -53,10 +54,11 @@ def read_csv_points(spark: SparkSession, path: str, ndim: int = 3, delimiter: st
         positions, found = detect_columns(raw.columns, ndim)
         attributes = attributes or found
     positions = positions or raw.columns[:ndim]
-    attributes = attributes if attributes is not None else [c for c in raw.columns if c not in positions]
+    attributes = attributes if attributes is not None else [c for c in raw.columns if c not in positions and c != object_column]
     axes = "xyz"[:ndim]
     rows = in_line_order(raw).select(
-        "__line", *[F.col(f"`{c}`").cast("double").alias(a) for c, a in zip(positions, axes, strict=True)], *[F.col(f"`{c}`").cast("float").alias(c) for c in attributes]
+        "__line", *[F.col(f"`{c}`").cast("double").alias(a) for c, a in zip(positions, axes, strict=True)], *[F.col(f"`{c}`").cast("float").alias(c) for c in attributes],
+        *([F.col(f"`{object_column}`").cast("long").alias("object_id")] if object_column else []),
     )
     if drop_na:
         rows = filters.drop_na(rows, axes)
@@ -311,6 +313,30 @@ def read_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return tuple(out)
 
 
+def read_graphml_typed(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes: vertex_id, id, ...; edges: edge_id, v0, v1, ...) with a column for each key the
+    file declares: whole numbers long, other numbers double, the rest text.  A value that
+    is missing is 0, false or empty; edges with an unknown end are dropped."""
+    declared = spark.read.schema("`_id` string, `_for` string, `_attr.name` string, `_attr.type` string").option("rowTag", "key").xml(path)
+    keys = declared.distinct().orderBy("_id").collect()  # a row for each declaration
+    kinds = {"int": ("long", 0), "long": ("long", 0), "float": ("double", 0.0), "double": ("double", 0.0), "boolean": ("boolean", False)}
+
+    def columns(of: str) -> list:
+        out = []
+        for k in keys:
+            if k["_for"] in (of, "all", None):
+                kind, missing = kinds.get(k["_attr.type"], ("string", ""))
+                out.append(F.coalesce(F.col("data")[k["_id"]].try_cast(kind), F.lit(missing)).alias(k["_attr.name"] or k["_id"]))
+        return out
+
+    n, e = read_graphml(spark, path)
+    nodes = number_rows(n.select("id", *columns("node")), ["id"], "vertex_id")
+    edges = e.select("source", "target", *columns("edge"))
+    for name, end in (("source", "v0"), ("target", "v1")):
+        edges = edges.join(nodes.select(F.col("id").alias(name), F.col("vertex_id").alias(end)), name)
+    return nodes, number_rows(edges.drop("source", "target"), ["v0", "v1", *[c for c in edges.columns if c not in ("source", "target", "v0", "v1")]], "edge_id")
+
+
 # -- writing ---------------------------------------------------------------------
 
 
