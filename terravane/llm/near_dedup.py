@@ -197,7 +197,7 @@ def _least_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _lookup(low: int, high: int, most: int = 2_000_000):
+def _lookup(low: int, high: int):
     """Kernel for one (hub, block, block): links between members not linked with
     the hub (side y) and all members (side x), reduced to a spanning set."""
 
@@ -279,6 +279,7 @@ def _grouped(
     rows: int = 6,
     bands: int = 32,
     block_members: int = 1024,
+    block_elements: int = 1 << 23,
 ) -> DataFrame:
     """The columns of ``near_duplicates``, and group: the least node of the row's group (null without words)."""
     low, high = 100 - percent, 100 + percent
@@ -314,13 +315,22 @@ def _grouped(
     apart = placed.where("component <> of_hub").groupBy("hub").agg(F.count(F.lit(1)).alias("loose"))
     here = placed.join(apart.select("hub"), "hub", "left_semi")
     left = runtime.materialize(here.join(_live(here, low, high), ["hub", "node"], "left_semi"), "near-left", "none")
-    # of those, members outside the hub's component against all others, block by block;
+    # of those, members outside the hub's component against all others, block by block, a block
+    # being bounded by its members and by the elements of their differences together;
     # the counts are a table of their own, so that the join with them can be split where a hub is large
     counts = (
         left.groupBy("hub")
-        .agg(F.count(F.lit(1)).alias("all"), F.sum((F.col("component") != F.col("of_hub")).cast("long")).alias("loose"))
+        .agg(
+            F.count(F.lit(1)).alias("all"),
+            F.sum((F.col("component") != F.col("of_hub")).cast("long")).alias("loose"),
+            F.sum(F.size("apart").cast("long")).alias("size_all"),
+            F.sum(F.when(F.col("component") != F.col("of_hub"), F.size("apart").cast("long")).otherwise(0)).alias("size_loose"),
+        )
         .where("loose > 0 AND all > 1")
-        .select("hub", F.ceil(F.col("all") / block_members).alias("nx"), F.ceil(F.col("loose") / block_members).alias("ny"))
+        .select(
+            "hub",
+            *[F.greatest(F.ceil(F.col(n) / block_members), F.ceil(F.col(f"size_{n}") / block_elements)).alias(b) for n, b in (("all", "nx"), ("loose", "ny"))],
+        )
     )
     groups = runtime.materialize(counts, "near-groups", "none")
     some = left.join(groups, "hub").select("hub", "node", "n", "apart", "nx", "ny", F.expr("component <> of_hub").alias("loose"), F.xxhash64("node").alias("h"))

@@ -129,8 +129,8 @@ def edited(draw, words, n):
     return " ".join(words)
 
 
-@pytest.mark.parametrize("block_members", [20_000, 7])
-def test_near_duplicates(spark, odd_texts, block_members):
+@pytest.mark.parametrize("blocks", [{}, {"block_members": 7}, {"block_elements": 40}])
+def test_near_duplicates(spark, odd_texts, blocks):
     draw = random.Random(4)
     base = [f"b{draw.randrange(300)}" for _ in range(150)]
     other = [f"c{draw.randrange(300)}" for _ in range(60)]
@@ -141,7 +141,7 @@ def test_near_duplicates(spark, odd_texts, block_members):
         texts.append(" ".join(chain[: 200 - 12 * k]))
     docs = [(i * 7 % 500, t) for i, t in enumerate(texts)] + [(None, texts[30]), (None, "only null ids in this one group here"), (3, texts[40]), (3, texts[40])]
     rows = spark.createDataFrame(docs, "doc_id long, text string").withColumn("kept", F.lit("clash"))
-    got = near_dedup.near_duplicates(rows, block_members=block_members)
+    got = near_dedup.near_duplicates(rows, **blocks)
     want = Counter((k, *g, k == g[1]) for (k, _), g in zip(docs, groups(docs)))
     assert Counter((r.id, r.n_shingles, r.component_id, r.kept) for r in got.collect()) == want
 
