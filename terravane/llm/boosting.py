@@ -69,6 +69,36 @@ def predict(trees: list[Node], x, rate: float = 0.3) -> np.ndarray:
     return rate * sum(_value(t, np.asarray(x, float)) for t in trees)
 
 
+def isotonic(score, y) -> tuple[np.ndarray, np.ndarray]:
+    """(scores, probabilities), both ascending: the ends of the blocks of the nondecreasing step
+    function of the score that is nearest to y (neighbouring blocks in the wrong order
+    are pooled); between two blocks the probability runs straight."""
+    at, inverse = np.unique(np.asarray(score, float), return_inverse=True)
+    blocks: list[list[float]] = []  # least and largest score, sum of y, rows
+    for s, total, n in zip(at, np.bincount(inverse, np.asarray(y, float)), np.bincount(inverse), strict=True):
+        blocks.append([s, s, total, n])
+        while len(blocks) > 1 and blocks[-2][2] * blocks[-1][3] >= blocks[-1][2] * blocks[-2][3]:
+            _, most, total, n = blocks.pop()
+            blocks[-1] = [blocks[-1][0], most, blocks[-1][2] + total, blocks[-1][3] + n]
+    return np.array([b[k] for b in blocks for k in (0, 1)]), np.array([b[2] / b[3] for b in blocks for _ in (0, 1)])
+
+
+def score_at(probability: float, scores: np.ndarray, likely: np.ndarray) -> float:
+    """The least score with at least that calibrated probability; infinite if there is none.
+    Where no block lies below it, samples do not say where to cut, and the score's own
+    odds do."""
+    good = np.flatnonzero(likely >= probability)
+    if not len(good):
+        return float("inf")
+    k = good[0]
+    if k == 0:
+        return min(float(scores[0]), float(np.log(probability / (1 - probability))) if 0 < probability < 1 else float("inf"))
+    if likely[k] == likely[k - 1]:
+        return float(scores[k])
+    share = (probability - likely[k - 1]) / (likely[k] - likely[k - 1])
+    return float(scores[k - 1] + share * (scores[k] - scores[k - 1]))
+
+
 def to_sql(trees: list[Node], features: list[str], rate: float = 0.3) -> str:
     """The summed trees as one SQL expression over feature expressions."""
 

@@ -5,7 +5,7 @@ spans, which always stay.  High-recall generators propose further candidates, wh
 overlap each other and the base: maximal runs of digits with separators, phone-like
 pieces and other number formats inside such runs, account numbers, dates, names after
 a title, streets, and addresses written around an ``at``.  Boosted trees over format
-and context features score each candidate, and a threshold calibrated on held-out
+and context features score each candidate, and thresholds calibrated on held-out
 samples selects those that are added under their generator's name.  A candidate
 inside another accepted one, or inside a base span, is left out; accepted ones that
 overlap in part both stay.
@@ -179,19 +179,27 @@ def labelled_samples(count: int = 4000, seed: int = 5) -> list[tuple[int, str, s
 
 
 @lru_cache
-def trained(precision: float = 0.99) -> tuple[str, float]:
-    """The trees as SQL, and the lowest threshold that keeps ``precision`` on the
-    held-out third of the samples."""
+def model(probability: float = 0.5) -> tuple[list[boosting.Node], list[float]]:
+    """The trees, and for each generator the least score whose calibrated probability is
+    ``probability`` or more (infinite where there is none).  Scores are calibrated
+    generator by generator, by isotonic regression on the held-out third of the samples."""
     made = labelled_samples()
     x, y = np.array([features_of(*m[:3]) for m in made]), np.array([m[3] for m in made])
     held = np.arange(len(y)) % 3 == 0
     trees = boosting.fit(x[~held], y[~held], rounds=40, depth=4)
     score = boosting.predict(trees, x[held])
-    order = np.argsort(-score, kind="stable")
-    right = np.cumsum(y[held][order]) / np.arange(1, held.sum() + 1)
-    good = np.flatnonzero(right >= precision)
-    least = float(score[order][good[-1]]) if len(good) else float("inf")
-    return boosting.to_sql(trees, [f"get(x.f, {i})" for i in range(1 + len(FEATURES))]), max(least, 0.0)
+    thresholds = []
+    for g in range(len(GENERATORS)):
+        own = x[held][:, 0] == g
+        thresholds.append(boosting.score_at(probability, *boosting.isotonic(score[own], y[held][own])))
+    return trees, thresholds
+
+
+def trained() -> tuple[str, str]:
+    """The trees as SQL over ``x.f``, and the threshold of a candidate's generator."""
+    trees, thresholds = model()
+    least = ", ".join("cast('Infinity' AS double)" if t == float("inf") else f"{t!r}D" for t in thresholds)
+    return boosting.to_sql(trees, [f"get(x.f, {i})" for i in range(1 + len(FEATURES))]), f"get(array({least}), cast(get(x.f, 0) AS int))"
 
 
 def find_personal_data(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -208,7 +216,7 @@ def find_personal_data(docs: DataFrame, text_col: str = "text") -> DataFrame:
     # all candidates of a text in one array, so that the trees stand in the plan once
     listed = [f"transform(__k{first + g}, x -> struct(x.s AS s, {first + g} AS k, x.e AS e, array({g}, {values}) AS f))" for g in range(len(GENERATORS))]
     base = spans.selectExpr("*", f"{labelled(names[:first])} AS __base", f"concat({', '.join(listed)}) AS __made")
-    judged = base.selectExpr("*", f"transform(filter(__made, x -> {score} >= {least!r}D), x -> struct(x.s AS s, x.k AS k, x.e AS e)) AS __good")
+    judged = base.selectExpr("*", f"transform(filter(__made, x -> {score} >= {least}), x -> struct(x.s AS s, x.k AS k, x.e AS e)) AS __good")
     both = with_uncovered(judged, "concat(__base, __good)", first, "__all")
     return both.selectExpr(
         "__row.*",

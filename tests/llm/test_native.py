@@ -189,6 +189,7 @@ def test_personal_spans_of_fresh_sentences(spark):
     operator's spans against the generators and trees in Python."""
     fresh = pii.sentences(400, seed=77)
     docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(fresh)], "i int, text string")
+    trees, thresholds = pii.model()
     caught = planted = wrong = added = 0
     for r in pii.find_personal_data(docs).collect():
         text, spans = fresh[r.i]
@@ -196,7 +197,11 @@ def test_personal_spans_of_fresh_sentences(spark):
         planted, caught = planted + len(spans), caught + sum(any(a <= s and e <= b for a, b in found) for s, e in spans)
         own = [(x.s, x.e) for x in r.found if x.k >= len(pii.BASE)]
         added, wrong = added + len(own), wrong + sum(x not in spans for x in own)
-        assert set(own) <= {(a, b) for _, a, b, _ in pii.proposed(text)}
+        # the trees and thresholds in Python: what they take is added, or lies within what is
+        listed = pii.proposed(text)
+        score = boosting.predict(trees, [pii.features_of(k, text[a:b], left) for k, a, b, left in listed]) if listed else []
+        good = {(a, b) for (k, a, b, _), s in zip(listed, score, strict=True) if s >= thresholds[k]}
+        assert set(own) <= good and all(any(a <= s and e <= b for a, b in found) for s, e in good)
     assert caught >= 0.97 * planted and wrong <= 0.03 * added
 
 
@@ -226,6 +231,16 @@ def test_features_agree(spark):
         assert [made[r.i][0], *r.f] == pii.features_of(*made[r.i][:3]), made[r.i]
 
 
+def test_isotonic_calibration():
+    at, likely = boosting.isotonic([1, 2, 3, 4, 5, 5, 6], [0, 1, 0, 1, 1, 0, 1])
+    assert at.tolist() == [1, 1, 2, 3, 4, 5, 6, 6] and likely.tolist() == [0, 0, 0.5, 0.5, pytest.approx(2 / 3), pytest.approx(2 / 3), 1, 1]
+    assert [boosting.score_at(p, at, likely) for p in (0, 0.25, 0.5, 1)] == [1, 1.5, 2, 6]
+    assert boosting.score_at(0.5, *boosting.isotonic([4, 7], [1, 1])) == 0
+    at, likely = boosting.isotonic([3, 1], [0, 1])
+    assert at.tolist() == [1, 3] and boosting.score_at(0.9, at, likely) == float("inf")
+    assert boosting.score_at(0.5, *boosting.isotonic([], [])) == float("inf")
+
+
 def test_boosting_learns_and_compiles(spark):
     x = [[a, b] for a in range(12) for b in range(12)]
     y = [int(a > 5 and b > 3) for a, b in x]
