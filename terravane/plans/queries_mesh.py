@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from terravane.operators import binning, filters, mesh, quadric
+from terravane.operators import binning, filters, mesh, quadric, mesh_search
 from terravane.plans import fixtures as fx
 
 QUERIES, ORACLES = {}, {}
@@ -177,3 +177,17 @@ h AS (SELECT face_id, -c2 / nz AS u, c1 / nz AS w, 500 - (z0 - (nx*(7.3::DOUBLE-
 SELECT face_id, round(t, 6) AS t, 7.3::DOUBLE AS px, 9.4::DOUBLE AS py, round(500 - t, 6) AS pz FROM h WHERE u >= 0 AND w >= 0 AND u + w <= 1 AND t > 1e-7 ORDER BY t, face_id LIMIT 1""")
 def mesh_cast_ray(spark, sf):
     return rounded(mesh.cast_ray(*fx.mesh(spark, sf), (7.3, 9.4, 500.0), (0.0, 0.0, -2.0)), "t", "px", "py", "pz")
+
+
+@query(f"""WITH {fx.M}, r AS (SELECT p_partkey AS ray_id, p_partkey // 45 + 0.3::DOUBLE AS ox, p_partkey % 45 + 0.4::DOUBLE AS oy FROM part WHERE p_partkey % 5 = 2),
+c AS (SELECT ray_id, ox, oy, face_id, ((x2-x0)*(oy-y0)-(y2-y0)*(ox-x0)) AS c2, ((x1-x0)*(oy-y0)-(y1-y0)*(ox-x0)) AS c1, nx, ny, nz, x0, y0, z0
+      FROM r JOIN fc ON nz <> 0 AND ox BETWEEN least(x0, x1, x2) AND greatest(x0, x1, x2) AND oy BETWEEN least(y0, y1, y2) AND greatest(y0, y1, y2)),
+h AS (SELECT ray_id, face_id, ox, oy, -c2 / nz AS u, c1 / nz AS w, 500 - (z0 - (nx*(ox-x0)+ny*(oy-y0)) / nz) AS t FROM c),
+b AS (SELECT ray_id, min(struct_pack(t := t, face_id := face_id)) AS b, any_value(ox) AS ox, any_value(oy) AS oy FROM h WHERE u >= 0 AND w >= 0 AND u + w <= 1 AND t > 1e-7 GROUP BY ray_id)
+SELECT ray_id, b.face_id AS face_id, round(b.t, 6) AS t, round(ox, 6) AS px, round(oy, 6) AS py, round(500 - b.t, 6) AS pz FROM b""")
+def mesh_cast_rays(spark, sf):
+    """A ray downwards for every fifth part; some pass beside the mesh."""
+    rays = fx.table(spark, sf, "part").where("p_partkey % 5 = 2").selectExpr(
+        "p_partkey AS ray_id", "p_partkey div 45 + 0.3D AS ox", "p_partkey % 45 + 0.4D AS oy", "500D AS oz", "0D AS dx", "0D AS dy", "-2D AS dz"
+    )
+    return rounded(mesh_search.cast_rays(*fx.mesh(spark, sf), rays, 8.0), "t", "px", "py", "pz")
