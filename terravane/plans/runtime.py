@@ -8,6 +8,7 @@ only costs the recomputation of its own tasks.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -16,6 +17,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BROADCAST = "spark.sql.autoBroadcastJoinThreshold"
+#: Bytes of a table's files up to which a round may broadcast it.  Files of ids are several
+#: times smaller than their rows, and a broadcast passes through the driver.
+BROADCAST_BYTES = 1 << 20
 _written: list[str] = []
 
 
@@ -30,18 +35,27 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def _bytes(text: str) -> int:
+    """A size as Spark's settings write it: 10485760b, 256k, 10MB, -1."""
+    number, unit = re.fullmatch(r"(-?\d+)\s*([a-z]*)", text.strip().lower()).groups()
+    return int(number) << {"": 0, "b": 0, "k": 10, "m": 20, "g": 30, "t": 40, "p": 50}[unit[:1]]
+
+
 @contextmanager
-def _drop_shuffles(spark: SparkSession):
-    """Shuffle files of the enclosed writes go when each write has ended."""
-    before = spark.conf.get(_CLEANUP, None)
+def _round_settings(spark: SparkSession):
+    """Shuffle files of the enclosed writes go when each write has ended, and their joins
+    broadcast tables of at most ``BROADCAST_BYTES``."""
+    before = {name: spark.conf.get(name, None) for name in (_CLEANUP, _BROADCAST)}
     try:
         spark.conf.set(_CLEANUP, "true")
+        spark.conf.set(_BROADCAST, str(min(BROADCAST_BYTES, _bytes(before[_BROADCAST] or "10m"))))
         yield
     finally:
-        if before is None:
-            spark.conf.unset(_CLEANUP)
-        else:
-            spark.conf.set(_CLEANUP, before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
 
 
 def materialize(df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
@@ -51,7 +65,7 @@ def materialize(df: DataFrame, label: str, compression: str | None = None) -> Da
     not get smaller, and codecs hold buffers outside the heap for each file."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{label}-{uuid.uuid4().hex}"
-    with _drop_shuffles(spark):
+    with _round_settings(spark):
         df.write.parquet(path, compression=compression)
     _written.append(path)
     table = spark.read.schema(df.schema).parquet(path)
