@@ -149,7 +149,8 @@ def _strahler_by_anchors(tree: DataFrame) -> DataFrame:
     done = runtime.materialize(_strahler_by_level(few), "strahler-done")
     inner = tree.join(fixed, "vertex_id", "left_anti")
     below = nearest_below(tree, fixed, inner).select("vertex_id", F.col("object_id").alias("low"))
-    return done.union(below.join(done.select(F.col("vertex_id").alias("low"), "strahler"), "low").select("vertex_id", "strahler"))
+    chained = below.join(done.select(F.col("vertex_id").alias("low"), "strahler"), "low").select("vertex_id", "strahler")
+    return done.union(runtime.materialize(chained, "strahler-chained"))
 
 
 def _strahler_by_level(tree: DataFrame) -> DataFrame:
