@@ -27,9 +27,10 @@ def split(df: DataFrame, key: str = "object_id", most: int = MOST) -> tuple[Data
     return df.join(large, same, "left_anti"), df.join(large, same, "left_semi")
 
 
-def solve(df: DataFrame, kernel: Callable[[pa.Table], pa.Table], schema: str, key: str = "object_id", gathered: int = GATHERED) -> DataFrame:
+def solve(df: DataFrame, kernel: Callable[[pa.Table], pa.Table], schema: str, key: str = "object_id", gathered: int = GATHERED, parts: int | None = None) -> DataFrame:
     """``kernel`` over tables of whole groups.  Rows come sorted by group; a task holds what it
-    has gathered, one batch and the group that the batch cuts."""
+    has gathered, one batch and the group that the batch cuts.  ``parts`` fixes how many tasks
+    share the groups, for kernels whose work is not in proportion to bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
@@ -48,4 +49,5 @@ def solve(df: DataFrame, kernel: Callable[[pa.Table], pa.Table], schema: str, ke
         if held:
             yield from kernel(pa.concat_tables(held).combine_chunks()).to_batches()
 
-    return df.repartition(key).sortWithinPartitions(key).mapInArrow(run, schema)
+    spread = df.repartition(key) if parts is None else df.repartition(parts, key)
+    return spread.sortWithinPartitions(key).mapInArrow(run, schema)

@@ -5,7 +5,7 @@ import tracemalloc
 import numpy as np
 from pyspark.sql import functions as F
 
-from terravane.operators import neighbours
+from terravane.operators import neighbours, quadric
 from terravane.plans import runtime
 
 
@@ -65,3 +65,30 @@ def test_nearest_vectors_by_tiles(spark):
             best[0][s], best[1][s] = neighbours._nearer(ids[s], points[s], np.arange(len(x))[t] + 5000, x[t], best[0][s], best[1][s])
     assert tracemalloc.get_traced_memory()[1] < 64e6
     tracemalloc.stop()
+
+
+def test_quadric_by_connected_parts_as_by_whole_objects(spark, monkeypatch):
+    """No task takes a whole object, and the collapses are those of a run over it."""
+    rng = np.random.default_rng(7)
+    v, f = [], []
+    for strip in range(4):  # strips of one object, apart from each other, in mixed order of ids
+        base = len(v)
+        v += [(i + 100.0 * strip, j, rng.normal() * (strip + 1)) for i in range(4) for j in range(6)]
+        f += [t for i in range(3) for j in range(5) for t in ((base + 6 * i + j, base + 6 * i + j + 6, base + 6 * i + j + 1), (base + 6 * i + j + 6, base + 6 * i + j + 7, base + 6 * i + j + 1))]
+    f.append((0, 0, 1))
+    order = rng.permutation(len(f))
+    v, f = np.array(v), np.array(f)[order]
+    vertices = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(v)], "vertex_id long, x double, y double, z double")
+    faces = spark.createDataFrame([(k, i, *map(int, t)) for k in (1, 2) for i, t in enumerate(f)], "object_id long, face_id long, v0 long, v1 long, v2 long")
+    held = []
+    kernel = quadric._groups
+    monkeypatch.setattr(quadric, "_groups", lambda rows, key: (held.append(len(g["face_id"])) or g for g in kernel(rows, key)))
+    for ratio in (0.5, 0.2):
+        w, left = quadric.collapse(v, f, round(len(f) * ratio))
+        want = [(n, k, int(c), *w[c]) for n, t in enumerate(left) for k, c in enumerate(t)]
+        got = quadric.simplify(vertices, faces, ratio).collect()
+        for o in (1, 2):
+            assert sorted((r.face, r.corner, r.vertex_id, r.x, r.y, r.z) for r in got if r.object_id == o) == want
+    parts = spark.createDataFrame([(1, 0, 0, 9, 0, 1, 2, *[float(x) for x in range(9)]), (2, 0, 1, 9, 3, 4, 5, *[float(x) for x in range(9)])], "component long, object_id long, face_id long, need long, v0 long, v1 long, v2 long, " + ", ".join(f"{c} double" for c in quadric.XYZ))
+    quadric._logged(parts.toArrow())
+    assert held == [1, 1]
