@@ -200,40 +200,51 @@ def louvain(edges: DataFrame, weight: str | None = None, max_levels: int = 10, s
     if not m2:
         return member
 
-    def quality(state: DataFrame) -> float:
-        q = links.join(state.select("a", F.col("c").alias("ca")), "a").join(state.select(F.col("a").alias("b"), F.col("c").alias("cb")), "b")
-        each = q.groupBy("ca").agg(F.sum("w").alias("k"), F.sum(F.when(F.col("ca") == F.col("cb"), F.col("w")).otherwise(0.0)).alias("i"))
+    def survey(state: DataFrame) -> DataFrame:
+        """a, c, k, pick (the community a vertex would move to), inside (weight of its links
+        into its own, loops apart) of a state (a, c, k): one pass over the level's links."""
+        placed = state.join(state.groupBy("c").agg(F.sum("k").alias("tot")), "c")
+        own = placed.select("a", F.col("c").alias("to"), "tot", "k", F.lit(0.0).alias("w"), F.lit(1).alias("own"))
+        into = apart.join(placed.select(F.col("a").alias("b"), F.col("c").alias("to"), "tot"), "b").select("a", "to", "tot", "k", "w", F.lit(0).alias("own"))
+        # once by vertex: both groupings and the choice stay in its task
+        offers = into.union(own).repartition("a").groupBy("a", "to").agg(F.sum("w").alias("k_in"), F.max("tot").alias("tot"), F.max("k").alias("k"), F.max("own").alias("own"))
+        others = F.col("tot") - F.when(F.col("own") == 1, F.col("k")).otherwise(0.0)
+        gain = F.col("k_in") - others * F.col("k") / m2
+        mine = lambda c: F.max(F.when(F.col("own") == 1, F.col(c)))
+        seen = offers.groupBy("a").agg(
+            mine("to").alias("c"), F.max("k").alias("k"), F.max_by("to", F.struct(gain, F.col("own"), -F.col("to"))).alias("pick"), mine("k_in").alias("inside")
+        )
+        return runtime.materialize(seen, "louvain-state")
+
+    def quality(seen: DataFrame) -> float:
+        each = seen.groupBy("c").agg(F.sum("k").alias("k"), F.sum("inside").alias("i"))
         r = each.agg(F.sum("i").alias("i"), F.sum(F.col("k") * F.col("k")).alias("s")).first()
-        return r["i"] / m2 - r["s"] / (m2 * m2)
+        return (r["i"] + loops) / m2 - r["s"] / (m2 * m2)
 
     for _ in range(max_levels):
         degree = runtime.materialize(links.groupBy("a").agg(F.sum("w").alias("k")), "louvain-degree")
-        state = runtime.materialize(degree.select("a", F.col("a").alias("c")), "louvain-state")
+        apart = runtime.materialize(links.where("a <> b").join(degree, "a"), "louvain-apart")
+        loops = links.where("a = b").agg(F.sum("w")).first()[0] or 0.0
+        state = survey(degree.select("a", F.col("a").alias("c"), "k"))
         before = best = quality(state)
         for sweep in range(sweeps):
-            total = state.join(degree, "a").groupBy("c").agg(F.sum("k").alias("tot"))
-            into = links.where("a <> b").join(state.select(F.col("a").alias("b"), F.col("c").alias("to")), "b").groupBy("a", "to").agg(F.sum("w").alias("k_in"))
-            own = state.select("a", F.col("c").alias("to"), F.lit(0.0).alias("k_in"))
-            offers = into.unionByName(own).groupBy("a", "to").agg(F.sum("k_in").alias("k_in"))
-            judged = offers.join(degree, "a").join(state, "a").join(total.withColumnRenamed("c", "to"), "to")
-            others = F.col("tot") - F.when(F.col("to") == F.col("c"), F.col("k")).otherwise(0.0)
-            gain = F.col("k_in") - others * F.col("k") / m2
-            pick = judged.withColumn("gain", gain).groupBy("a").agg(
-                F.max_by("to", F.struct(F.col("gain"), (F.col("to") == F.col("c")).cast("int"), -F.col("to"))).alias("to")
-            )
             turn = F.pmod(F.xxhash64("a", F.lit(sweep // 2)), F.lit(2)) == sweep % 2
-            after = state.join(pick, "a").select("a", F.when(turn, F.col("to")).otherwise(F.col("c")).alias("c"), F.col("c").alias("was"))
-            after = runtime.materialize(after, "louvain-state")
+            after = survey(state.select("a", F.when(turn, F.col("pick")).otherwise(F.col("c")).alias("c"), "k"))
             now = quality(after)
             if now > best + tolerance:
-                best, state = now, after.select("a", "c")
-            elif sweep % 2:
-                break
+                past, best, state = state, now, after
+                runtime.forget(past)
+            else:
+                runtime.forget(after)
+                if sweep % 2:
+                    break
         if best - before < tolerance:
             break
+        past = member, links, apart, degree, state
         member = runtime.materialize(member.join(state.select(F.col("a").alias("label"), "c"), "label").select("vertex_id", F.col("c").alias("label")), "louvain")
         moved = links.join(state.select("a", F.col("c").alias("ca")), "a").join(state.select(F.col("a").alias("b"), F.col("c").alias("cb")), "b")
         links = runtime.materialize(moved.groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("w").alias("w")), "louvain-links")
+        runtime.forget(*past)
     return member
 
 

@@ -5,7 +5,7 @@ import tracemalloc
 import numpy as np
 from pyspark.sql import functions as F
 
-from terravane.operators import neighbours, quadric
+from terravane.operators import graph, neighbours, quadric
 from terravane.plans import runtime
 
 
@@ -92,3 +92,20 @@ def test_quadric_by_connected_parts_as_by_whole_objects(spark, monkeypatch):
     parts = spark.createDataFrame([(1, 0, 0, 9, 0, 1, 2, *[float(x) for x in range(9)]), (2, 0, 1, 9, 3, 4, 5, *[float(x) for x in range(9)])], "component long, object_id long, face_id long, need long, v0 long, v1 long, v2 long, " + ", ".join(f"{c} double" for c in quadric.XYZ))
     quadric._logged(parts.toArrow())
     assert held == [1, 1]
+
+
+def test_louvain_shuffles_links_twice_a_sweep(spark, monkeypatch):
+    """A sweep passes the links once by their far and once by their near end, and its quality needs none."""
+    plans, write = [], runtime.materialize
+
+    def noted(df, label, *more):
+        if label == "louvain-state":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, label, *more)
+
+    monkeypatch.setattr(runtime, "materialize", noted)
+    pairs = [(a, b) for base in (0, 8, 16) for a in range(base, base + 8) for b in range(base, a)] + [(0, 8), (8, 16), (3, 3)]
+    labels = graph.louvain(spark.createDataFrame(pairs, "v0 long, v1 long"))
+    by = {r.vertex_id: r.label for r in labels.collect()}
+    assert [len({by[i] for i in range(base, base + 8)}) for base in (0, 8, 16)] == [1, 1, 1] and len(set(by.values())) == 3
+    assert len(plans) > 2 and all(sum("Exchange" in line for line in p.splitlines()) <= 8 and p.count("louvain-apart") <= 1 for p in plans)
