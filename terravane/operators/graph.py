@@ -6,6 +6,10 @@ written table, and only counts come back to the driver.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +19,12 @@ from terravane.plans import runtime
 from terravane.plans.rows import side_by_side
 
 
+#: Links (both directions count) of a block of vertices, which a task relaxes until it settles,
+#: and rounds after which what they reached is put together.
+BLOCK, ROUNDS = 1 << 20, 8
+REACHED = "half int, vertex_id long, cost double, hops long, sent boolean"
+
+
 def adjacency(edges: DataFrame, weight: str | None = None) -> DataFrame:
     """a, b, w: every edge in both directions; repeated edges stay, a loop is listed twice."""
     w = F.lit(1.0) if weight is None else F.coalesce(F.col(weight).cast("double"), F.lit(1.0))
@@ -58,55 +68,118 @@ def _known(both: DataFrame, source: int) -> None:
 def bfs(edges: DataFrame, source: int, max_distance: int | None = None) -> DataFrame:
     """vertex_id, distance, predecessor (the least of those one step nearer; -1 at the source).
     A source that no edge has raises ValueError, here and in the searches below."""
-    both = runtime.materialize(adjacency(edges).select("a", "b").distinct(), "bfs-edges")
-    _known(both, source)
-    start = edges.sparkSession.range(1).select(F.lit(source).cast("long").alias("vertex_id"), F.lit(0).cast("long").alias("distance"), F.lit(-1).cast("long").alias("predecessor"))
-    seen = frontier = runtime.materialize(start, "bfs")
-    step = 0
-    while max_distance is None or step < max_distance:
-        step += 1
-        found = (
-            frontier.join(both, F.col("vertex_id") == F.col("a"))
-            .groupBy(F.col("b").alias("vertex_id"))
-            .agg(F.min("a").alias("predecessor"))
-            .join(seen.select("vertex_id"), "vertex_id", "left_anti")
-            .select("vertex_id", F.lit(step).cast("long").alias("distance"), "predecessor")
-        )
-        frontier = runtime.materialize(found, "bfs")
-        if frontier.isEmpty():
-            break
-        seen = seen.union(frontier)
-        if step % 8 == 0:
-            seen = runtime.materialize(seen, "bfs-seen")
-    return seen
+    best, both = _relaxed(edges, source, None, max_distance)
+    near = best.select(F.col("vertex_id").alias("a"), F.col("cost").alias("ca"))
+    far = best.select(F.col("vertex_id").alias("b"), F.col("cost").alias("cb"))
+    before = both.join(near, "a").join(far, "b").where("ca + 1 = cb").groupBy(F.col("b").alias("vertex_id")).agg(F.min("a").alias("predecessor"))
+    found = best.join(before, "vertex_id", "left")
+    return found.select("vertex_id", F.col("cost").cast("long").alias("distance"), F.coalesce("predecessor", F.lit(-1)).cast("long").alias("predecessor"))
+
+
+def _least(at: np.ndarray, cost: np.ndarray, hops: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each place once, with its least (cost, hops)."""
+    order = np.lexsort((hops, cost, at))
+    at = at[order]
+    first = order[np.flatnonzero(np.diff(at, prepend=-1))]
+    return at[np.flatnonzero(np.diff(at, prepend=-1))], cost[first], hops[first]
+
+
+def _settled(lows: np.ndarray, names: np.ndarray, most: float, reached: float) -> Callable:
+    """The kernel of a block: its links and what is known of its vertices to what improves of
+    them, and to the least offers to vertices of other blocks."""
+
+    def settle(links: pa.Table, known: pa.Table) -> pa.Table:
+        a, b, w, h = (links.column(c).to_numpy() for c in ("a", "b", "w", "h"))
+        order = np.argsort(a, kind="stable")
+        b, w, h = b[order], w[order], h[order]
+        ids, begin = np.unique(a[order], return_index=True)
+        n, begin = len(ids), np.append(begin, len(a))
+        at = np.minimum(np.searchsorted(ids, b), max(0, n - 1))
+        away = ids[at] != b if n else np.zeros(0, bool)
+        others, slot = np.unique(b[away], return_inverse=True)
+        at[away] = n + slot.ravel()
+        cost, hops, changed = np.full(n + len(others), np.inf), np.zeros(n + len(others), np.int64), np.zeros(n + len(others), bool)
+
+        def offer(to: np.ndarray, c: np.ndarray, k: np.ndarray) -> np.ndarray:
+            to, c, k = _least(to, c, k)
+            better = (c < cost[to]) | ((c == cost[to]) & (k < hops[to]))
+            to = to[better]
+            cost[to], hops[to] = c[better], k[better]
+            return to
+
+        place, c, k, fresh = (known.column(x).to_numpy() for x in ("vertex_id", "cost", "hops", "fresh"))
+        place = np.searchsorted(ids, place)
+        offer(place[~fresh], c[~fresh], k[~fresh])
+        front = offer(place[fresh], c[fresh], k[fresh])
+        while len(front):
+            size = begin[front + 1] - begin[front]
+            e = np.repeat(begin[front] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            c, k = np.repeat(cost[front], size) + w[e], np.repeat(hops[front] + 1, size)
+            worth = (c <= most) & (c + h[e] <= reached)
+            to = offer(at[e[worth]], c[worth], k[worth])
+            changed[to] = True
+            front = to[to < n]
+        mine, theirs = np.flatnonzero(changed[:n]), n + np.flatnonzero(changed[n:])
+        vertex = np.concatenate([ids[mine], others[theirs - n]])
+        half = names[np.searchsorted(lows, vertex, "right") - 1]
+        both = np.concatenate([mine, theirs])
+        columns = [pa.array(half, pa.int32()), pa.array(vertex, pa.int64()), pa.array(cost[both]), pa.array(hops[both], pa.int64()), pa.array(both >= n)]
+        return pa.Table.from_arrays(columns, names=[c.split()[0] for c in REACHED.split(", ")])
+
+    return settle
 
 
 def _relaxed(edges: DataFrame, source: int, weight: str | None, max_distance: float | None = None, target: int | None = None, bound: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(vertex_id, cost, hops; a, b, w): least sums of non-negative weights from the source,
-    with the fewest edges among these, by rounds of relaxation in which only improved
-    vertices send.  With a target, offers that cannot beat its cost so far are dropped:
-    ``bound`` (vertex_id, h) gives a lower bound of each vertex's distance to it."""
-    both = adjacency(edges, weight).groupBy("a", "b").agg(F.min("w").alias("w"))
+    with the fewest edges among these.  Vertices with neighbouring ids make blocks of about
+    ``BLOCK`` links; a round takes the blocks that got offers, each in a task that relaxes
+    it until nothing in it improves, so rounds follow the blocks a path passes and not its
+    edges.  Every other round blocks begin half a block later, so what one round cuts apart
+    lies together in the next.  With a target, offers that cannot beat its cost so far are dropped: ``bound``
+    (vertex_id, h) gives a lower bound of each vertex's distance to it."""
+    both = adjacency(edges, weight).where("a IS NOT NULL AND b IS NOT NULL").groupBy(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).agg(F.min("w").alias("w"))
     both = runtime.materialize(both, "sssp-edges")
     _known(both, source)
-    start = edges.sparkSession.range(1).select(F.lit(source).cast("long").alias("vertex_id"), F.lit(0.0).alias("cost"), F.lit(0).cast("long").alias("hops"))
-    best = improved = runtime.materialize(start, "sssp")
-    while True:
-        offer = F.min(F.struct((F.col("cost") + F.col("w")).alias("cost"), (F.col("hops") + 1).alias("hops"))).alias("offer")
-        offers = improved.join(both, F.col("vertex_id") == F.col("a")).groupBy(F.col("b").alias("vertex_id")).agg(offer)
-        if max_distance is not None:
-            offers = offers.where(F.col("offer.cost") <= max_distance)
-        if target is not None and (reached := best.where(F.col("vertex_id") == target).first()) is not None:
-            least = F.lit(0.0)
-            if bound is not None:
-                offers, least = offers.join(bound, "vertex_id", "left"), F.coalesce("h", F.lit(0.0))
-            offers = offers.where(F.col("offer.cost") + least <= reached["cost"])
-        better = offers.join(best, "vertex_id", "left").where("cost IS NULL OR offer < struct(cost, hops)").select("vertex_id", "offer.cost", "offer.hops")
-        past, improved = improved, runtime.materialize(better, "sssp")
-        if improved.isEmpty():
-            return best, both
-        older, best = best, runtime.materialize(best.join(improved, "vertex_id", "left_anti").union(improved), "sssp-best")
-        runtime.forget(past, older)
+    links = both.withColumn("h", F.lit(0.0))
+    if bound is not None:
+        links = both.join(bound.select(F.col("vertex_id").alias("b"), F.col("h").cast("double").alias("h")), "b", "left").withColumn("h", F.coalesce("h", F.lit(0.0)))
+    links = links.repartitionByRange(2 * runtime.parts_for(both.count(), BLOCK), "a").withColumn("half", F.spark_partition_id())
+    links = runtime.materialize(links, "sssp-blocks")
+    halves = links.groupBy("half").agg(F.min("a").alias("low")).orderBy("low").collect()  # two rows a block
+    lows, names = (np.array([r[c] for r in halves], np.int64) for c in ("low", "half"))
+    active = [int(names[np.searchsorted(lows, source, "right") - 1])]
+    most, reached = np.inf if max_distance is None else float(max_distance), 0.0 if source == target else np.inf
+    past, fresh = [], runtime.materialize(edges.sparkSession.createDataFrame([(active[0], int(source), 0.0, 0, True)], REACHED), "sssp", "none")
+    columns, shift = ["half", "vertex_id", "cost", "hops"], 0
+    while active:
+        taken = {(half + shift) // 2 for half in active}
+        here = F.lit(True) if len(active) == len(names) else F.col("half").isin([int(n) for n in names if (n + shift) // 2 in taken])
+        block = F.expr(f"(half + {shift}) div 2")
+        known = fresh.where(here).select(*columns, F.col("sent").alias("fresh"))
+        for table in past:
+            known = known.union(table.where(here).select(*columns, F.lit(False)))
+        offers = links.where(here).groupBy(block).cogroup(known.groupBy(block)).applyInArrow(_settled(lows, names, most, reached), REACHED)
+        past, fresh, shift = [*past, fresh], runtime.materialize(offers, "sssp", "none"), 1 - shift
+        row = fresh.agg(F.collect_set(F.when(F.col("sent"), F.col("half"))).alias("halves"), F.min(F.when(F.col("vertex_id") == F.lit(target), F.col("cost"))).alias("cost")).first()
+        active = sorted(row["halves"])
+        if row["cost"] is not None:
+            reached = min(reached, row["cost"])
+        if len(past) == ROUNDS:
+            past = [_together(past)]
+    best = _together([*past, fresh])
+    runtime.forget(links)
+    return best.select("vertex_id", "cost", "hops"), both
+
+
+def _together(tables: list[DataFrame]) -> DataFrame:
+    """The least (cost, hops) of every vertex in tables of rounds, which are deleted."""
+    rows = tables[0]
+    for table in tables[1:]:
+        rows = rows.union(table)
+    least = rows.groupBy("half", "vertex_id").agg(F.min(F.struct("cost", "hops")).alias("b"))
+    best = runtime.materialize(least.select("half", "vertex_id", "b.cost", "b.hops", F.lit(False).alias("sent")), "sssp-best")
+    runtime.forget(*tables)
+    return best
 
 
 def shortest_distances(edges: DataFrame, source: int, weight: str | None = None, max_distance: float | None = None) -> DataFrame:

@@ -109,3 +109,45 @@ def test_louvain_shuffles_links_twice_a_sweep(spark, monkeypatch):
     by = {r.vertex_id: r.label for r in labels.collect()}
     assert [len({by[i] for i in range(base, base + 8)}) for base in (0, 8, 16)] == [1, 1, 1] and len(set(by.values())) == 3
     assert len(plans) > 2 and all(sum("Exchange" in line for line in p.splitlines()) <= 8 and p.count("louvain-apart") <= 1 for p in plans)
+
+
+def test_searches_take_rounds_by_blocks(spark, monkeypatch):
+    """A long path passes few blocks; costs, hops and predecessors are those of plain search."""
+    import heapq
+
+    rng = np.random.default_rng(11)
+    pairs = [(i, i + 1, 1.0) for i in range(400)] + [(int(a), int(min(400, a + d)), float(w)) for a, d, w in zip(rng.integers(0, 400, 300), rng.integers(0, 9, 300), rng.integers(0, 4, 300))] + [(500, 501, 1.0)]
+    e = spark.createDataFrame(pairs, "v0 long, v1 long, weight double")
+    near = {}
+    for a, b, w in pairs:
+        near.setdefault(a, []).append((b, w)), near.setdefault(b, []).append((a, w))
+
+    def walk(of):
+        best, heap = {}, [(0.0, 0, 3)]
+        while heap:
+            c, k, v = heapq.heappop(heap)
+            if v not in best:
+                best[v] = c, k
+                for b, w in near[v]:
+                    heapq.heappush(heap, (c + of(w), k + 1, b))
+        return best
+
+    rounds, write = [], runtime.materialize
+    monkeypatch.setattr(runtime, "materialize", lambda df, label, *more: (rounds.append(label), write(df, label, *more))[1])
+    monkeypatch.setattr(graph, "BLOCK", 256, raising=False)
+    want = walk(lambda w: w)
+    got = graph._relaxed(e, 3, "weight")[0].collect()
+    assert {r.vertex_id: (r.cost, r.hops) for r in got} == want
+    assert rounds.count("sssp") < 40
+    steps = {v: c for v, (c, _) in walk(lambda w: 1.0).items()}
+    rounds.clear()
+    found = {r.vertex_id: (r.distance, r.predecessor) for r in graph.bfs(e, 3).collect()}
+    assert found == {v: (c, min((b for b, _ in near[v] if steps[b] == c - 1), default=-1)) for v, c in steps.items()}
+    assert sum(n in ("sssp", "bfs") for n in rounds) < 40
+    assert {r.vertex_id for r in graph.bfs(e, 3, 20).collect()} == {v for v, c in steps.items() if c <= 20}
+    heuristic = spark.createDataFrame([(i, 0.0) for i in range(0, 400, 2)], "vertex_id long, h double")
+    path = graph.shortest_path(e, 3, 397, "weight", heuristic).orderBy("step").collect()
+    assert path[0].vertex_id == 3 and path[-1].vertex_id == 397 and path[-1].cost == want[397][0]
+    least = lambda a, b: min(w for x, w in near[a] if x == b)
+    assert all(p.cost + least(p.vertex_id, q.vertex_id) == q.cost for p, q in zip(path, path[1:]))
+    assert graph.shortest_path(e, 3, 501).count() == 0 and graph.shortest_path(e, 3, 3).count() == 1
