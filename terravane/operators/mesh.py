@@ -99,18 +99,19 @@ def vertex_normals(vertices: DataFrame, faces: DataFrame, weighting: str = "area
 def mean_curvature(vertices: DataFrame, faces: DataFrame) -> DataFrame:
     """vertex_id, curvature: half the norm of the cotangent Laplacian over twice the
     barycentric area (a third of the adjacent faces)."""
+    # each level of terms is a column of its own, or every later term would repeat it
     solid = with_corners(vertices, faces)
-    area = norm(face_cross()) / 2.0
+    sides = {f"{x}{i}{j}": F.col(f"{x}{j}") - F.col(f"{x}{i}") for i, j in ((0, 1), (1, 2), (2, 0)) for x in "xyz"}
+    solid = solid.select("v0", "v1", "v2", *[c.alias(n) for n, c in sides.items()])
+    side = {k: vec(suffix=f"{i}{j}") for i, j, k in ((0, 1, 2), (1, 2, 0), (2, 0, 1))}  # opposite to corner k
+    solid = solid.withColumn("twice", norm(cross(side[2], side[0])))
+    sine = F.when(F.col("twice") == 0, 1.0).otherwise(F.col("twice"))
+    solid = solid.withColumns({f"cot{k}": -dot(side[(k + 1) % 3], side[(k + 2) % 3]) / sine for k in range(3)})  # weighs the side opposite
+    solid = solid.withColumns({f"h{x}{k}": side[k][n] * F.col(f"cot{k}") for k in range(3) for n, x in enumerate("xyz")})
     rows = []
-    for i, j, k in ((0, 1, 2), (1, 2, 0), (2, 0, 1)):  # the angle at k weighs edge i-j
-        a, b = sub(corner(i), corner(k)), sub(corner(j), corner(k))
-        sine = norm(cross(a, b))
-        cot = dot(a, b) / F.when(sine == 0, 1.0).otherwise(sine)
-        side = sub(corner(j), corner(i))
-        for v, s in ((i, 1.0), (j, -1.0)):
-            rows.append(F.struct(F.col(f"v{v}").alias("vertex_id"), *[(c * cot * s).alias(f"h{x}") for c, x in zip(side, "xyz", strict=True)], F.lit(0.0).alias("area")))
-    rows += [F.struct(F.col(f"v{k}").alias("vertex_id"), *[F.lit(0.0).alias(f"h{x}") for x in "xyz"], (area / 3.0).alias("area")) for k in range(3)]
-    each = solid.select(F.inline(F.array(*rows)))
+    for i, j, k in ((0, 1, 2), (1, 2, 0), (2, 0, 1)):  # side i-j leaves corner i, side k-i enters it
+        rows.append(F.struct(F.col(f"v{i}").alias("vertex_id"), *[(F.col(f"h{x}{k}") - F.col(f"h{x}{j}")).alias(f"h{x}") for x in "xyz"], (F.col("twice") / 6.0).alias("area")))
+    each = solid.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
     total = each.groupBy("vertex_id").agg(*[F.sum(c).alias(c) for c in ("hx", "hy", "hz", "area")])
     value = F.when(F.col("area") > 0, norm(vec("h")) / (2.0 * F.col("area")) / 2.0).otherwise(0.0)
     return vertices.select("vertex_id").join(total.select("vertex_id", value.alias("curvature")), "vertex_id", "left").select("vertex_id", F.coalesce("curvature", F.lit(0.0)).alias("curvature"))

@@ -5,7 +5,7 @@ import tracemalloc
 import numpy as np
 from pyspark.sql import functions as F
 
-from terravane.operators import graph, neighbours, quadric
+from terravane.operators import graph, mesh, neighbours, quadric
 from terravane.plans import runtime
 
 
@@ -151,3 +151,24 @@ def test_searches_take_rounds_by_blocks(spark, monkeypatch):
     least = lambda a, b: min(w for x, w in near[a] if x == b)
     assert all(p.cost + least(p.vertex_id, q.vertex_id) == q.cost for p, q in zip(path, path[1:]))
     assert graph.shortest_path(e, 3, 501).count() == 0 and graph.shortest_path(e, 3, 3).count() == 1
+
+
+def test_curvature_works_out_each_term_once(spark):
+    """A face gives a row for each corner, and no term is repeated in later ones."""
+    v = spark.createDataFrame([(0, 0.0, 0.0, 0.0), (1, 2.0, 0.0, 0.0), (2, 0.0, 1.0, 0.0), (3, 0.0, 0.0, 3.0), (4, 9.0, 9.0, 9.0)], "vertex_id long, x double, y double, z double")
+    f = spark.createDataFrame([(0, 0, 2, 1), (1, 0, 1, 3), (2, 0, 3, 2), (3, 1, 2, 3), (4, 0, 0, 1)], "face_id long, v0 long, v1 long, v2 long")
+    found = mesh.mean_curvature(v, f)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.upper().count("SQRT(") <= 4
+    xyz, want = np.array([[0, 0, 0], [2, 0, 0], [0, 1, 0], [0, 0, 3], [9, 9, 9.0]]), {4: 0.0}
+    for i in range(4):
+        h, area = np.zeros(3), 0.0
+        for t in ((0, 2, 1), (0, 1, 3), (0, 3, 2), (1, 2, 3)):
+            if i in t:
+                area += np.linalg.norm(np.cross(xyz[t[1]] - xyz[t[0]], xyz[t[2]] - xyz[t[0]])) / 6
+                for j, k in ((t[(t.index(i) + 1) % 3], t[(t.index(i) + 2) % 3]), (t[(t.index(i) + 2) % 3], t[(t.index(i) + 1) % 3])):
+                    a, b = xyz[i] - xyz[k], xyz[j] - xyz[k]
+                    h += (xyz[j] - xyz[i]) * (a @ b) / np.linalg.norm(np.cross(a, b))
+        want[i] = np.linalg.norm(h) / (2 * area) / 2
+    got = {r.vertex_id: r.curvature for r in found.collect()}
+    assert sorted(got) == [0, 1, 2, 3, 4] and all(abs(got[i] - want[i]) < 1e-12 for i in got)
