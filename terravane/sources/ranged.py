@@ -14,7 +14,8 @@ Defined results
   whatever the ranges.  An empty file, or one without records, has no partition.
 * Options: ``path`` (a file, a folder, or a pattern for the last part), ``attributes``
   (tracks: scalars and properties too), ``parts`` (about how many partitions;
-  without it one for every index row, or every ``rows`` points).
+  without it one for every index row, or every ``rows`` points).  More than ``TASKS``
+  ranges of tracks share partitions, so tasks follow the bytes and not the files.
 """
 
 from __future__ import annotations
@@ -42,6 +43,8 @@ from terravane.sources.formats import parse_trk_header
 STEP, WINDOW = 16 << 20, 8 << 20
 #: Points of a LAS partition, and rows of an Arrow batch.
 LAS_ROWS, BATCH = 1 << 19, 1 << 17
+#: Tasks of small files: as many share the ranges, or one for every ``STEP`` bytes if that is more.
+TASKS = 256
 
 INDEX = "file string, begin long, end long, first long, tracks long, vertices long"
 TRACKS = "file string, object_id long, seq long, x double, y double, z double"
@@ -120,7 +123,7 @@ def scan_tracks(path: str, step: int = STEP, window: int = WINDOW) -> Iterator[t
 
 def build_offset_index(spark: SparkSession, path: str, step: int = STEP) -> DataFrame:
     """file, begin, end (bytes of whole records), first (track number), tracks, vertices: files
-    are scanned side by side, each by one task."""
+    are scanned side by side, each by one task (many small ones share it)."""
     names = files(path)
 
     def rows(batches: Iterator[pd.DataFrame]):
@@ -131,7 +134,7 @@ def build_offset_index(spark: SparkSession, path: str, step: int = STEP) -> Data
                     yield pd.DataFrame(found, columns=[c.split()[0] for c in INDEX.split(", ")])
 
     listed = spark.createDataFrame([(n,) for n in names], "file string")
-    return listed.repartition(max(1, len(names))).mapInPandas(rows, INDEX)
+    return listed.repartition(max(1, min(len(names), TASKS))).mapInPandas(rows, INDEX)
 
 
 def parse_tracks(raw: bytes, header: dict, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -163,6 +166,13 @@ class Range(InputPartition):
     first: int
 
 
+@dataclass
+class Ranges(InputPartition):
+    """Stretches of several files."""
+
+    ranges: list[Range]
+
+
 def _flag(options: dict, name: str) -> bool:
     return str(options.get(name, "false")).lower() == "true"
 
@@ -181,7 +191,7 @@ class TrackReader(DataSourceReader):
         self.options = options
         self.attributes = _flag(options, "attributes")
 
-    def partitions(self) -> list[Range]:
+    def partitions(self) -> list[Ranges]:
         system, at = located(self.options["index"])
         rows = pyarrow.dataset.dataset(at, filesystem=system, format="parquet").to_table().to_pylist()
         wanted = set(files(self.options["path"]))
@@ -196,9 +206,14 @@ class TrackReader(DataSourceReader):
             sizes = [r["end"] - r["begin"] for r in rs]
             share = None if parts is None else max(1, round(parts * sum(sizes) / whole))
             out += [Range(name, rs[a]["begin"], rs[b - 1]["end"], rs[a]["first"]) for a, b in balanced(sizes, share)]
-        return out
+        tasks = max(TASKS if parts is None else parts, -(-whole // STEP))
+        return [Ranges(out[a:b]) for a, b in balanced([r.end - r.begin for r in out], tasks)] if out else []
 
-    def read(self, part: Range | None) -> Iterator[pa.RecordBatch]:
+    def read(self, part: Range | Ranges | None) -> Iterator[pa.RecordBatch]:
+        for one in getattr(part, "ranges", [part]):
+            yield from self._range(one)
+
+    def _range(self, part: Range | None) -> Iterator[pa.RecordBatch]:
         if part is None:
             return
         system, at = located(part.file)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from terravane.operators import graph, mesh, neighbours, quadric
 from terravane.plans import runtime
+from terravane.sources import binary, ranged
 
 
 def test_rounds_broadcast_small_tables_only(spark):
@@ -172,3 +173,18 @@ def test_curvature_works_out_each_term_once(spark):
         want[i] = np.linalg.norm(h) / (2 * area) / 2
     got = {r.vertex_id: r.curvature for r in found.collect()}
     assert sorted(got) == [0, 1, 2, 3, 4] and all(abs(got[i] - want[i]) < 1e-12 for i in got)
+
+
+def test_small_track_files_share_tasks(spark, tmp_path, monkeypatch):
+    """Partitions follow the bytes, not the number of files or of index rows."""
+    paths = spark.range(40 * 6).selectExpr("id div 6 AS part", "id div 3 AS object_id", "id % 3 AS seq", "id AS x", "id + 1 AS y", "0 AS z")
+    assert ranged.write_documents(binary.trk_documents(paths, "part"), str(tmp_path), "trk") == 40
+    monkeypatch.setattr(ranged, "TASKS", 4, raising=False)
+    assert ranged.build_offset_index(spark, str(tmp_path)).rdd.getNumPartitions() == 4
+    index = runtime.materialize(ranged.build_offset_index(spark, str(tmp_path), 16), "track-index")
+    reader = ranged.TrackReader({"index": index.written_at, "path": str(tmp_path)})
+    parts = reader.partitions()
+    assert len(parts) == 4
+    found = [r for part in parts for batch in reader.read(part) for r in batch.to_pylist()]
+    got = sorted((int(r["file"].rsplit("/", 1)[1][:-4]), r["object_id"], r["seq"], r["x"], r["y"], r["z"]) for r in found)
+    assert got == [(i // 6, i % 6 // 3, i % 3, float(i), float(i + 1), 0.0) for i in range(240)]
