@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from terravane.operators import graph, mesh, neighbours, quadric
 from terravane.plans import runtime
-from terravane.sources import binary, ranged
+from terravane.sources import binary, precomputed, ranged
 
 
 def test_rounds_broadcast_small_tables_only(spark):
@@ -188,3 +188,16 @@ def test_small_track_files_share_tasks(spark, tmp_path, monkeypatch):
     found = [r for part in parts for batch in reader.read(part) for r in batch.to_pylist()]
     got = sorted((int(r["file"].rsplit("/", 1)[1][:-4]), r["object_id"], r["seq"], r["x"], r["y"], r["z"]) for r in found)
     assert got == [(i // 6, i % 6 // 3, i % 3, float(i), float(i + 1), 0.0) for i in range(240)]
+
+
+def test_blocks_are_read_in_small_batches(monkeypatch):
+    """A task holds some vertices at a time, however many pieces it has."""
+    monkeypatch.setattr(precomputed, "BATCH", 100, raising=False)
+    piece = {"vertices": np.arange(90).reshape(30, 3), "edges": [(i, i + 1) for i in range(29)], "radius": np.arange(30)}
+    blocks = precomputed.InMemoryBlocks({str(k): {k: piece, k + 1000: {"vertices": np.zeros((1, 3))}} for k in range(50)}, [("radius", "float32", 1)])
+    reader = precomputed.block_source(blocks, [str(k) for k in range(50)], 1)({}).reader(None)
+    batches = [b for part in reader.partitions() for b in reader.read(part)]
+    assert max(sum(len(v) for v in b.column(2)) for b in batches) <= 130
+    rows = [r for b in batches for r in b.to_pylist()]
+    assert [int(r["segment_id"]) for r in rows] == [s for k in range(50) for s in (k, k + 1000)]
+    assert rows[0]["vertices"][7] == {"parent": 6, "x": 21.0, "y": 22.0, "z": 23.0, "radius": 7.0} and rows[1]["vertices"][0]["radius"] is None
