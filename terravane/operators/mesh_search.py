@@ -19,9 +19,11 @@ from pyspark.sql import functions as F
 
 from terravane.functions.vec3 import cross, dot, sub, vec
 from terravane.operators.mesh import EPS, corner, nearest_on_triangle, with_corners
-from terravane.plans import runtime
+from terravane.plans import numbering, runtime
 
 CELL = ["level", "gx", "gy", "gz"]
+#: Rays of a task, and cells of a batch of walked ones.
+WALKED = 1 << 14, 1 << 14
 
 
 def gridded(vertices: DataFrame, faces: DataFrame, size: float, least: int = 0) -> DataFrame:
@@ -39,6 +41,13 @@ def gridded(vertices: DataFrame, faces: DataFrame, size: float, least: int = 0)
     return out
 
 
+def in_box(origin: np.ndarray, way: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Which rays do not certainly miss a box: an axis along which one does not move, or moves
+    away, has its origin inside.  Slanted ones are left to ``ray_cells``."""
+    outside = ((way <= 0) & (origin < low)) | ((way >= 0) & (origin > high))
+    return ~outside.any(axis=1)
+
+
 def ray_cells(origin: np.ndarray, unit: np.ndarray, low: np.ndarray, high: np.ndarray, edge: float, most: float = np.inf) -> np.ndarray:
     """The cells of one level that a ray passes inside a box, in order."""
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -70,35 +79,51 @@ def cast_rays(vertices: DataFrame, faces: DataFrame, rays: DataFrame, size: floa
     low, high = (np.array([box[f"{n}{a}"] if box[f"{n}{a}"] is not None else 0.0 for a in "xyz"]) for n in "lh")
     most = np.inf if max_distance is None else float(max_distance)
 
+    schema = "ray_id long, ox double, oy double, oz double, dx double, dy double, dz double, level int, gx long, gy long, gz long"
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def rows(held: list[tuple]) -> pa.RecordBatch:
+        n = np.array([len(cells) for *_, cells in held])
+        ids, numbers = np.array([h[0] for h in held], np.int64), np.array([[*h[1], *h[2]] for h in held])
+        cells = np.concatenate([h[4] for h in held])
+        columns = [np.repeat(ids, n), *np.repeat(numbers, n, axis=0).T, np.repeat(np.array([h[3] for h in held], np.int32), n), *cells.T]
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=names)
+
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size_held = [], 0
         for batch in batches:
             ids, *numbers = (batch.column(k) for k in range(7))
             table = np.column_stack([c.to_numpy() for c in numbers]) if batch.num_rows else np.zeros((0, 6))
-            for ray_id, row in zip(ids.to_pylist(), table, strict=True):
+            meets = in_box(table[:, :3], table[:, 3:], low, high)
+            for ray_id, row in zip(ids.to_numpy()[meets].tolist(), table[meets], strict=True):
                 long = np.sqrt((row[3:] ** 2).sum())
                 if not long > 0 or not np.isfinite(row).all():
                     continue
                 unit = row[3:] / long
                 for level in levels:
                     cells = ray_cells(row[:3], unit, low, high, size * 2.0**level, most)
-                    n = len(cells)
-                    if n:
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([ray_id] * n, pa.int64()), *[pa.array(np.full(n, v)) for v in (*row[:3], *unit)], pa.array(np.full(n, level, np.int32)), *[pa.array(cells[:, k]) for k in range(3)]],
-                            names=["ray_id", "ox", "oy", "oz", "dx", "dy", "dz", *CELL],
-                        )
+                    if len(cells):
+                        held.append((ray_id, row[:3], unit, level, cells))
+                        size_held += len(cells)
+                    if size_held >= WALKED[1]:
+                        yield rows(held)
+                        held, size_held = [], 0
+        if held:
+            yield rows(held)
 
     plain = rays.select(F.col("ray_id").cast("long").alias("ray_id"), *[F.col(f"{p}{a}").cast("double").alias(f"{p}{a}") for p in "od" for a in "xyz"])
-    walked = plain.mapInArrow(walk, "ray_id long, ox double, oy double, oz double, dx double, dy double, dz double, level int, gx long, gy long, gz long")
+    walked = plain.repartition(numbering.range_parts(plain, WALKED[0])).mapInArrow(walk, schema)
     met = walked.join(grid, CELL)
+    # each level of terms is a column of its own, and the test follows an explode, or the
+    # condition of the join would repeat them all
     o, d = vec("o"), vec("d")
-    e1, e2 = sub(corner(1), corner(0)), sub(corner(2), corner(0))
-    h = cross(d, e2)
-    det = dot(e1, h)
-    f = 1.0 / F.when(F.abs(det) < EPS, None).otherwise(det)
-    s = sub(o, corner(0))
-    q = cross(s, e1)
-    tested = met.select("ray_id", "face_id", *[f"{p}{a}" for p in "od" for a in "xyz"], (f * dot(s, h)).alias("u"), (f * dot(d, q)).alias("v"), (f * dot(e2, q)).alias("t"))
+    put = lambda df, name, terms: df.withColumns({f"{name}{a}": c for a, c in zip("xyz", terms, strict=True)})
+    made = put(put(put(met, "e", sub(corner(1), corner(0))), "g_", sub(corner(2), corner(0))), "s", sub(o, corner(0)))
+    e1, e2, s = vec("e"), vec("g_"), vec("s")
+    made = put(put(made, "h", cross(d, e2)), "q", cross(s, e1)).withColumn("det", dot(e1, vec("h")))
+    f = 1.0 / F.when(F.abs("det") < EPS, None).otherwise(F.col("det"))
+    values = F.struct((f * dot(s, vec("h"))).alias("u"), (f * dot(d, vec("q"))).alias("v"), (f * dot(e2, vec("q"))).alias("t"))
+    tested = made.select("ray_id", "face_id", *[f"{p}{a}" for p in "od" for a in "xyz"], F.explode(F.array(values)).alias("at")).select("*", "at.*").drop("at")
     hit = tested.where("u >= 0 AND v >= 0 AND u <= 1 AND u + v <= 1").where(F.col("t") > EPS)
     if max_distance is not None:
         hit = hit.where(F.col("t") <= max_distance)

@@ -5,7 +5,7 @@ import tracemalloc
 import numpy as np
 from pyspark.sql import functions as F
 
-from terravane.operators import graph, mesh, neighbours, quadric
+from terravane.operators import graph, mesh, mesh_search, neighbours, quadric
 from terravane.plans import runtime
 from terravane.sources import binary, precomputed, ranged
 
@@ -201,3 +201,16 @@ def test_blocks_are_read_in_small_batches(monkeypatch):
     rows = [r for b in batches for r in b.to_pylist()]
     assert [int(r["segment_id"]) for r in rows] == [s for k in range(50) for s in (k, k + 1000)]
     assert rows[0]["vertices"][7] == {"parent": 6, "x": 21.0, "y": 22.0, "z": 23.0, "radius": 7.0} and rows[1]["vertices"][0]["radius"] is None
+
+
+def test_rays_are_dealt_to_tasks(spark, monkeypatch):
+    """Rays from one small file are walked by many tasks, and those beside the mesh not at all."""
+    v = spark.createDataFrame([(0, 0.0, 0.0, 0.0), (1, 40.0, 0.0, 0.0), (2, 0.0, 40.0, 3.0)], "vertex_id long, x double, y double, z double")
+    f = spark.createDataFrame([(0, 0, 1, 2)], "face_id long, v0 long, v1 long, v2 long")
+    rays = spark.range(2000).coalesce(1).selectExpr("id AS ray_id", "id + 0.5D AS ox", "1D AS oy", "9D AS oz", "0D AS dx", "0D AS dy", "-2D AS dz")
+    monkeypatch.setattr(mesh_search, "WALKED", (250, 64), raising=False)
+    found = mesh_search.cast_rays(v, f, rays, 8.0)
+    assert "Exchange RoundRobinPartitioning(8)" in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.ray_id for r in found.collect()) == list(range(39))
+    some = np.array([[1.0, 1, 9, 0, 0, -1], [99, 1, 9, 0, 0, -1], [-5, 1, 1, 1, 0, 0], [-5, 1, 1, -1, 0, 0], [1, 1, 1, 0, 0, 0]])
+    assert mesh_search.in_box(some[:, :3], some[:, 3:], np.zeros(3), np.array([40.0, 40, 3])).tolist() == [True, False, True, False, True]
