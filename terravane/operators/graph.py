@@ -10,12 +10,12 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
-from terravane.operators import filters
+from terravane.operators import communities, filters
 from terravane.plans import components as stars
-from terravane.plans import runtime
+from terravane.plans import numbering, runtime
 from terravane.plans.rows import side_by_side
 
 
@@ -25,9 +25,13 @@ BLOCK, ROUNDS = 1 << 20, 8
 REACHED = "half int, vertex_id long, cost double, hops long, sent boolean"
 
 
+def _weight(weight: str | None) -> Column:
+    return F.lit(1.0) if weight is None else F.coalesce(F.col(weight).cast("double"), F.lit(1.0))
+
+
 def adjacency(edges: DataFrame, weight: str | None = None) -> DataFrame:
     """a, b, w: every edge in both directions; repeated edges stay, a loop is listed twice."""
-    w = F.lit(1.0) if weight is None else F.coalesce(F.col(weight).cast("double"), F.lit(1.0))
+    w = _weight(weight)
     return edges.select(F.col("v0").alias("a"), F.col("v1").alias("b"), w.alias("w")).union(
         edges.select(F.col("v1").alias("a"), F.col("v0").alias("b"), w.alias("w"))
     )
@@ -264,45 +268,54 @@ def louvain(edges: DataFrame, weight: str | None = None, max_levels: int = 10, s
     """vertex_id, label: greedy modularity in levels.  In a sweep vertices of one hash
     half at a time move to the neighbouring community with the largest gain (the least
     label among equals); communities then become vertices.  Stops when a level adds
-    less than ``tolerance`` of modularity."""
-    links = adjacency(edges, weight).groupBy("a", "b").agg(F.sum("w").alias("w"))
+    less than ``tolerance`` of modularity.
+
+    Links lie packed in blocks of vertices with neighbouring ids (``communities``): in a sweep
+    each block hears the communities of the vertices it has links to and judges its own."""
+    kind, spark = edges.schema["v0"].dataType, edges.sparkSession
+    links = edges.select(F.col("v0").cast("long").alias("v0"), F.col("v1").cast("long").alias("v1"), _weight(weight).alias("w"))
     links = runtime.materialize(links, "louvain-links")
-    member = links.select(F.col("a").alias("vertex_id")).distinct().withColumn("label", F.col("vertex_id"))
-    member = runtime.materialize(member, "louvain")
-    m2 = links.agg(F.sum("w")).first()[0] or 0.0
-    if not m2:
-        return member
+    member = links.select(F.explode(F.array("v0", "v1")).alias("vertex_id")).where("vertex_id IS NOT NULL").groupBy("vertex_id").agg(F.count(F.lit(1)).alias("links"))
+    member = runtime.materialize(member.withColumn("label", F.col("vertex_id")), "louvain")
+    whole = links.where("v0 IS NOT NULL AND v1 IS NOT NULL")
+    m2 = 2.0 * (whole.agg(F.sum("w")).first()[0] or 0.0)
+
+    def begins(each: DataFrame) -> np.ndarray:
+        """The least vertex of every block, from (a, links) of each vertex."""
+        mark = runtime.mark()
+        each = numbering.prefix_sums(each, ["a"], F.col("links"), "before")
+        lows = each.groupBy(F.floor(F.col("before") / communities.BLOCK)).agg(F.min("a").alias("low")).orderBy("low").collect()
+        runtime.release(spark, runtime.since(mark))
+        return np.array([r["low"] for r in lows], np.int64)
+
+    def heard(placed: DataFrame) -> GroupedData:
+        """What every block hears of vertices (block, a, c, tot)."""
+        return routes.groupBy("block").cogroup(placed.groupBy("block")).applyInArrow(communities.tell, communities.TOLD).groupBy("block")
 
     def survey(state: DataFrame) -> DataFrame:
-        """a, c, k, pick (the community a vertex would move to), inside (weight of its links
-        into its own, loops apart) of a state (a, c, k): one pass over the level's links."""
-        placed = state.join(state.groupBy("c").agg(F.sum("k").alias("tot")), "c")
-        own = placed.select("a", F.col("c").alias("to"), "tot", "k", F.lit(0.0).alias("w"), F.lit(1).alias("own"))
-        into = apart.join(placed.select(F.col("a").alias("b"), F.col("c").alias("to"), "tot"), "b").select("a", "to", "tot", "k", "w", F.lit(0).alias("own"))
-        # once by vertex: both groupings and the choice stay in its task
-        offers = into.union(own).repartition("a").groupBy("a", "to").agg(F.sum("w").alias("k_in"), F.max("tot").alias("tot"), F.max("k").alias("k"), F.max("own").alias("own"))
-        others = F.col("tot") - F.when(F.col("own") == 1, F.col("k")).otherwise(0.0)
-        gain = F.col("k_in") - others * F.col("k") / m2
-        mine = lambda c: F.max(F.when(F.col("own") == 1, F.col(c)))
-        seen = offers.groupBy("a").agg(
-            mine("to").alias("c"), F.max("k").alias("k"), F.max_by("to", F.struct(gain, F.col("own"), -F.col("to"))).alias("pick"), mine("k_in").alias("inside")
-        )
+        """a, c, k, tot (weight of its community), pick (the community a vertex would move to), inside
+        (weight of its links into its own, loops apart), links (their number) of a state (block, a, c, k)."""
+        placed = state.select("block", "a", "c", F.sum("k").over(Window.partitionBy("c")).alias("tot"))
+        seen = blocks.groupBy("block").cogroup(heard(placed)).applyInArrow(communities.judge(m2), communities.STATE)
         return runtime.materialize(seen, "louvain-state")
 
     def quality(seen: DataFrame) -> float:
-        each = seen.groupBy("c").agg(F.sum("k").alias("k"), F.sum("inside").alias("i"))
-        r = each.agg(F.sum("i").alias("i"), F.sum(F.col("k") * F.col("k")).alias("s")).first()
+        r = seen.agg(F.sum("inside").alias("i"), F.sum(F.col("k") * F.col("tot")).alias("s")).first()
         return (r["i"] + loops) / m2 - r["s"] / (m2 * m2)
 
-    for _ in range(max_levels):
-        degree = runtime.materialize(links.groupBy("a").agg(F.sum("w").alias("k")), "louvain-degree")
-        apart = runtime.materialize(links.where("a <> b").join(degree, "a"), "louvain-apart")
-        loops = links.where("a = b").agg(F.sum("w")).first()[0] or 0.0
-        state = survey(degree.select("a", F.col("a").alias("c"), "k"))
+    if m2:
+        lows = begins(member.select(F.col("vertex_id").alias("a"), "links"))
+        pieces = whole.mapInArrow(communities.dealt(lows), communities.PIECES)
+    for _ in range(max_levels if m2 else 0):
+        blocks = runtime.materialize(pieces.groupBy("block").applyInArrow(communities.packed, communities.PACKED), "louvain-blocks")
+        routes = runtime.materialize(blocks.groupBy("block").applyInArrow(communities.routes(lows), communities.ROUTES), "louvain-routes")
+        runtime.forget(links)
+        loops = blocks.agg(F.sum("loops")).first()[0]
+        state = survey(blocks.where("piece = 0").select("block", "ids", "k").mapInArrow(communities.alone, communities.ALONE))
         before = best = quality(state)
         for sweep in range(sweeps):
             turn = F.pmod(F.xxhash64("a", F.lit(sweep // 2)), F.lit(2)) == sweep % 2
-            after = survey(state.select("a", F.when(turn, F.col("pick")).otherwise(F.col("c")).alias("c"), "k"))
+            after = survey(state.select("block", "a", F.when(turn, F.col("pick")).otherwise(F.col("c")).alias("c"), "k"))
             now = quality(after)
             if now > best + tolerance:
                 past, best, state = state, now, after
@@ -313,12 +326,14 @@ def louvain(edges: DataFrame, weight: str | None = None, max_levels: int = 10, s
                     break
         if best - before < tolerance:
             break
-        past = member, links, apart, degree, state
-        member = runtime.materialize(member.join(state.select(F.col("a").alias("label"), "c"), "label").select("vertex_id", F.col("c").alias("label")), "louvain")
-        moved = links.join(state.select("a", F.col("c").alias("ca")), "a").join(state.select(F.col("a").alias("b"), F.col("c").alias("cb")), "b")
-        links = runtime.materialize(moved.groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("w").alias("w")), "louvain-links")
+        past = member, blocks, routes, state
+        moved = member.join(state.select(F.col("a").alias("label"), "c"), "label", "left")
+        member = runtime.materialize(moved.select("vertex_id", F.coalesce("c", "label").alias("label")), "louvain")
+        lows = begins(state.groupBy(F.col("c").alias("a")).agg(F.sum("links").alias("links")))
+        joined = blocks.groupBy("block").cogroup(heard(state.select("block", "a", "c", F.lit(0.0).alias("tot"))))
+        pieces = links = runtime.materialize(joined.applyInArrow(communities.contracted(lows), communities.PIECES), "louvain-links")
         runtime.forget(*past)
-    return member
+    return member.select(F.col("vertex_id").cast(kind), F.col("label").cast(kind))
 
 
 def clustering(edges: DataFrame) -> DataFrame:
