@@ -150,36 +150,70 @@ def _sums(row: np.ndarray, other: np.ndarray, w: np.ndarray, n: int) -> tuple[np
     return pairs // n, pairs % n, np.add.reduceat(w[order], first) if len(first) else w[:0]
 
 
+def _best(block: _Block, c: np.ndarray, tot: np.ndarray, m2: float) -> tuple[np.ndarray, np.ndarray]:
+    """The community each vertex would move to, the one with the largest gain, among equals its own
+    and then the least, and the weight of its links into its own; from the community of every end
+    (ranks of labels) and the weight of every community."""
+    n, k, mine = len(block.ids), block.k, c[: len(block.ids)]
+    row, to, k_in = _sums(block.row, c[block.at], block.w, len(tot))
+    own = to == mine[row]
+    inside = np.zeros(n)
+    inside[row[own]] = k_in[own]
+    stay = inside - (tot[mine] - k) * k / m2
+    row, to, k_in = row[~own], to[~own], k_in[~own]
+    gain = k_in - tot[to] * k[row] / m2
+    start, pick = np.flatnonzero(np.diff(row, prepend=-1)), mine.copy()
+    if len(start):
+        most = np.maximum.reduceat(gain, start)
+        best = np.flatnonzero(gain == np.repeat(most, np.diff(start, append=len(row))))
+        best = best[np.flatnonzero(np.diff(row[best], prepend=-1))]
+        best = best[gain[best] > stay[row[best]]]
+        pick[row[best]] = to[best]
+    return pick, inside
+
+
+def _state(block: _Block, names: np.ndarray, c: np.ndarray, tot: np.ndarray, pick: np.ndarray, inside: np.ndarray) -> pa.Table:
+    return _table(STATE, np.full(len(block.ids), block.name), block.ids, names[c], block.k, tot[c], names[pick], inside, block.size + (block.loop != 0))
+
+
 def judge(m2: float) -> Callable:
-    """The kernel that finds the community each vertex of a block would move to: the one with
-    the largest gain, among equals its own and then the least."""
+    """The kernel that finds where each vertex of a block would move to, from what the block heard."""
 
     def judged(links: pa.Table, told: pa.Table) -> pa.Table:
         block = _Block(links)
-        n, k = len(block.ids), block.k
         c, tot = _heard(told)
         names, first, c = np.unique(c, return_index=True, return_inverse=True)
-        tot, mine = tot[first], c[:n]
-        row, to, k_in = _sums(block.row, c[block.at], block.w, len(names))
-        own = to == mine[row]
-        inside = np.zeros(n)
-        inside[row[own]] = k_in[own]
-        stay = inside - (tot[mine] - k) * k / m2
-        row, to, k_in = row[~own], to[~own], k_in[~own]
-        gain = k_in - tot[to] * k[row] / m2
-        start = np.flatnonzero(np.diff(row, prepend=-1))
-        pick = mine.copy()
-        if len(start):
-            most = np.maximum.reduceat(gain, start)
-            best = np.flatnonzero(gain == np.repeat(most, np.diff(start, append=len(row))))
-            best = best[np.flatnonzero(np.diff(row[best], prepend=-1))]
-            best = best[gain[best] > stay[row[best]]]
-            pick[row[best]] = to[best]
-        return _table(STATE, np.full(n, block.name), block.ids, names[mine], k, tot[mine], names[pick], inside, block.size + (block.loop != 0))
+        return _state(block, names, c[: len(block.ids)], tot[first], *_best(block, c, tot[first], m2))
 
     return judged
 
 
+def settled(m2: float, sweeps: int, tolerance: float) -> Callable:
+    """The kernel of all sweeps of a level that is one block; ``turns`` (block, a, halves) has each
+    vertex's half in every two sweeps."""
+
+    def settle(links: pa.Table, turns: pa.Table) -> pa.Table:
+        block = _Block(links)
+        n, k = len(block.ids), block.k
+        halves = turns.column("halves").combine_chunks().flatten().to_numpy().reshape(n, -1)[np.argsort(turns.column("a").to_numpy())]
+
+        def survey(c: np.ndarray) -> tuple:
+            tot = np.bincount(c, k, minlength=n)
+            pick, inside = _best(block, c, tot, m2)
+            return (inside.sum() + block.loop.sum()) / m2 - (k * tot[c]).sum() / (m2 * m2), c, tot, pick, inside
+
+        best = survey(np.arange(n))
+        for sweep in range(sweeps):
+            now = survey(np.where(halves[:, sweep // 2] == sweep % 2, best[3], best[1]))
+            if now[0] > best[0] + tolerance:
+                best = now
+            elif sweep % 2:
+                break
+        return _state(block, block.ids, *best[1:])
+
+    return settle
+
+
 def contracted(lows: np.ndarray) -> Callable:
     """The kernel that adds up a block's links by the communities of their ends, for the blocks
     of communities that begin at ``lows``."""
